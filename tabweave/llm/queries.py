@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import core, substring_dedup, suffix_dedup
+from . import core, packing, simhash_dedup, substring_dedup, suffix_dedup
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_dedup(core.documents(spark, sf_dir), shingle=3, radius=2)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +24,22 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def tokenizer_path() -> str:
+    """Where the public vocabulary lies; the package that names it is installed on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(core.documents(spark, sf_dir), tokenizer_path(), capacity=2048, keep_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_simhash_dedup": op5_simhash_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
