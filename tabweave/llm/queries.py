@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import core, packing, simhash_dedup, substring_dedup, suffix_dedup
+from . import core, decontamination, language_id, packing, simhash_dedup, substring_dedup, suffix_dedup
+
+
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.language_id(core.documents(spark, sf_dir))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +29,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.contaminated(core.documents(spark, sf_dir), benchmark)
+
+
 def tokenizer_path() -> str:
     """Where the public vocabulary lies; the package that names it is installed on every node."""
     import public_tokenizers
@@ -36,9 +46,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language_mixture": op4_language_mixture,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_decontamination": op9_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
