@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import core, decontamination, language_id, packing, simhash_dedup, substring_dedup, suffix_dedup
+from . import core, decontamination, kd_sharding, language_id, packing, secret_scan, simhash_dedup, substring_dedup, suffix_dedup
+
+
+def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kd_sharding.kd_sharding(core.documents(spark, sf_dir), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(core.documents(spark, sf_dir))
 
 
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +55,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kd_sharding": op1_kd_sharding,
+    "op3_secret_entropy": op3_secret_entropy,
     "op4_language_mixture": op4_language_mixture,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
