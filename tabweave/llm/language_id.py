@@ -129,30 +129,50 @@ def mixture(row: np.ndarray, bucket: np.ndarray, n: int, logp: np.ndarray, steps
     return share_out, set_out
 
 
+def judge(data: np.ndarray, offsets: np.ndarray, langs: list[str], logp: np.ndarray, penalty: float) -> tuple[list, list, list, list]:
+    """Of each text the predicted language, its share, and the chosen set with its shares, largest first."""
+    names, scores, sets, shares = [], [], [], []
+    for lo, hi in slabs(offsets, SLAB):
+        row, bucket = trigrams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        known = np.bincount(row, minlength=hi - lo) > 0
+        if langs and len(row):
+            share, chosen = mixture(row, bucket, hi - lo, logp, penalty=penalty)
+        for k in range(hi - lo):
+            text = data[offsets[lo + k] : offsets[lo + k + 1]]
+            if not (langs and known[k]) or (text >= 128).any() and not has_letter(text):
+                names.append("und")
+                scores.append(0.0)
+                sets.append([])
+                shares.append([])
+                continue
+            best = int(share[k].argmax())
+            inside = sorted(np.flatnonzero(chosen[k]).tolist(), key=lambda j: -share[k, j])
+            names.append(langs[best])
+            scores.append(min(1.0, float(share[k, best])))
+            sets.append([langs[j] for j in inside])
+            shares.append([float(share[k, j]) for j in inside])
+    return names, scores, sets, shares
+
+
+def identified(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text", penalty: float = 3.0) -> DataFrame:
+    """The rows of ``df`` (all columns) whose text is in a learned language by a share of ``least`` or more."""
+    langs, logp, at = model.langs, df.sparkSession.sparkContext.broadcast(model.logp), df.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            names, scores, _, _ = judge(*text_bytes(batch.column(at)), langs, logp.value, penalty)
+            yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)], pa.bool_()))
+
+    return df.mapInArrow(keep, df.schema)
+
+
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 3.0) -> DataFrame:
     """doc_id, lang_pred, score (the share of that language), langs (the chosen set), shares (theirs)."""
     langs, logp = model.langs, df.sparkSession.sparkContext.broadcast(model.logp)  # languages times buckets
 
     def infer(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            names, scores, sets, shares = [], [], [], []
-            for lo, hi in slabs(offsets, SLAB):
-                row, bucket = trigrams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                known = np.bincount(row, minlength=hi - lo) > 0
-                if langs and len(row):
-                    share, chosen = mixture(row, bucket, hi - lo, logp.value, penalty=penalty)
-                for k in range(hi - lo):
-                    text = data[offsets[lo + k] : offsets[lo + k + 1]]
-                    if not (langs and known[k]) or (text >= 128).any() and not has_letter(text):
-                        names.append("und"), scores.append(0.0), sets.append([]), shares.append([])
-                        continue
-                    best = int(share[k].argmax())
-                    inside = sorted(np.flatnonzero(chosen[k]).tolist(), key=lambda j: -share[k, j])
-                    names.append(langs[best])
-                    scores.append(min(1.0, float(share[k, best])))
-                    sets.append([langs[j] for j in inside])
-                    shares.append([float(share[k, j]) for j in inside])
+            names, scores, sets, shares = judge(*text_bytes(batch.column(1)), langs, logp.value, penalty)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
                 names=["doc_id", "lang_pred", "score", "langs", "shares"],

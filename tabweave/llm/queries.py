@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import core, decontamination, kd_sharding, language_id, packing, secret_scan, simhash_dedup, substring_dedup, suffix_dedup
+from . import core, decontamination, kd_sharding, language_id, packing, pii_sanitiser, quality_rules, secret_scan, simhash_dedup, substring_dedup, suffix_dedup
 
 
 def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = quality_rules.quality_rules(core.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged
+
+
 def op3_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(core.documents(spark, sf_dir))
 
@@ -33,6 +38,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_pii_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_sanitiser.pii_sanitiser(core.documents(spark, sf_dir))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(core.documents(spark, sf_dir), n=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -56,10 +65,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_sharding": op1_kd_sharding,
+    "op2_quality_rules": op2_quality_rules,
     "op3_secret_entropy": op3_secret_entropy,
     "op4_language_mixture": op4_language_mixture,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_pii_sanitiser": op7_pii_sanitiser,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,

@@ -241,3 +241,10 @@ def simhash_dedup(df: DataFrame, shingle: int = 3, radius: int = 2, id_col: str
     # only linked points can differ from their own smallest id
     table = settled(named.join(group.hint("merge"), "root").select("fp", "component_id"), "classes")
     return prints.join(table.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` (all columns) whose id is the smallest of its component; rows that share an id are one document."""
+    found = simhash_dedup(df, shingle, radius, id_col, text_col)
+    gone = settled(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")), "gone")
+    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
