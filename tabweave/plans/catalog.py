@@ -1 +1,3 @@
 """Imports the modules that register queries."""
+
+from . import q_fidelity  # noqa: F401
