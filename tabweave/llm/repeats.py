@@ -165,16 +165,17 @@ def shared_runs(docs: DataFrame, unit: str, n: int, gram: int) -> DataFrame:
     """The runs whose anchor stands at two places at least, settled: doc_id, at, anchor, content.
 
     The first pass moves only anchors and their counts, combined before the shuffle; the
-    second is an equi-join on the anchor, whose large partitions Spark splits.
+    second is an equi-join on the anchor.  The counts are settled first, so that both sides
+    of the join are plain shuffles: Spark splits the partition of a common anchor.
     """
-    anchors = runs(docs, unit, n, gram).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    anchors = settled(runs(docs, unit, n, gram).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "anchors")
     return settled(runs(docs, unit, n, gram).join(anchors.hint("merge"), "anchor").select("doc_id", "at", "anchor", "content"), f"runs-{unit}{n}")
 
 
 def contents(shared: DataFrame) -> DataFrame:
     """One row a (anchor, content): copies, the smallest doc_id, and the number of contents of the anchor (kinds)."""
-    per = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_doc"))
-    kinds = per.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    per = settled(shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_doc")), "copies")
+    kinds = settled(per.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
     return settled(per.join(kinds.hint("merge"), "anchor"), "contents")
 
 

@@ -119,12 +119,12 @@ def repeated_starts(texts: list[bytes], n: int) -> list[np.ndarray]:
 
 
 def _pieces(docs_runs: DataFrame, n: int) -> DataFrame:
-    """From (doc_id, text, open) to one row a wanted run with its bytes: doc_id, start, anchor, piece."""
+    """From (doc_id, text, open) to one row a wanted run with its bytes: doc_id, start, anchor, its place in the run, piece."""
 
     def scan(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            raw, rows, starts, anchors, pieces = data.tobytes(), [], [], [], []
+            raw, rows, starts, anchors, places, pieces = data.tobytes(), [], [], [], [], []
             for row in range(batch.num_rows):
                 v = batch.column(2)[row].values
                 for at, anchor in zip(v.field(0).to_pylist(), v.field(1).to_pylist()):
@@ -133,12 +133,15 @@ def _pieces(docs_runs: DataFrame, n: int) -> DataFrame:
                     starts.append(a)
                     anchors.append(anchor)
                     lo = int(offsets[row]) + a
-                    pieces.append(raw[lo : lo + ((at & 0xFFFF) >> 1) - 1 + n])
+                    hi = lo + ((at & 0xFFFF) >> 1) - 1 + n
+                    sums, inside = prefix_sums(byte_symbols(data[lo:hi])), np.arange(hi - lo - GRAM + 1)
+                    places.append(int((mix(piece_hash(sums, inside, inside + GRAM)).view(np.int64) == anchor).argmax()))
+                    pieces.append(raw[lo:hi])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(anchors, pa.int64()), pa.array(pieces, pa.binary())], names=["doc_id", "start", "anchor", "piece"]
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(anchors, pa.int64()), pa.array(places, pa.int64()), pa.array(pieces, pa.binary())], names=["doc_id", "start", "anchor", "place", "piece"]
             )
 
-    return docs_runs.mapInArrow(scan, "doc_id long, start long, anchor long, piece binary")
+    return docs_runs.mapInArrow(scan, "doc_id long, start long, anchor long, place long, piece binary")
 
 
 def _sorted_repeats(pieces: DataFrame, n: int) -> DataFrame:
@@ -170,24 +173,60 @@ def _sorted_repeats(pieces: DataFrame, n: int) -> DataFrame:
     return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, "doc_id long, start long, stop long")
 
 
-def _hot_windows(pieces: DataFrame, n: int) -> DataFrame:
-    """One row a window of ``pieces``: doc_id, start, anchor, hash."""
+#: Windows a block, by round; the last is a single window, whose core is all of it.
+BLOCKS = (64, 16, 4, 1)
+
+
+def _blocks(pieces: DataFrame, n: int, size: int) -> DataFrame:
+    """Cut runs (doc_id, start, anchor, place, piece) into blocks of ``size`` windows by distance from the anchor.
+
+    ``place`` is where the anchor stands in the piece.  Adds block (number), core and
+    content (hashes of what all windows of the whole block hold, and of the piece itself).
+    """
+    reach = n - GRAM
 
     def scan(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(3))
-            row = np.repeat(np.arange(batch.num_rows), np.maximum(np.diff(offsets) - n + 1, 0))
-            sums = prefix_sums(byte_symbols(data))
-            first = np.append(0, np.cumsum(np.maximum(np.diff(offsets) - n + 1, 0)))[:-1]
-            inside = np.arange(len(row)) - first[row]
-            place = offsets[row] + inside
-            ids = pa.array(row)
-            start = batch.column(1).to_numpy()[row] + inside
+            data, offsets = text_bytes(batch.column(4))
+            start, place = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            windows = np.diff(offsets) - n + 1
+            # window w of a piece stands at distance u = w - place + reach >= 0
+            low, high = reach - place, reach - place + windows - 1
+            number = high // size - low // size + 1
+            row = np.repeat(np.arange(len(windows)), number)
+            block = low[row] // size + np.arange(len(row)) - np.repeat(np.append(0, np.cumsum(number)[:-1]), number)
+            first = np.maximum(block * size, low[row]) - low[row]
+            last = np.minimum(block * size + size - 1, high[row]) - low[row]
+            sums, at = prefix_sums(byte_symbols(data)), offsets[row]
+            a, b = block * size + size - 1 - low[row], block * size - low[row] + n
+            core = mix(piece_hash(sums, at + np.minimum(a, b), at + b))
+            content = mix(piece_hash(sums, at + first, at + last + n) + (last - first).astype(np.uint64) + (first + low[row]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            raw, ids = data.tobytes(), pa.array(row)
+            cut = [raw[x:y] for x, y in zip((at + first).tolist(), (at + last + n).tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(ids), pa.array(start), batch.column(2).take(ids), pa.array(mix(piece_hash(sums, place, place + n)).view(np.int64))], names=["doc_id", "start", "anchor", "hash"]
+                [batch.column(0).take(ids), pa.array(start[row] + first), batch.column(2).take(ids), pa.array(place[row] - first), pa.array(cut, pa.binary()), pa.array(block), pa.array(core.view(np.int64)), pa.array(content.view(np.int64))],
+                names=["doc_id", "start", "anchor", "place", "piece", "block", "core", "content"],
             )
 
-    return pieces.mapInArrow(scan, "doc_id long, start long, anchor long, hash long")
+    return pieces.mapInArrow(scan, "doc_id long, start long, anchor long, place long, piece binary, block long, core long, content long")
+
+
+def _refined(pieces: DataFrame, n: int) -> DataFrame:
+    """(doc_id, start, stop) of the repeated windows of ``pieces`` (doc_id, start, anchor, place, piece), by ever smaller blocks."""
+    found = None
+    for size in BLOCKS:
+        cut = settled(_blocks(pieces, n, size), "blocks")
+        key = ["anchor", "block", "core"]
+        per = settled(cut.groupBy(*key, "content").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("d")), "per")
+        kinds = settled(per.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds")), "kinds")
+        per = settled(per.join(kinds.hint("merge"), key).where("copies > 1 or kinds > 1"), "open")
+        told = cut.join(per.hint("merge"), [*key, "content"])
+        again = told.where("copies > 1").select("doc_id", "start", (F.col("start") + F.length("piece")).alias("stop"))
+        found = again if found is None else found.unionByName(again)
+        # what repeats as a whole goes on as a few copies, for others to be compared with
+        few = (F.col("copies") == 1) | F.col("doc_id").eqNullSafe(F.col("d"))
+        pieces = told.where("kinds > 1").where(few).select("doc_id", "start", "anchor", "place", "piece")
+    return found
 
 
 def repeat_spans(docs: DataFrame, n: int) -> DataFrame:
@@ -201,14 +240,13 @@ def repeat_spans(docs: DataFrame, n: int) -> DataFrame:
     opened = runs.where("kinds > 1").where(rep)
     lists = opened.groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor")).alias("open"))
     pieces = settled(
-        _pieces(by_id(docs, lists, "inner").select("doc_id", "text", "open"), n).join(kinds.where("kinds > 1").groupBy("anchor").agg(F.max("kinds").alias("kinds")).hint("merge"), "anchor").select("doc_id", "start", "anchor", "piece", "kinds"),
+        _pieces(by_id(docs, lists, "inner").select("doc_id", "text", "open"), n).join(kinds.where("kinds > 1").groupBy("anchor").agg(F.max("kinds").alias("kinds")).hint("merge"), "anchor").select("doc_id", "start", "anchor", "place", "piece", "kinds"),
         "pieces",
     )
-    ordered = _sorted_repeats(pieces.where(F.col("kinds") <= HOT).drop("kinds"), n)
-    windows = _hot_windows(pieces.where(F.col("kinds") > HOT).drop("kinds"), n)
-    again = windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor", "hash")
-    hot = windows.join(again.hint("merge"), ["anchor", "hash"]).select("doc_id", "start", (F.col("start") + n).alias("stop"))
-    return whole.unionByName(ordered).unionByName(hot)
+    ordered = _sorted_repeats(pieces.where(F.col("kinds") <= HOT).select("doc_id", "start", "anchor", "piece"), n)
+    hot = pieces.where(F.col("kinds") > HOT).drop("kinds")
+    found = whole.unionByName(ordered)
+    return found if hot.isEmpty() else found.unionByName(_refined(hot, n))
 
 
 def suffix_dedup(df: DataFrame, n: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
