@@ -1,3 +1,3 @@
 """Imports the modules that register queries."""
 
-from . import q_fidelity, q_profile, q_sources  # noqa: F401
+from . import q_encode, q_fidelity, q_profile, q_sampling, q_sources  # noqa: F401
