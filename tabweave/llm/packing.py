@@ -24,33 +24,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import keyed_docs, settled
+from .core import keyed_docs, settled, text_bytes
 
 END_ID = 0
-#: Distinct words whose ids a worker keeps; beyond it the cache starts anew.
-CACHE = 400_000
-_CHUNK = re.compile(r"[^ \n\t\r]+")
-#: Separators that ``str.split`` takes for white space, but the vocabulary's pattern does not.
-_ODD = re.compile(r"[\x1c-\x1f]")
+#: Distinct words whose ids a task keeps; beyond it the cache starts anew.
+CACHE = 1_000_000
+#: Texts tokenised at once.
+ROWS = 256
+#: Words of plain small letters (ASCII and Latin-1): the vocabulary takes each as one piece, so many go in one call.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Of these a trailing one is a piece of its own after a letter.
+_TRAILING = b".,!?;:"
+_JOINED = 64
 
 
 def _encoder(path: str):
-    """From text to little-endian 32-bit ids.  White space never joins words in this vocabulary, so words are cached."""
+    """From UTF-8 texts to little-endian 32-bit ids.
+
+    White space never joins words in this vocabulary and case does not count, so words are
+    encoded once per task.  New plain words are encoded many in a call; the pieces that end
+    a word tell them apart.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    cache: dict[str, bytes] = {}
-
-    def encode(texts: list[str]) -> list[bytes]:
-        words = [t.split() if t.isascii() and not _ODD.search(t) else _CHUNK.findall(t) for t in texts]
-        new = list({w for row in words for w in row if w not in cache})
+    ends = np.zeros(max(tokenizer.get_vocab(True).values()) + 1, bool)
+    ends[[i for t, i in tokenizer.get_vocab(True).items() if t.endswith("</w>")]] = True
+    cache: dict[bytes, bytes] = {}
+
+    def single(words: list[bytes]) -> None:
+        got = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        for w, e in zip(words, got):
+            cache[w] = np.array(e.ids, "<u4").tobytes()
+
+    def plain(words: list[bytes]) -> None:
+        groups = [words[k : k + _JOINED] for k in range(0, len(words), _JOINED)]
+        for group, e in zip(groups, tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            stops = (np.flatnonzero(ends[ids]) + 1).tolist()
+            if len(stops) != len(group):
+                single(group)
+                continue
+            raw, a = ids.tobytes(), 0
+            for w, z in zip(group, stops):
+                cache[w] = raw[4 * a : 4 * z]
+                a = z
+
+    def learn(new: set[bytes]) -> None:
+        bare: set[bytes] = set()
+        split, other = [], []
+        for w in new:
+            if _PLAIN.fullmatch(w):
+                bare.add(w)
+            elif w[-1] in _TRAILING and _PLAIN.fullmatch(w, 0, len(w) - 1):
+                split.append(w)
+                bare.add(w[:-1])
+            else:
+                other.append(w)
+        single([m for m in (bytes([c]) for c in _TRAILING) if m not in cache])
+        plain([w for w in bare if w not in cache])
+        for w in split:
+            cache[w] = cache[w[:-1]] + cache[w[-1:]]
+        single(other)
+
+    def encode(texts: list[bytes]) -> list[bytes]:
+        words = [t.split() for t in texts]
+        every: set[bytes] = set()
+        for row in words:
+            every.update(row)
+        new = {w for w in every if w not in cache}
         if len(cache) + len(new) > CACHE:
             cache.clear()
-            new = list({w for row in words for w in row})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
+            new = every
+        learn(new)
         get = cache.__getitem__
         return [b"".join(map(get, row)) for row in words]
 
@@ -64,10 +110,17 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc
     def scan(batches):
         encode = _encoder(tokenizer_path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            data, offsets = text_bytes(batch.column(1))
+            # only ASCII capitals are lowered here: the vocabulary's own lower-casing sees to all others
+            given = data.tobytes()
+            raw = given.lower()
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                texts = [raw[offsets[i] : offsets[i + 1]] for i in range(lo, lo + part.num_rows)]
+                # names of special ids count in their own spelling only
+                texts = [given[offsets[i + lo] : offsets[i + lo + 1]] if b"<|" in t else t for i, t in enumerate(texts)]
                 rows, numbers, starts, lengths, sums, ids = [], [], [], [], [], []
-                for row, got in enumerate(encode([t or "" for t in part.column(1).to_pylist()])):
+                for row, got in enumerate(encode(texts)):
                     got += end
                     for k, a in enumerate(range(0, len(got), 4 * capacity)):
                         own = got[a : a + 4 * capacity]
