@@ -55,8 +55,19 @@ def keyed_docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def signed(name: str) -> Column:
-    return F.col(name).cast("long")
+#: Stand-ins for null ids start here: they sort after all others.
+NO_ID = 1 << 62
+
+
+def identified_docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``keyed_docs`` where a null id has a stand-in made from the text, so that such rows stay apart."""
+    own = F.lit(NO_ID) + F.xxhash64("text").bitwiseAND((1 << 61) - 1)
+    return keyed_docs(df, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", own))
+
+
+def real_id() -> Column:
+    """The id as it was given: stand-ins become null again."""
+    return F.when(F.col("doc_id") < NO_ID, F.col("doc_id")).alias("doc_id")
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -193,8 +193,8 @@ def spans_by_doc(spans: DataFrame, name: str) -> DataFrame:
 
 
 def covered(lists, size: int) -> np.ndarray:
-    """Mask of the places below ``size`` that lie in one of the (start, stop) arrays."""
-    start, stop = lists
+    """Mask of the places below ``size`` that lie in one of the (start, stop) arrays (what lies beyond is left out)."""
+    start, stop = (np.minimum(x, size) for x in lists)
     step = np.zeros(size + 1, np.int64)
     np.add.at(step, start, 1)
     np.add.at(step, stop, -1)
@@ -214,6 +214,5 @@ def span_count(mask: np.ndarray) -> int:
 
 
 def by_id(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join on doc_id where null equals null."""
-    r = right.withColumnRenamed("doc_id", "_id")
-    return left.join(r, left["doc_id"].eqNullSafe(r["_id"]), how).drop("_id")
+    """Join on doc_id (never null here, see ``identified_docs``)."""
+    return left.join(right, "doc_id", how)

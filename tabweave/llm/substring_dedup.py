@@ -3,8 +3,9 @@
 Windows are hashed in the scan, travel as runs (see ``repeats``), and are counted in
 Spark; what repeats an earlier window is removed as maximal intervals.
 
-Nulls: a null text has no words; a row with a null id sorts after all others, and rows
-that repeat an id are parts of one document's identity (neither is earlier).  Empty
+Nulls: a null text has no words; rows with a null id are documents of their own that sort
+after all others.  Rows that repeat an id and text are one document (neither is earlier);
+rows that share an id but not the text share the removed places of their id.  Empty
 texts and texts shorter than a window are kept whole.  An empty table gives no rows.
 Only the named id and text columns are read, so other columns may have any names.
 """
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import keyed_docs, mix, text_bytes
+from .core import identified_docs, mix, real_id, text_bytes
 from .repeats import by_id, contents, count_of, covered, piece_hash, prefix_sums, shared_runs, span_arrays, span_count, spans_by_doc, start_of, word_bounds, word_symbols
 
 GRAM = 5
@@ -35,6 +36,8 @@ def _windows(docs_runs: DataFrame, n: int) -> DataFrame:
                 at, anchor = v.field(0).to_numpy(zero_copy_only=False), v.field(1).to_numpy(zero_copy_only=False)
                 text = data[offsets[row] : offsets[row + 1]]
                 a, b, _ = word_bounds(text, np.array([0, len(text)]))
+                inside = (at >> 16) + ((at & 0xFFFF) >> 1) - 1 + n <= len(a)
+                at, anchor = at[inside], anchor[inside]
                 sums = prefix_sums(word_symbols(text, a, b))
                 count = (at & 0xFFFF) >> 1
                 place = np.repeat((at >> 16) - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
@@ -59,14 +62,14 @@ def removal_spans(docs: DataFrame, n: int) -> DataFrame:
     shared = shared_runs(docs, "word", n, GRAM)
     kinds = contents(shared)
     runs = shared.join(kinds.hint("merge"), ["anchor", "content"])
-    rep = F.col("doc_id").eqNullSafe(F.col("least_doc")) & (F.col("at").bitwiseAND(1) == 1)
+    rep = (F.col("doc_id") == F.col("least_doc")) & (F.col("at").bitwiseAND(1) == 1)
     copies = runs.where("copies > 1").where(~rep).select("doc_id", start_of().alias("start"), (start_of() + count_of() - 1 + n).alias("stop"))
     open_runs = runs.where("kinds > 1").where(rep).groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor")).alias("open"))
     windows = _windows(by_id(docs, open_runs, "inner").select("doc_id", "text", "open"), n)
     # the earliest place of each window, as one packed value where ids allow no struct in a hash aggregate
-    first = windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "start")).alias("f")).where("c > 1")
+    first = windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "start")).alias("f")).where("c > 1")
     later = windows.join(first.hint("merge"), ["anchor", "hash"]).where(
-        ~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("start") == F.col("f.start")))
+        (F.col("doc_id") != F.col("f.doc_id")) | (F.col("start") != F.col("f.start"))
     )
     return copies.unionByName(later.select("doc_id", "start", (F.col("start") + n).alias("stop")))
 
@@ -77,7 +80,7 @@ def substring_dedup(df: DataFrame, n: int = 20, id_col: str = "doc_id", text_col
     Returns doc_id, n_words, n_removed, n_spans (maximal removed intervals), kept_text
     (the other words joined by one space).  Windows are judged on the input.
     """
-    docs = keyed_docs(df, id_col, text_col)
+    docs = identified_docs(df, id_col, text_col)
     spans = spans_by_doc(removal_spans(docs, n), "spans")
 
     def apply(batches):
@@ -102,4 +105,5 @@ def substring_dedup(df: DataFrame, n: int = 20, id_col: str = "doc_id", text_col
             )
 
     joined = by_id(docs, spans, "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(apply, "doc_id long, n_words long, n_removed long, n_spans long, kept_text string")
+    out = joined.mapInArrow(apply, "doc_id long, n_words long, n_removed long, n_spans long, kept_text string")
+    return out.withColumn("doc_id", real_id())

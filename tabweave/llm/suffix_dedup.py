@@ -9,8 +9,8 @@ windows repeat.  Anchors with more than ``HOT`` different contents (one passage
 many surroundings) would make one task's share grow with the corpus; their single windows
 are hashed and counted in Spark instead, which is exact too.
 
-Nulls: a null text is empty; rows with a null id, or that repeat an id, count as
-documents of their own and share the removal of their id.  Texts shorter than a window
+Nulls: a null text is empty; rows with a null id, or that repeat an id, are documents of
+their own (those that share an id but not the text share the removed places of their id).  Texts shorter than a window
 are kept whole.  An empty table gives no rows.  Only the named columns are read.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import keyed_docs, mix, settled, text_bytes
+from .core import identified_docs, mix, real_id, settled, text_bytes
 from .repeats import by_id, byte_symbols, contents, count_of, covered, piece_hash, prefix_sums, shared_runs, span_arrays, span_count, spans_by_doc, start_of
 
 GRAM = 128
@@ -129,6 +129,8 @@ def _pieces(docs_runs: DataFrame, n: int) -> DataFrame:
                 v = batch.column(2)[row].values
                 for at, anchor in zip(v.field(0).to_pylist(), v.field(1).to_pylist()):
                     a = at >> 16
+                    if a + ((at & 0xFFFF) >> 1) - 1 + n > offsets[row + 1] - offsets[row]:
+                        continue
                     rows.append(row)
                     starts.append(a)
                     anchors.append(anchor)
@@ -224,7 +226,7 @@ def _refined(pieces: DataFrame, n: int) -> DataFrame:
         again = told.where("copies > 1").select("doc_id", "start", (F.col("start") + F.length("piece")).alias("stop"))
         found = again if found is None else found.unionByName(again)
         # what repeats as a whole goes on as a few copies, for others to be compared with
-        few = (F.col("copies") == 1) | F.col("doc_id").eqNullSafe(F.col("d"))
+        few = (F.col("copies") == 1) | (F.col("doc_id") == F.col("d"))
         pieces = told.where("kinds > 1").where(few).select("doc_id", "start", "anchor", "place", "piece")
     return found
 
@@ -236,7 +238,7 @@ def repeat_spans(docs: DataFrame, n: int) -> DataFrame:
     runs = shared.join(kinds.hint("merge"), ["anchor", "content"])
     whole = runs.where("copies > 1").select("doc_id", start_of().alias("start"), (start_of() + count_of() - 1 + n).alias("stop"))
     # one copy of each content: the others repeat as a whole already
-    rep = F.col("doc_id").eqNullSafe(F.col("least_doc")) & (F.col("at").bitwiseAND(1) == 1)
+    rep = (F.col("doc_id") == F.col("least_doc")) & (F.col("at").bitwiseAND(1) == 1)
     opened = runs.where("kinds > 1").where(rep)
     lists = opened.groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor")).alias("open"))
     pieces = settled(
@@ -255,7 +257,7 @@ def suffix_dedup(df: DataFrame, n: int = 400, id_col: str = "doc_id", text_col:
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the other
     bytes, binary: a cut may fall inside a character).  Strings are judged on the input.
     """
-    docs = keyed_docs(df, id_col, text_col)
+    docs = identified_docs(df, id_col, text_col)
     spans = spans_by_doc(repeat_spans(docs, n), "spans")
 
     def apply(batches):
@@ -273,4 +275,5 @@ def suffix_dedup(df: DataFrame, n: int = 400, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = by_id(docs, spans, "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.withColumn("doc_id", real_id())
