@@ -69,6 +69,7 @@ def _cut_level(meta: DataFrame, root: Node, open_nodes: list[Node], dims: list[s
     """Split all ``open_nodes``, their histograms in common jobs."""
     extent = _extent(meta, root, dims)
     state: dict[int, dict] = {}
+    at = _walk(root)  # before any of these nodes has its cut
     for n in open_nodes:
         e = extent.get(n.first)
         if e is None:
@@ -83,7 +84,6 @@ def _cut_level(meta: DataFrame, root: Node, open_nodes: list[Node], dims: list[s
     while state:
         where, bins = F.lit(None).cast("int"), F.lit(None).cast("int")
         value = F.lit(None).cast("long")
-        at = _walk(root)
         for first, s in state.items():
             name = s["order"][0]
             mine = (at == first) & F.col(name).between(F.lit(s["lo"]), F.lit(s["hi"]))

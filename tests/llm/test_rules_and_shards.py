@@ -120,6 +120,6 @@ def test_pipeline_stages(spark, sf_dir, docs):
         now = spark.createDataFrame(new.collect(), docs.schema)
     out = corpus_pipeline.run(spark, sf_dir)
     assert {r[0] for r in out.select("doc_id").collect()} == {r["doc_id"] for r in now.collect()}
-    from test_scans import brute_secrets
+    from tests.llm.test_scans import brute_secrets
 
     assert not any(brute_secrets(r["text"]) for r in now.collect())
