@@ -164,7 +164,7 @@ def validate(df: DataFrame, spec: TableSpec) -> DataFrame:
         one = df.agg(*[x.cast("long").alias(f"r{i}") for i, (_, _, x) in enumerate(rules)])
         out = out.unionByName(_stack(one, [F.struct(F.lit(r).alias("rule"), F.lit(c).alias("col"), F.col(f"r{i}").alias("n")) for i, (r, c, _) in enumerate(rules)]))
     if keys:
-        repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).where("k > 1").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
+        repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1").agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("n"))
         out = out.unionByName(repeated.select(F.lit("repeated_key").alias("rule"), F.lit(",".join(keys)).alias("col"), "n"))
     return out
 
