@@ -99,7 +99,15 @@ def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[in
             merged[-1][1] = max(b, merged[-1][1])
         else:
             merged.append([a, b])
-    return [(a, 3, b) for a, b in merged if not any(s <= a and b <= e for s, _, e in taken)]
+    out, reach, k = [], 0, 0
+    for a, b in merged:
+        # the farthest end of the fixed spans that start no later
+        while k < len(taken) and taken[k][0] <= a:
+            reach = max(reach, taken[k][2])
+            k += 1
+        if b > reach:
+            out.append((a, 3, b))
+    return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -205,7 +205,7 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
     """(node, root): the smallest node of each node's component, for nodes with a link.
 
     Alternates large-star and small-star: every node points its larger (then smaller)
@@ -226,9 +226,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         now = settled(new, "links")
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if mark == seen:
-            break
+            return now.select(F.col("y").alias("node"), F.col("x").alias("root"))
         seen = mark
-    return now.select(F.col("y").alias("node"), F.col("x").alias("root"))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def simhash_dedup(df: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
