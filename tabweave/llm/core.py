@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -70,6 +72,11 @@ def real_id() -> Column:
     return F.when(F.col("doc_id") < NO_ID, F.col("doc_id")).alias("doc_id")
 
 
+def worker_store() -> dict:
+    """A dictionary of this Python process: it outlives the task where Spark reuses its workers."""
+    return sys.modules.setdefault("tabweave_worker", types.ModuleType("tabweave_worker")).__dict__
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column (null counts as empty) and the n + 1 offsets into them, without copies."""
     arr = pc.fill_null(col, "").cast(pa.large_binary())

@@ -15,6 +15,7 @@ columns are read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import keyed_docs, settled, text_bytes
+from .core import keyed_docs, settled, text_bytes, worker_store
 
 END_ID = 0
-#: Distinct words whose ids a task keeps; beyond it the cache starts anew.
-CACHE = 1_000_000
+#: Distinct words whose ids a worker keeps; beyond it the cache starts anew.
+CACHE = 400_000
 #: Texts tokenised at once.
 ROWS = 256
 #: Words of plain small letters (ASCII and Latin-1): the vocabulary takes each as one piece, so many go in one call.
@@ -41,16 +42,22 @@ _JOINED = 64
 def _encoder(path: str):
     """From UTF-8 texts to little-endian 32-bit ids.
 
-    White space never joins words in this vocabulary and case does not count, so words are
-    encoded once per task.  New plain words are encoded many in a call; the pieces that end
+    White space never joins words in this vocabulary and case does not count, so a worker
+    encodes a word once.  New plain words are encoded many in a call; the pieces that end
     a word tell them apart.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    ends = np.zeros(max(tokenizer.get_vocab(True).values()) + 1, bool)
-    ends[[i for t, i in tokenizer.get_vocab(True).items() if t.endswith("</w>")]] = True
-    cache: dict[bytes, bytes] = {}
+    kept = worker_store()
+    if ("tokenizer", path) not in kept:
+        # tasks fill the cores: threads of the tokenizer's own would only add memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab(True)
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        kept["tokenizer", path] = tokenizer, ends, {}
+    tokenizer, ends, cache = kept["tokenizer", path]
 
     def single(words: list[bytes]) -> None:
         got = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -103,35 +110,41 @@ def _encoder(path: str):
     return encode
 
 
-def pieces(df: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32, ids (little-endian 32-bit)."""
+def pieces(df: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+    """One row a piece: doc_id, piece, start, length, ids_crc32, and if asked for ids (little-endian 32-bit)."""
     end = np.array([END_ID], "<u4").tobytes()
 
     def scan(batches):
         encode = _encoder(tokenizer_path)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            # only ASCII capitals are lowered here: the vocabulary's own lower-casing sees to all others
-            given = data.tobytes()
-            raw = given.lower()
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
-                texts = [raw[offsets[i] : offsets[i + 1]] for i in range(lo, lo + part.num_rows)]
+                offs = (offsets[lo : lo + ROWS + 1] - offsets[lo]).tolist()
+                # only ASCII capitals are lowered here: the vocabulary's own lower-casing sees to all others
+                given = data[offsets[lo] : offsets[lo] + offs[-1]].tobytes()
+                raw = given.lower()
                 # names of special ids count in their own spelling only
-                texts = [given[offsets[i + lo] : offsets[i + lo + 1]] if b"<|" in t else t for i, t in enumerate(texts)]
+                special = b"<|" in raw
+                texts = [given[a:z] if special and b"<|" in raw[a:z] else raw[a:z] for a, z in zip(offs, offs[1:])]
                 rows, numbers, starts, lengths, sums, ids = [], [], [], [], [], []
                 for row, got in enumerate(encode(texts)):
                     got += end
                     for k, a in enumerate(range(0, len(got), 4 * capacity)):
                         own = got[a : a + 4 * capacity]
-                        for o, v in zip((rows, numbers, starts, lengths, sums, ids), (row, k, a // 4, len(own) // 4, zlib.crc32(own), own)):
-                            o.append(v)
+                        rows.append(row)
+                        numbers.append(k)
+                        starts.append(a // 4)
+                        lengths.append(len(own) // 4)
+                        sums.append(zlib.crc32(own))
+                        if keep_ids:
+                            ids.append(own)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows)), pa.array(numbers, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums)), pa.array(ids, pa.binary())],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
+                    [part.column(0).take(pa.array(rows)), pa.array(numbers, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums)), *([pa.array(ids, pa.binary())] if keep_ids else [])],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])],
                 )
 
-    return keyed_docs(df, id_col, text_col).mapInArrow(scan, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return keyed_docs(df, id_col, text_col).mapInArrow(scan, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def match_rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -218,6 +231,5 @@ def best_fit_packing(df: DataFrame, tokenizer_path: str, capacity: int = 2048, i
     Offsets within a sequence are gapless from 0.  The ids are written once with their
     piece and not shuffled unless ``keep_ids`` asks for them in the result.
     """
-    found = pieces(df, tokenizer_path, capacity, id_col, text_col)
-    found = settled(found if keep_ids else found.drop("ids"), "pieces")
+    found = settled(pieces(df, tokenizer_path, capacity, id_col, text_col, keep_ids), "pieces")
     return pack(found, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []), "sequence_id", "offset")
