@@ -16,25 +16,25 @@ _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 @register("g01_k_anonymity")
 def g01(spark, sf):
     real, fake, _ = thirds(spark, sf)
-    return G.k_anonymity(real, fake, _NUM, (2, 5))
+    return G.k_anonymity(real, fake, _NUM)
 
 
 @register("g02_l_diversity")
 def g02(spark, sf):
     real, fake, _ = thirds(spark, sf)
-    return G.l_diversity(real, fake, _NUM, ["l_returnflag", "l_linenumber"], (2, 5))
+    return G.l_diversity(real, fake, _NUM, ["l_returnflag", "l_linenumber"])
 
 
 @register("g03_k_map")
 def g03(spark, sf):
     real, fake, _ = thirds(spark, sf)
-    return G.k_map(real, fake, _NUM, (2, 5))
+    return G.k_map(real, fake, _NUM)
 
 
 @register("g04_delta_presence")
 def g04(spark, sf):
     real, fake, _ = thirds(spark, sf)
-    return G.delta_presence(real, fake, _NUM, (2, 5))
+    return G.delta_presence(real, fake, _NUM)
 
 
 _K = ", ".join(KEYS)
