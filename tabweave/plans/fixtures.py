@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 DISC = ["l_returnflag", "l_linestatus", "l_linenumber"]
 CONT = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-EMB = 8  # leading dimensions of the embeddings that neighbour queries use
+EMB = 8  # leading dimensions of the embeddings that neighbour queries with a SQL twin use
+DIMS = 64  # all dimensions of the embeddings
 
 REAL = "(SELECT * FROM lineitem WHERE l_orderkey % 10 < 5)"
 FAKE = "(SELECT * FROM lineitem WHERE l_orderkey % 10 BETWEEN 5 AND 7)"
@@ -34,12 +35,13 @@ def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return oc.where("o_orderkey % 2 = 0"), oc.where("o_orderkey % 2 = 1")
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vectors(spark: SparkSession, sf_dir: str, dims: int = EMB) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", *[F.get("embedding", k).cast("double").alias(f"e{k}") for k in range(EMB)])
+    return e.select("vec_id", "label", *[F.get("embedding", k).cast("double").alias(f"e{k}") for k in range(dims)])
 
 
 EMB_COLS = [f"e{k}" for k in range(EMB)]
+ALL_COLS = [f"e{k}" for k in range(DIMS)]
 EMB_SQL = "(SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}" for k in range(EMB)) + " FROM embeddings)"
 
 

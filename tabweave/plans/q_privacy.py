@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.neighbours import kde
 from ..operators import privacy as G
-from .fixtures import EMB_COLS, EMB_SQL, OC_FAKE, OC_REAL, halves, rounded, table, thirds, union_all, vectors
+from .fixtures import ALL_COLS, DIMS, EMB, EMB_COLS, EMB_SQL, OC_FAKE, OC_REAL, halves, rounded, table, thirds, union_all, vectors
 from .registry import register
 
 KEYS, SENSITIVE = ["o_orderpriority", "c_mktsegment", "c_nationkey"], ["o_orderstatus"]
@@ -58,8 +58,8 @@ def g05(spark, sf):
 _R, _F2 = f"(SELECT * FROM {EMB_SQL} e WHERE vec_id % 2 = 0)", f"(SELECT * FROM {EMB_SQL} e WHERE vec_id % 2 = 1)"
 
 
-def _split(spark, sf):
-    v = vectors(spark, sf)
+def _split(spark, sf, dims=EMB):
+    v = vectors(spark, sf, dims)
     return v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1")
 
 
@@ -103,8 +103,8 @@ def g07(spark, sf):
 
 @register("g07_bootstrap")
 def g07_bootstrap(spark, sf):
-    real, fake = _split(spark, sf)
-    return G.bootstrap_dcr_nndr(real, fake, "vec_id", EMB_COLS, replicates=4)
+    real, fake = _split(spark, sf, DIMS)
+    return G.bootstrap_dcr_nndr(real, fake, "vec_id", ALL_COLS, replicates=4)
 
 
 _G8 = {"real_fake": _near(_std(_R), _std(_F2)), "real_real": _near(_std(_R), _std(_R), True), "fake_fake": _near(_std(_F2), _std(_F2), True)}
@@ -162,16 +162,16 @@ def g12(spark, sf):
 
 @register("g13_linkability")
 def g13(spark, sf):
-    v = vectors(spark, sf)
+    v = vectors(spark, sf, DIMS)
     k = F.col("vec_id") % 4
-    return G.linkability(v.where(k < 2), v.where(k == 2), v.where(k == 3), "vec_id", EMB_COLS[:4], EMB_COLS[4:], neighbours=(4, 10))
+    return G.linkability(v.where(k < 2), v.where(k == 2), v.where(k == 3), "vec_id", ALL_COLS[: DIMS // 2], ALL_COLS[DIMS // 2 :], neighbours=(4, 10))
 
 
 @register("g14_inference")
 def g14(spark, sf):
-    v = vectors(spark, sf)
+    v = vectors(spark, sf, DIMS)
     k = F.col("vec_id") % 4
-    return G.inference(v.where(k < 2), v.where(k == 2), v.where(k == 3), "vec_id", EMB_COLS, "label", tolerance=0.0)
+    return G.inference(v.where(k < 2), v.where(k == 2), v.where(k == 3), "vec_id", ALL_COLS, "label", tolerance=0.0)
 
 
 _G15 = "(SELECT COUNT(*) AS n, COUNT(*) FILTER (l_quantity > 25) AS n_attack, COUNT(*) FILTER (l_discount > 0.05) AS n_control, COUNT(*) FILTER (l_tax > 0.05) AS n_baseline FROM lineitem)"
@@ -241,6 +241,6 @@ def g18_full(spark, sf):
 
 @register("g19_score_card")
 def g19(spark, sf):
-    v = vectors(spark, sf).withColumn("bucket", F.round(F.col("e0") * 4).cast("string"))
+    v = vectors(spark, sf, DIMS).withColumn("bucket", F.round(F.col("e0") * 4).cast("string"))
     k = F.col("vec_id") % 4
-    return G.score_card(v.where(k < 2), v.where(k == 2), v.where(k == 3), "vec_id", ["bucket"], ["label"], EMB_COLS)
+    return G.score_card(v.where(k < 2), v.where(k == 2), v.where(k == 3), "vec_id", ["bucket"], ["label"], ALL_COLS)

@@ -12,3 +12,13 @@ def test_cluster_queries_use_every_k(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(G, "cluster_sizes", lambda fit_on, score, cols, k, *a, **b: (seen.add(k), real(fit_on, score, cols, k, *a, **b))[1])
     entry.queries()[name](spark, sf_dir)
     assert seen == set(G.CLUSTERS) == {2, 5, 10, 15}
+
+
+@pytest.mark.parametrize("name, operator", [("g07_bootstrap", "bootstrap_dcr_nndr"), ("g13_linkability", "linkability"), ("g14_inference", "inference"), ("g19_score_card", "score_card")])
+def test_neighbour_queries_use_all_dimensions(spark, sf_dir, monkeypatch, name, operator):
+    seen = []
+    monkeypatch.setattr(G, operator, lambda *a, **b: seen.extend(x for x in a if isinstance(x, list)))
+    entry.queries()[name](spark, sf_dir)
+    assert [f"e{k}" for k in range(64)] == [c for cols in seen for c in cols if c[:1] == "e" and c[1:].isdigit()]
+    if name == "g13_linkability":
+        assert [len(x) for x in seen] == [32, 32]
