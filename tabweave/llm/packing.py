@@ -1,12 +1,22 @@
 """Best-fit packing of documents into token sequences, in bulk-synchronous rounds.
 
 Documents are tokenised where they lie; longer ones are cut at the capacity.  Pieces of
-equal length are interchangeable, so the packing state is a table of length classes and
-gap classes, whose size depends on the capacity alone.  Rounds run over it: the length
-classes are in descending order, each finds the smallest sufficient gap class (its
-successor in the sorted gaps), pieces and gaps of a match are paired by rank, gaps shrink,
-and the next round follows.  Spark counts the classes, ranks the pieces within their
-class (a range sort in salted buckets), and applies the matches: one row a piece.
+equal length are interchangeable, and so are sequences with equal gaps, so the state of a
+round is a table of length classes and a table of gap ranges, whose sizes depend on the
+capacity and not on the corpus.  A round is one Spark job over both:
+
+* lengths and gaps are sorted together, from large to small; a gap opens as many places as
+  it has sequences, a length asks for as many as it has pieces, and running sums of the two
+  say how many places are open;
+* the sweep: within a stretch of that sum each request takes the place opened last before
+  it, which is the smallest gap that is free and suffices (the successor of the length);
+* conflicts are resolved by rank: a gap's sequences and a length's pieces are numbered, the
+  numbers follow from the sums, and what finds no place waits for the next round;
+* gaps shrink by what they took, and the next round follows.  Where a round places nothing,
+  new sequences open for what is left.
+
+Spark ranks the pieces within their length (numbered in hashed buckets) and finds each
+one's match by an equi-join on (length, block of ranks).
 
 Nulls: a null text is empty, and an empty text still has its end token.  Rows with null
 or repeated ids are packed like any other.  An empty table gives no rows.  Only the named
@@ -18,7 +28,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -26,90 +35,83 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import keyed_docs, settled, text_bytes, worker_store
+from .kd_sharding import numbered
 
 END_ID = 0
 #: Distinct words whose ids a worker keeps; beyond it the cache starts anew.
-CACHE = 400_000
-#: Texts tokenised at once.
-ROWS = 256
-#: Words of plain small letters (ASCII and Latin-1): the vocabulary takes each as one piece, so many go in one call.
-_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-#: Of these a trailing one is a piece of its own after a letter.
-_TRAILING = b".,!?;:"
-_JOINED = 64
+CACHE = 600_000
+#: Letters that the vocabulary takes as they are: small ASCII and Latin-1.
+_LETTERS = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
+_PLAIN = re.compile(_LETTERS)
+#: Words of such letters, digits and ASCII signs fall apart into runs of letters, single digits and runs of signs.
+#: Not so where an apostrophe makes a contraction or a special id might begin.
+_SIMPLE = re.compile(rb"(?:" + _LETTERS + rb"|[!-&(-;=-@\[-`{-~])+")
+_RUNS = re.compile(_LETTERS + rb"|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
+#: Ranks that share a block in the join of pieces with matches.
+BLOCK = 1024
+#: Rounds after which packing fails loudly: each places a piece or opens sequences.
+ROUNDS = 10_000
+
+
+class _Words(dict):
+    """Ids (little-endian, 32 bits) of words, learned where they are missing."""
+
+    def __init__(self, path: str):
+        # tasks fill the cores: threads of the tokenizer's own would only add memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # the vocabulary writes a byte as a printable character: those that are not printable follow from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if _PLAIN.fullmatch(word):
+            got = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word.decode("latin-1").translate(self.shown))])
+        elif _SIMPLE.fullmatch(word) and len(runs := _RUNS.findall(word)) > 1:
+            got = b"".join([self[r] for r in runs])
+        else:
+            got = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = got
+        return got
 
 
 def _encoder(path: str):
-    """From UTF-8 texts to little-endian 32-bit ids.
+    """From UTF-8 texts to little-endian 32-bit ids, a word at a time.
 
     White space never joins words in this vocabulary and case does not count, so a worker
-    encodes a word once.  New plain words are encoded many in a call; the pieces that end
-    a word tell them apart.
+    works out a word once.
     """
     kept = worker_store()
     if ("tokenizer", path) not in kept:
-        # tasks fill the cores: threads of the tokenizer's own would only add memory
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        vocabulary = tokenizer.get_vocab(True)
-        ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        kept["tokenizer", path] = tokenizer, ends, {}
-    tokenizer, ends, cache = kept["tokenizer", path]
-
-    def single(words: list[bytes]) -> None:
-        got = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, got):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-
-    def plain(words: list[bytes]) -> None:
-        groups = [words[k : k + _JOINED] for k in range(0, len(words), _JOINED)]
-        for group, e in zip(groups, tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            stops = (np.flatnonzero(ends[ids]) + 1).tolist()
-            if len(stops) != len(group):
-                single(group)
-                continue
-            raw, a = ids.tobytes(), 0
-            for w, z in zip(group, stops):
-                cache[w] = raw[4 * a : 4 * z]
-                a = z
-
-    def learn(new: set[bytes]) -> None:
-        bare: set[bytes] = set()
-        split, other = [], []
-        for w in new:
-            if _PLAIN.fullmatch(w):
-                bare.add(w)
-            elif w[-1] in _TRAILING and _PLAIN.fullmatch(w, 0, len(w) - 1):
-                split.append(w)
-                bare.add(w[:-1])
-            else:
-                other.append(w)
-        single([m for m in (bytes([c]) for c in _TRAILING) if m not in cache])
-        plain([w for w in bare if w not in cache])
-        for w in split:
-            cache[w] = cache[w[:-1]] + cache[w[-1:]]
-        single(other)
+        kept["tokenizer", path] = _Words(path)
+    words = kept["tokenizer", path]
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        every: set[bytes] = set()
-        for row in words:
-            every.update(row)
-        new = {w for w in every if w not in cache}
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = every
-        learn(new)
-        get = cache.__getitem__
-        return [b"".join(map(get, row)) for row in words]
+        out = []
+        for t in texts:
+            if len(words) > CACHE:
+                words.clear()
+            out.append(b"".join(map(words.__getitem__, t.split())))
+        return out
 
     return encode
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals of Latin-1 made small."""
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
+    if not len(second):
+        return data
+    data = data.copy()
+    data[second] += 0x20
+    return data
+
+
 def pieces(df: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, and if asked for ids (little-endian 32-bit)."""
     end = np.array([END_ID], "<u4").tobytes()
@@ -118,10 +120,11 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc
         encode = _encoder(tokenizer_path)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            for lo in range(0, batch.num_rows, ROWS):
-                part = batch.slice(lo, ROWS)
-                offs = (offsets[lo : lo + ROWS + 1] - offsets[lo]).tolist()
-                # only ASCII capitals are lowered here: the vocabulary's own lower-casing sees to all others
+            data = lowered(data)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                offs = (offsets[lo : lo + 257] - offsets[lo]).tolist()
+                # ASCII capitals are lowered here too; the vocabulary's own lower-casing sees to all others
                 given = data[offsets[lo] : offsets[lo] + offs[-1]].tobytes()
                 raw = given.lower()
                 # names of special ids count in their own spelling only
@@ -147,82 +150,89 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc
     return keyed_docs(df, id_col, text_col).mapInArrow(scan, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
-def match_rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Matches (length, first rank, pieces, first sequence, offset): piece rank r goes to sequence first + (r - first rank).
+def _sweep(gaps: DataFrame, lengths: DataFrame, bundle: int, capacity: int) -> DataFrame:
+    """The matches of one round: length, first (rank), pieces, each (of a sequence), sequence, offset, and the gap range used.
 
-    One round a length class, longest first.  A round sweeps the sorted gap classes from
-    the successor of its length on: the k-th piece left takes the k-th gap of the class,
-    and pieces that no gap suffices for open sequences of their own.
+    ``gaps`` is (gap, first, n): sequences first .. first + n - 1 have that much room;
+    ``lengths`` is (length, done, left).  ``bundle`` pieces of a length may go together.
+    """
+    each = F.least(F.lit(bundle), F.floor(F.lit(capacity) / F.col("length")), F.col("left")).cast("long")
+    opens = gaps.select(F.col("gap").alias("size"), F.lit(0).alias("asks"), F.col("first").alias("id"), F.col("n").alias("count"), F.lit(0).cast("long").alias("each"), F.col("gap").alias("what"))
+    asks = lengths.where("left > 0").withColumn("each", each)
+    asks = asks.select((F.col("length") * F.col("each")).alias("size"), F.lit(1).alias("asks"), F.col("done").alias("id"), F.floor(F.col("left") / F.col("each")).alias("count"), "each", F.col("length").alias("what"))
+    order = Window.orderBy(F.desc("size"), "asks", "what", "id")  # classes: their number does not grow with the corpus
+    step = F.when(F.col("asks") == 0, F.col("count")).otherwise(-F.col("count"))
+    seen = opens.unionByName(asks).withColumn("after", F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("t", F.row_number().over(order))
+    seen = seen.withColumn("lo", F.least("after", F.col("after") - step)).withColumn("hi", F.greatest("after", F.col("after") - step))
+    # the stretches between all values that the sum takes, and which of them an event crosses
+    marks = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("lo", "hi")).over(Window.partitionBy()))))
+    seen = seen.withColumn("marks", marks)
+    seen = seen.withColumn("k", F.explode(F.sequence(F.array_position("marks", F.col("lo")), F.array_position("marks", F.col("hi")) - 1)))
+    seen = seen.withColumn("bottom", F.element_at("marks", F.col("k").cast("int"))).withColumn("top", F.element_at("marks", F.col("k").cast("int") + 1)).drop("marks")
+    last = F.lag(F.struct("asks", "t", "what", "id", "lo")).over(Window.partitionBy("k").orderBy("t"))
+    met = seen.withColumn("open", last).where("asks = 1 and open.asks = 0")
+    met = met.groupBy("t", "open").agg(F.min("bottom").alias("bottom"), F.max("top").alias("top"), F.first("what").alias("length"), F.first("id").alias("done"), F.first("hi").alias("hi"), F.first("each").alias("each"))
+    return met.select(
+        "length", (F.col("done") + (F.col("hi") - F.col("top")) * F.col("each")).alias("first"), ((F.col("top") - F.col("bottom")) * F.col("each")).alias("pieces"), "each",
+        (F.col("open.id") + F.col("bottom") - F.col("open.lo")).alias("sequence"), (F.lit(capacity) - F.col("open.what")).alias("offset"), F.col("open.what").alias("gap"), F.col("open.id").alias("range"),
+    )
+
+
+def match_rounds(lengths: DataFrame, capacity: int) -> DataFrame:
+    """Matches (length, first, pieces, each, sequence, offset) for (length, n): rank r of a length belongs to the match that covers it.
+
+    The j-th group of ``each`` ranks from ``first`` on goes to sequence + j, one piece behind the other from ``offset`` on.
     """
-    gaps: list[int] = []
-    held: dict[int, list[tuple[int, int]]] = {}  # gap -> (first sequence, sequences) ranges
-    out, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        left, rank, room = counts[length], 0, []
-        while left:
-            at = bisect_left(gaps, length)
-            if at == len(gaps):
-                # each new sequence takes as many pieces of this class as fit
-                fit = capacity // length
-                whole, rest = divmod(left, fit)
-                for k in range(fit):
-                    if whole:
-                        out.append((length, rank + k * whole, whole, opened, k * length))
-                rank += whole * fit
-                if whole:
-                    room.append((capacity - fit * length, opened, whole))
-                    opened += whole
-                for k in range(rest):
-                    out.append((length, rank + k, 1, opened, k * length))
-                if rest:
-                    room.append((capacity - rest * length, opened, 1))
-                    opened += 1
-                break
-            gap = gaps[at]
-            first, number = held[gap].pop()
-            take = min(left, number)
-            if take < number:
-                held[gap].append((first + take, number - take))
-            elif not held[gap]:
-                del held[gap]
-                gaps.pop(at)
-            out.append((length, rank, take, first, capacity - gap))
-            rank += take
-            left -= take
-            # a gap that still holds this length serves the same round
-            if gap - length >= length:
-                if gap - length not in held:
-                    insort(gaps, gap - length)
-                held.setdefault(gap - length, []).append((first, take))
-            elif gap > length:
-                room.append((gap - length, first, take))
-        for gap, first, number in room:
-            if gap:
-                if gap not in held:
-                    insort(gaps, gap)
-                held.setdefault(gap, []).append((first, number))
+    spark = lengths.sparkSession
+    cells = ["length", "first", "pieces", "each", "sequence", "offset"]
+    schema = ", ".join(f"{c} long" for c in cells)
+    full, more, tokens = lengths.agg(F.sum(F.when(F.col("length") == capacity, F.col("n"))), F.sum(F.when((F.col("length") < capacity) & (2 * F.col("length") > capacity), F.col("n"))), F.sum(F.when(F.col("length") < capacity, F.col("n") * F.col("length")))).first()
+    full, more, tokens = full or 0, more or 0, tokens or 0
+    # whole pieces fill a sequence each; of those over half no two share one
+    found = [spark.createDataFrame([(capacity, 0, full, 1, 0, 0)] if full else [], schema)]
+    opened = max(more, -(-tokens // capacity))
+    gaps = spark.createDataFrame([(capacity, full, opened)] if opened else [], "gap long, first long, n long")
+    state = lengths.where(F.col("length") < capacity).select(F.col("length").cast("long").alias("length"), F.lit(0).cast("long").alias("done"), F.col("n").cast("long").alias("left"))
+    left, room, opened = 1 if tokens else 0, opened, opened + full
+    for _ in range(ROUNDS):
+        if not left:
+            break
+        now = settled(_sweep(gaps, state, max(1, left // (8 * max(1, room))), capacity), "matches")
+        used = now.groupBy(F.col("range").alias("first")).agg(F.sum(F.col("pieces") / F.col("each")).cast("long").alias("used"))
+        took = now.groupBy("length").agg(F.sum("pieces").alias("took"))
+        shrunk = now.select((F.col("gap") - F.col("length") * F.col("each")).alias("gap"), F.col("sequence").alias("first"), (F.col("pieces") / F.col("each")).cast("long").alias("n"))
+        kept = gaps.join(used, "first", "left").select("gap", "first", (F.col("n") - F.coalesce("used", F.lit(0))).alias("n"))
+        after = state.join(took, "length", "left").select(F.col("length"), (F.col("done") + F.coalesce("took", F.lit(0))).alias("done"), (F.col("left") - F.coalesce("took", F.lit(0))).alias("left"))
+        both = shrunk.unionByName(kept).where("gap > 0 and n > 0").select(F.lit(True).alias("room"), "gap", "first", "n").unionByName(after.select(F.lit(False).alias("room"), F.col("length").alias("gap"), F.col("done").alias("first"), F.col("left").alias("n")))
+        both = settled(both, "gaps")
+        was = left
+        left, tokens, room = (v or 0 for v in both.agg(F.sum(F.when(~F.col("room"), F.col("n"))), F.sum(F.when(~F.col("room"), F.col("n") * F.col("gap"))), F.sum(F.when(F.col("room"), F.col("n")))).first())
+        gaps, state = both.where("room").drop("room"), both.where("not room").select(F.col("gap").alias("length"), F.col("first").alias("done"), F.col("n").alias("left"))
+        found.append(now.select(*cells))
+        if left and left == was:
+            new = -(-tokens // capacity)
+            gaps = gaps.unionByName(spark.createDataFrame([(capacity, opened, new)], "gap long, first long, n long"))
+            opened, room = opened + new, room + new
+    else:
+        raise RuntimeError(f"packing did not settle in {ROUNDS} rounds")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
     return out
 
 
 def pack(found: DataFrame, capacity: int) -> DataFrame:
     """Add sequence_id and offset to rows that have a length: ``found`` is settled, one row a piece."""
-    spark = found.sparkSession
-    counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    matches = spark.createDataFrame(match_rounds(counts, capacity) or [], "length long, first long, pieces long, sequence long, offset long")
-    # ranks within a length, numbered in buckets so that a common length is no single task's work
-    buckets = max(8, min(4096, sum(counts.values()) // 20_000))
-    keyed = found.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    sizes = keyed.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("_b")) - F.col("n")).select("length", "_b", "base")
-    inner = Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = keyed.withColumn("_r", F.row_number().over(inner) - 1).join(before.hint("shuffle_hash"), ["length", "_b"]).withColumn("_r", F.col("_r") + F.col("base"))
-    # a match covers a range of ranks: per length an ascending array of them, searched by rank
-    steps = matches.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "pieces", "sequence", "offset"))).alias("_m"))
-    hit = F.element_at(F.filter("_m", lambda m: (m["first"] <= F.col("_r")) & (F.col("_r") < m["first"] + m["pieces"])), 1)
-    return (
-        ranked.join(F.broadcast(steps), "length").withColumn("_h", hit)
-        .withColumn("sequence_id", F.col("_h.sequence") + F.col("_r") - F.col("_h.first")).withColumn("offset", F.col("_h.offset")).drop("_b", "_r", "base", "_m", "_h")
-    )
+    counts = settled(found.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    matches = match_rounds(counts, capacity)
+    rows = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranked = numbered(found, "length", ["doc_id", "piece", "ids_crc32"], rows, "rank")
+    # a match covers a range of ranks: it goes to each block of ranks that it reaches
+    blocks = F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("pieces") - 1) / BLOCK))).alias("_k")
+    reach = matches.select("length", blocks, F.col("first").alias("_f"), F.col("pieces").alias("_n"), F.col("each").alias("_e"), F.col("sequence").alias("_s"), F.col("offset").alias("_o"))
+    inside = F.col("rank") - F.col("_f")
+    hit = ranked.withColumn("_k", F.floor(F.col("rank") / BLOCK)).join(reach.hint("merge"), ["length", "_k"]).where((inside >= 0) & (inside < F.col("_n")))
+    return hit.withColumn("sequence_id", F.col("_s") + F.floor(inside / F.col("_e"))).withColumn("offset", F.col("_o") + inside % F.col("_e") * F.col("length")).drop("rank", "_k", "_f", "_n", "_e", "_s", "_o")
 
 
 def best_fit_packing(df: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:

@@ -1,6 +1,7 @@
 """op10: exact ids, gapless places, and few sequences."""
 
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pytest
@@ -53,20 +54,50 @@ def test_empty(empty):
     assert packing.best_fit_packing(empty, queries.tokenizer_path(), 64, keep_ids=False).count() == 0
 
 
-def test_rounds_fill_well():
+def brute_rounds(counts, capacity):
+    """The same rounds piece by piece: each request, longest first, takes the smallest gap that suffices; a gap takes one a round."""
+    left = {k: v for k, v in counts.items() if k < capacity}
+    tokens = sum(k * v for k, v in left.items())
+    opened = max(sum(v for k, v in left.items() if 2 * k > capacity), -(-tokens // capacity))
+    gaps = [capacity] * opened
+    opened += counts.get(capacity, 0)
+    while sum(left.values()):
+        each = max(1, sum(left.values()) // (8 * max(1, len(gaps))))
+        free, grown, placed = sorted(gaps), [], 0
+        bundles = sorted(((k * (e := min(each, capacity // k, v)), k, e) for k, v in left.items() if v for _ in range(v // min(each, capacity // k, v))), reverse=True)
+        for size, k, e in bundles:
+            at = bisect_left(free, size)
+            if at < len(free):
+                grown.append(free.pop(at) - size)
+                left[k] -= e
+                placed += e
+        gaps = [g for g in free + grown if g]
+        if sum(left.values()) and not placed:
+            new = -(-sum(k * v for k, v in left.items()) // capacity)
+            gaps += [capacity] * new
+            opened += new
+    return opened
+
+
+@pytest.mark.parametrize("kind", ["mixed", "tiny", "one", "whole"])
+def test_rounds_match_brute_force(spark, kind):
     rng = np.random.default_rng(1)
-    counts = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, 700, 5000), return_counts=True))}
-    found = packing.match_rounds(counts, 1000)
+    counts = {
+        "mixed": lambda: {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, 201, 1500), return_counts=True))},
+        "tiny": lambda: {1: 900, 2: 500, 3: 77}, "one": lambda: {7: 1000}, "whole": lambda: {200: 5, 101: 3},
+    }[kind]()
+    found = packing.match_rounds(spark.createDataFrame(list(counts.items()), "length long, n long"), 200).collect()
     use, placed = {}, {}
-    for length, first, n, seq, offset in found:
-        placed[length] = placed.get(length, 0) + n
-        for k in range(n):
-            use.setdefault(seq + k, []).append((offset, length))
-    assert placed == counts
+    for m in found:
+        for r in range(m["pieces"]):
+            use.setdefault(m["sequence"] + r // m["each"], []).append((m["offset"] + r % m["each"] * m["length"], m["length"]))
+            placed.setdefault(m["length"], []).append(m["first"] + r)
+    assert {k: sorted(v) for k, v in placed.items()} == {k: list(range(v)) for k, v in counts.items()}
     for places in use.values():
         at = 0
         for offset, length in sorted(places):
             assert offset == at
             at += length
-        assert at <= 1000
-    assert len(use) <= sum(k * v for k, v in counts.items()) / 1000 * 1.02 + 1
+        assert at <= 200
+    total = sum(k * v for k, v in counts.items())
+    assert len(use) <= brute_rounds(counts, 200) and (kind == "whole" or len(use) <= -(-total // 200) * 1.02 + 1)
