@@ -18,7 +18,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .core import keyed_docs, mix, slabs, text_bytes
 from .repeats import _powers, byte_symbols, prefix_sums
@@ -26,10 +25,10 @@ from .repeats import _powers, byte_symbols, prefix_sums
 Q = 12
 #: Edits allowed, as a share of the passage's bytes.
 EDIT_SHARE = 0.05
-#: q-grams of the passages that one pass over the documents carries.
-BLOCK_GRAMS = 1 << 18
+#: q-grams of the passages that one pass over the documents carries (about 24 bytes each in a task).
+BLOCK_GRAMS = 1 << 20
 SLAB = 1 << 18
-_FILTER_BITS = 22
+_FILTER_BITS = 24
 
 
 def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,6 +181,19 @@ def passages(benchmark: DataFrame, id_col: str, text_col: str):
         yield block
 
 
+def _found(ix: Index, column: pa.Array):
+    """(row, passage, edits, start, stop) of the passages that texts of an Arrow column hold; places in code points."""
+    data, offsets = text_bytes(column)
+    for lo, hi in slabs(offsets, SLAB):
+        raw = data[offsets[lo] : offsets[hi]]
+        folded, offs, source = normal(raw, offsets[lo : hi + 1] - offsets[lo])
+        found = ix.scan(folded, offs)
+        points = np.append(0, np.cumsum((raw & 0xC0) != 0x80)) if found else None
+        for t, k, d, a, b in found:
+            head = points[offsets[lo + t] - offsets[lo]]
+            yield lo + t, k, d, int(points[source[offs[t] + a]] - head), int(points[source[offs[t] + b - 1] + 1] - head)
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = Q, share: float = EDIT_SHARE) -> DataFrame:
     """One row a document and passage that it holds: doc_id, item_id, edits, start, stop (code points of the document)."""
     docs = keyed_docs(df, id_col, text_col)
@@ -193,24 +205,10 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         def scan(batches, index=index):
             ix = index.value
             for batch in batches:
-                data, offsets = text_bytes(batch.column(1))
-                rows, items, edits, starts, stops = [], [], [], [], []
-                for lo, hi in slabs(offsets, SLAB):
-                    raw = data[offsets[lo] : offsets[hi]]
-                    folded, offs, source = normal(raw, offsets[lo : hi + 1] - offsets[lo])
-                    found = ix.scan(folded, offs)
-                    if not found:
-                        continue
-                    points = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
-                    for t, k, d, a, b in found:
-                        head = points[offsets[lo + t] - offsets[lo]]
-                        rows.append(lo + t)
-                        items.append(ix.ids[k])
-                        edits.append(d)
-                        starts.append(int(points[source[offs[t] + a]] - head))
-                        stops.append(int(points[source[offs[t] + b - 1] + 1] - head))
+                found = list(_found(ix, batch.column(1)))
+                rows, items, edits, starts, stops = zip(*found) if found else ((), (), (), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(edits, pa.int32()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())],
+                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([ix.ids[k] for k in items], pa.int64()), pa.array(edits, pa.int32()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())],
                     names=["doc_id", "item_id", "edits", "start", "stop"],
                 )
 
@@ -219,7 +217,21 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` (all columns) that hold no passage; a row with null id stays, as nothing can name it."""
-    hits = contaminated(df, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return df.join(hits, F.col(id_col) == F.col("_hit"), "left_anti")
+def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = Q, share: float = EDIT_SHARE) -> DataFrame:
+    """The rows of ``df`` (all columns) that hold no passage.
+
+    Rows are judged one by one in the scan, by their text alone: nothing is shuffled, and
+    null or repeated ids or clashing column names change nothing.
+    """
+    at, spark = df.columns.index(text_col), df.sparkSession
+    for block in passages(benchmark, item_col, item_text):
+        index = spark.sparkContext.broadcast(Index(block, q, share))  # at most BLOCK_GRAMS bytes of passages, and their index
+
+        def keep(batches, index=index):
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[row for row, *_ in _found(index.value, batch.column(at))]] = False
+                yield batch.filter(pa.array(clean))
+
+        df = df.mapInArrow(keep, df.schema)
+    return df

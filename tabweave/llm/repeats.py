@@ -19,15 +19,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import mix, settled, slabs, text_bytes
+from .core import NAME, mix, settled, slabs, spread_join, text_bytes
 
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Symbols worked on at once; longer documents are cut into overlapping pieces.
 SLAB = 1 << 18
-RUN_SCHEMA = "doc_id long, at long, anchor long, content long"
+RUN_SCHEMA = "tag int, doc_id long, at long, anchor long, content long"
 #: ``at`` packs a run as start * 2**LEN_BITS + length * 2 + (1 if the first of its content in its document).
 LEN_BITS = 16
 
@@ -139,11 +139,11 @@ def text_runs(data: np.ndarray, offsets: np.ndarray, unit: str, n: int, gram: in
 
 
 def runs(docs: DataFrame, unit: str, n: int, gram: int) -> DataFrame:
-    """One row a run of windows of ``docs`` (doc_id, text)."""
+    """One row a run of windows of ``docs`` (tag, doc_id, text)."""
 
     def scan(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(2))
             text, start, count, anchor, content = text_runs(data, offsets, unit, n, gram)
             order = np.lexsort((start, content, anchor, text))
             first = np.ones(len(order), bool)
@@ -154,29 +154,41 @@ def runs(docs: DataFrame, unit: str, n: int, gram: int) -> DataFrame:
             head[order] = first
             at = (start << LEN_BITS) | (count << 1) | head
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(text)), pa.array(at), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))],
-                names=["doc_id", "at", "anchor", "content"],
+                [batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array(at), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))],
+                names=["tag", "doc_id", "at", "anchor", "content"],
             )
 
     return docs.mapInArrow(scan, RUN_SCHEMA)
 
 
 def shared_runs(docs: DataFrame, unit: str, n: int, gram: int) -> DataFrame:
-    """The runs whose anchor stands at two places at least, settled: doc_id, at, anchor, content.
+    """The runs that another may share a window with, settled: NAME, at, anchor, content, and of that content copies, kinds, lead.
+
+    ``copies`` is how many runs have the content, ``kinds`` how many contents the anchor
+    has; a run is kept if either is over one.  ``lead`` says that the run is the first of
+    its content: its document comes first, and it comes first there.
 
     The first pass moves only anchors and their counts, combined before the shuffle; the
-    second is an equi-join on the anchor.  The counts are settled first, so that both sides
-    of the join are plain shuffles: Spark splits the partition of a common anchor.
+    second is an equi-join on the anchor, in which common anchors are spread.
     """
-    anchors = settled(runs(docs, unit, n, gram).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "anchors")
-    return settled(runs(docs, unit, n, gram).join(anchors.hint("merge"), "anchor").select("doc_id", "at", "anchor", "content"), f"runs-{unit}{n}")
+    anchors = settled(runs(docs, unit, n, gram).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "anchors")
+    shared = settled(spread_join(runs(docs, unit, n, gram), anchors, ["anchor"], "c", F.xxhash64("doc_id", "at")).drop("c"), f"runs-{unit}{n}")
+    per = settled(shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), *first_doc()), "copies")
+    kinds = settled(per.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
+    known = settled(spread_join(per, kinds, ["anchor"], "kinds", F.col("content")), "contents")
+    told = spread_join(shared, known, ["anchor", "content"], "copies", F.xxhash64("doc_id", "at"))
+    lead = is_first() & (F.col("at").bitwiseAND(1) == 1)
+    return settled(told.where("copies > 1 or kinds > 1").select(*NAME, "at", "anchor", "content", "copies", "kinds", lead.alias("lead")), "shared")
 
 
-def contents(shared: DataFrame) -> DataFrame:
-    """One row a (anchor, content): copies, the smallest doc_id, and the number of contents of the anchor (kinds)."""
-    per = settled(shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_doc")), "copies")
-    kinds = settled(per.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
-    return settled(per.join(kinds.hint("merge"), "anchor"), "contents")
+def first_doc() -> list[Column]:
+    """Aggregates for the first document of a group: by id, those without one last (longs only, so that Spark can hash)."""
+    return [F.min(F.when(F.col("tag") % 2 == 0, F.col("doc_id"))).alias("first_id"), F.min(F.when(F.col("tag") % 2 == 1, F.col("doc_id"))).alias("first_none")]
+
+
+def is_first() -> Column:
+    """Whether a row is of the first document, as ``first_doc`` has it."""
+    return F.when(F.col("first_id").isNotNull(), (F.col("tag") % 2 == 0) & (F.col("doc_id") == F.col("first_id"))).otherwise((F.col("tag") % 2 == 1) & (F.col("doc_id") == F.col("first_none")))
 
 
 def start_of(at: str = "at"):
@@ -188,8 +200,8 @@ def count_of(at: str = "at"):
 
 
 def spans_by_doc(spans: DataFrame, name: str) -> DataFrame:
-    """(doc_id, start, stop) rows to one array of (start, stop) structs a document; a document's spans are bounded by its length."""
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int"), F.col("stop").cast("int"))).alias(name))
+    """(tag, doc_id, start, stop) rows to one array of (start, stop) structs a document; a document's spans are bounded by its length."""
+    return spans.groupBy(*NAME).agg(F.collect_list(F.struct(F.col("start").cast("int"), F.col("stop").cast("int"))).alias(name))
 
 
 def covered(lists, size: int) -> np.ndarray:
@@ -213,6 +225,6 @@ def span_count(mask: np.ndarray) -> int:
     return int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()) if len(mask) else 0
 
 
-def by_id(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join on doc_id (never null here, see ``identified_docs``)."""
-    return left.join(right, "doc_id", how)
+def by_name(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join on what names a document (never null, see ``identified_docs``)."""
+    return left.join(right, NAME, how)

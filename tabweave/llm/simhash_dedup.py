@@ -1,12 +1,15 @@
-"""SimHash near-duplicates, joined with pivot distance tables.
-
-Fingerprints that may be near are dealt to cells by exact pieces of their bits (with
-``radius`` differing bits over more blocks than that, some blocks are equal).  In a cell,
-a table of Hamming distances to many reference fingerprints (pivots) is made first.  By
-the triangle inequality two fingerprints within the radius have pivot distances that
-differ by no more than the radius in every coordinate, so pairs beyond that are discarded
-by comparing small table rows, and only survivors are verified bit by bit.  Cells that
-are large are cut again along pivot coordinates, so no task holds a whole large cell.
+"""SimHash near-duplicates by pivot distance tables.
+
+Every distinct fingerprint has a row in a table of Hamming distances to many reference
+fingerprints (pivots).  Of the references one is zero and 32 are pairs of neighbouring
+bits; the difference of the distances to a pair and to zero is a coordinate with three
+values, and a differing bit moves one coordinate only.  So fingerprints within the radius
+agree on all coordinates but ``radius``: the coordinates fall into ``radius`` + 3 sections,
+and points are dealt to cells by each choice of three sections, one of which a near pair
+shares.  In a cell, pairs are discarded whose distances to any further pivot (the triangle
+inequality allows the radius at most) differ by more, comparing table rows only; survivors
+are verified bit by bit.  Large cells are cut again along pivot distances and dealt in
+blocks, so no task holds a whole large cell.
 
 Only distinct fingerprints are joined; equal ones are one point.  Components come from
 star contraction over the links, in rounds whose state is a table in the shared folder.
@@ -27,12 +30,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import keyed_docs, settled, text_bytes
+from .core import first_of_groups, marked, mix, settled, spread_join, text_bytes
 
 BITS = 64
-#: Number of reference fingerprints of the pivot table.
+#: Further references, whose distances discard pairs within a cell.
 PIVOTS = 24
-#: Rows of a cell that one task compares; a larger cell is cut along pivot coordinates.
+#: Rows of a cell that one task compares; a larger cell is cut along pivot distances.
 CELL = 512
 
 
@@ -55,16 +58,16 @@ def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, mark (a hash of the text) and fp (the fingerprint as a signed long) of every row."""
 
     def scan(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(2))
             raw = data.tobytes()
             found = [fingerprint(raw[offsets[i] : offsets[i + 1]], shingle) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "mark", "fp"])
 
-    return keyed_docs(df, id_col, text_col).mapInArrow(scan, "doc_id long, fp long")
+    return marked(df, id_col, text_col).mapInArrow(scan, "doc_id long, mark long, fp long")
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -107,12 +110,27 @@ def near_pairs(left: np.ndarray, right: np.ndarray, refs: np.ndarray, radius: in
     return np.concatenate(found_i or [np.zeros(0, np.int64)]), np.concatenate(found_j or [np.zeros(0, np.int64)])
 
 
-def _block_masks(radius: int) -> list[int]:
-    """Masks such that fingerprints within ``radius`` agree on one mask at least: all choices of two blocks of radius + 2."""
-    count = radius + 2
-    edges = [BITS * k // count for k in range(count + 1)]
-    blocks = [sum(1 << b for b in range(edges[k], edges[k + 1])) for k in range(count)]
-    return [a | b for a, b in combinations(blocks, 2)]
+def pair_references() -> np.ndarray:
+    """Zero, then the 32 pairs of neighbouring bits."""
+    return np.array([0, *(3 << 2 * k for k in range(BITS // 2))], np.uint64)
+
+
+def coordinates(fps: np.ndarray) -> np.ndarray:
+    """Of each fingerprint 32 coordinates from its row of the distance table: 0, 1 or 2."""
+    table = pivot_table(fps, pair_references())
+    return (table[:, :1] + np.int8(2) - table[:, 1:]) >> 1
+
+
+def cells_of(fps: np.ndarray, radius: int) -> np.ndarray:
+    """The cells of each fingerprint, one for each choice of three of ``radius`` + 3 sections of its coordinates."""
+    place = coordinates(fps).astype(np.uint64)
+    ends = [place.shape[1] * k // (radius + 3) for k in range(radius + 4)]
+    power = np.uint64(3) ** np.arange(place.shape[1], dtype=np.uint64)
+    section = [(place[:, a:z] * power[: z - a]).sum(axis=1, dtype=np.uint64) for a, z in zip(ends, ends[1:])]
+    out = []
+    for k, (a, b, c) in enumerate(combinations(range(radius + 3), 3)):
+        out.append(mix(mix(mix(section[a] + np.uint64(k << 48)) ^ section[b]) ^ section[c]))
+    return np.stack(out, axis=1) if out else np.zeros((len(fps), 0), np.uint64)
 
 
 def _signed(mask: int) -> int:
@@ -131,10 +149,18 @@ def links(points: DataFrame, radius: int = 2) -> DataFrame:
     cell of g points gives fewer than g links.
     """
     refs = pivots()
-    cells = points.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("v")) for k, m in enumerate(_block_masks(radius))])).alias("c"))
-    cells = settled(cells.select("fp", F.col("c.m").alias("m"), F.col("c.v").alias("v")), "cells")
-    sizes = cells.groupBy("m", "v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    held = cells.join(sizes.hint("merge"), ["m", "v"])
+
+    def deal(batches):
+        for batch in batches:
+            fps = batch.column(0).to_numpy()
+            for lo in range(0, len(fps), 8192):
+                part = fps[lo : lo + 8192]
+                cells = cells_of(part.view(np.uint64), radius)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, cells.shape[1])), pa.array(cells.ravel().view(np.int64))], names=["fp", "v"])
+
+    cells = settled(points.select("fp").mapInArrow(deal, "fp long, v long"), "cells")
+    sizes = cells.groupBy("v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    held = cells.join(sizes.hint("merge"), "v")
     # a large cell is cut along two pivot coordinates; a row also visits the slices within the radius of its own
     width = 2 * radius + 2
 
@@ -146,12 +172,12 @@ def links(points: DataFrame, radius: int = 2) -> DataFrame:
     cut = held.withColumn("s", F.explode(around(int(refs[-1])))).withColumn("t", F.explode(around(int(refs[-2]))))
     # what remains large is dealt as a triangle of blocks: each pair of blocks meets in one task
     cut = settled(cut, "cut")
-    per = cut.groupBy("m", "v", "s", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    per = cut.groupBy("v", "s", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(CELL))).cast("int")
-    dealt = cut.join(per.hint("merge"), ["m", "v", "s", "t"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    dealt = cut.join(per.hint("merge"), ["v", "s", "t"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = dealt.withColumn("o", other).select(
-        "fp", F.xxhash64("m", "v", "s", "t", F.least("part", "o"), F.greatest("part", "o")).alias("cell")
+        "fp", F.xxhash64("v", "s", "t", F.least("part", "o"), F.greatest("part", "o")).alias("cell")
     )
 
     def compare(batches):
@@ -172,10 +198,9 @@ def links(points: DataFrame, radius: int = 2) -> DataFrame:
         sizes = np.diff(edges)
         heads, tails = [], []
         two = edges[:-1][sizes == 2]
-        near = np.bitwise_count(fps[two] ^ fps[two + 1]) <= radius if len(two) else np.zeros(0, bool)
-        if len(two):
-            table = pivot_table(fps[two], refs) - pivot_table(fps[two + 1], refs)
-            near &= np.abs(table).max(axis=1) <= radius
+        # cells of two, all at once: discard by table rows, then verify what survives
+        two = two[(np.abs(pivot_table(fps[two], refs) - pivot_table(fps[two + 1], refs)).max(axis=1, initial=0) <= radius)]
+        near = np.bitwise_count(fps[two] ^ fps[two + 1]) <= radius
         heads.append(fps[two][near])
         tails.append(fps[two + 1][near])
         for lo in edges[:-1][sizes > 2]:
@@ -231,20 +256,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _linked(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, root) of every distinct fingerprint: its smallest id, and the smallest fingerprint that it reaches."""
+    points = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "points")
+    linked = components(links(points, radius))
+    return points.join(linked.hint("merge"), points["fp"] == linked["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_dedup(df: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id: the smallest id reachable over links of up to ``radius`` bits."""
-    prints = settled(fingerprints(df, shingle, id_col, text_col), "prints")
-    points = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    linked = components(links(points.select("fp"), radius))
-    named = points.join(linked.hint("merge"), points["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    prints = settled(fingerprints(df, shingle, id_col, text_col).drop("mark"), "prints")
+    named = settled(_linked(prints, radius), "named")
     group = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    # only linked points can differ from their own smallest id
-    table = settled(named.join(group.hint("merge"), "root").select("fp", "component_id"), "classes")
-    return prints.join(table.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    table = settled(named.join(group.hint("merge"), "root").select("fp", "component_id", "n"), "classes")
+    return spread_join(prints, table, ["fp"], "n", F.xxhash64("doc_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` (all columns) whose id is the smallest of its component; rows that share an id are one document."""
-    found = simhash_dedup(df, shingle, radius, id_col, text_col)
-    gone = settled(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")), "gone")
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """One row (all columns) of each component: the first by id (null last), then by a hash of the text.
+
+    Rows are told apart by id and text, so those with a null or repeated id stay or go by
+    their own text; rows that share both are copies, of which one stays.
+    """
+    prints = settled(fingerprints(df, shingle, id_col, text_col), "prints")
+    table = settled(_linked(prints, radius).select("fp", "root", "n"), "classes")
+    named = settled(spread_join(prints, table, ["fp"], "n", F.xxhash64("doc_id", "mark")).select("doc_id", "mark", "root"), "named")
+    return first_of_groups(df, named, id_col, text_col)

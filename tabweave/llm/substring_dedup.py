@@ -3,10 +3,9 @@
 Windows are hashed in the scan, travel as runs (see ``repeats``), and are counted in
 Spark; what repeats an earlier window is removed as maximal intervals.
 
-Nulls: a null text has no words; rows with a null id are documents of their own that sort
-after all others.  Rows that repeat an id and text are one document (neither is earlier);
-rows that share an id but not the text share the removed places of their id.  Empty
-texts and texts shorter than a window are kept whole.  An empty table gives no rows.
+Nulls: a null text has no words; rows with a null id sort after all others, by a hash of
+their text.  No row is earlier than another of the same id (nor are copies without an id).
+Empty texts and texts shorter than a window are kept whole.  An empty table gives no rows.
 Only the named id and text columns are read, so other columns may have any names.
 """
 
@@ -18,21 +17,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import identified_docs, mix, real_id, text_bytes
-from .repeats import by_id, contents, count_of, covered, piece_hash, prefix_sums, shared_runs, span_arrays, span_count, spans_by_doc, start_of, word_bounds, word_symbols
+from .core import NAME, identified_docs, mix, real_id, settled, spread_join, text_bytes
+from .repeats import by_name, count_of, covered, first_doc, is_first, piece_hash, prefix_sums, shared_runs, span_arrays, span_count, spans_by_doc, start_of, word_bounds, word_symbols
 
 GRAM = 5
 
 
 def _windows(docs_runs: DataFrame, n: int) -> DataFrame:
-    """From (doc_id, text, wanted runs) to one row a window of those runs: doc_id, start, anchor, its Rabin-Karp hash."""
+    """From (tag, doc_id, text, wanted runs) to one row a window of those runs: NAME, start, anchor, its Rabin-Karp hash, head.
+
+    ``head`` says that no window of the same words starts earlier in the document.
+    """
 
     def scan(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            ids, starts, anchors, hashes = [], [], [], []
+            data, offsets = text_bytes(batch.column(2))
+            ids, starts, anchors, hashes, heads = [], [], [], [], []
             for row in range(batch.num_rows):
-                v = batch.column(2)[row].values
+                v = batch.column(3)[row].values
                 at, anchor = v.field(0).to_numpy(zero_copy_only=False), v.field(1).to_numpy(zero_copy_only=False)
                 text = data[offsets[row] : offsets[row + 1]]
                 a, b, _ = word_bounds(text, np.array([0, len(text)]))
@@ -41,37 +43,38 @@ def _windows(docs_runs: DataFrame, n: int) -> DataFrame:
                 sums = prefix_sums(word_symbols(text, a, b))
                 count = (at & 0xFFFF) >> 1
                 place = np.repeat((at >> 16) - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+                hashed = mix(piece_hash(sums, place, place + n)).view(np.int64)
+                order = np.lexsort((place, hashed))
+                head = np.empty(len(place), bool)
+                head[order] = np.append(True, np.diff(hashed[order]) != 0)[: len(order)]
                 ids.append(np.full(len(place), row))
                 starts.append(place)
                 anchors.append(np.repeat(anchor, count))
-                hashes.append(mix(piece_hash(sums, place, place + n)).view(np.int64))
+                hashes.append(hashed)
+                heads.append(head)
             if ids:
+                take = pa.array(np.concatenate(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(starts).astype(np.int64)), pa.array(np.concatenate(anchors)), pa.array(np.concatenate(hashes))],
-                    names=["doc_id", "start", "anchor", "hash"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(starts).astype(np.int64)), pa.array(np.concatenate(anchors)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(heads))],
+                    names=["tag", "doc_id", "start", "anchor", "hash", "head"],
                 )
 
-    return docs_runs.mapInArrow(scan, "doc_id long, start long, anchor long, hash long")
+    return docs_runs.mapInArrow(scan, "tag int, doc_id long, start long, anchor long, hash long, head boolean")
 
 
 def removal_spans(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, start, stop) in words: every window whose words start earlier in the corpus too.
+    """(tag, doc_id, start, stop) in words: every window whose words start earlier in the corpus too.
 
-    The texts are shuffled by id once: this join and the caller's share that exchange.
+    The texts are shuffled by name once: this join and the caller's share that exchange.
     """
     shared = shared_runs(docs, "word", n, GRAM)
-    kinds = contents(shared)
-    runs = shared.join(kinds.hint("merge"), ["anchor", "content"])
-    rep = (F.col("doc_id") == F.col("least_doc")) & (F.col("at").bitwiseAND(1) == 1)
-    copies = runs.where("copies > 1").where(~rep).select("doc_id", start_of().alias("start"), (start_of() + count_of() - 1 + n).alias("stop"))
-    open_runs = runs.where("kinds > 1").where(rep).groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor")).alias("open"))
-    windows = _windows(by_id(docs, open_runs, "inner").select("doc_id", "text", "open"), n)
-    # the earliest place of each window, as one packed value where ids allow no struct in a hash aggregate
-    first = windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "start")).alias("f")).where("c > 1")
-    later = windows.join(first.hint("merge"), ["anchor", "hash"]).where(
-        (F.col("doc_id") != F.col("f.doc_id")) | (F.col("start") != F.col("f.start"))
-    )
-    return copies.unionByName(later.select("doc_id", "start", (F.col("start") + n).alias("stop")))
+    copies = shared.where("copies > 1 and not lead").select(*NAME, start_of().alias("start"), (start_of() + count_of() - 1 + n).alias("stop"))
+    open_runs = shared.where("kinds > 1 and lead").groupBy(*NAME).agg(F.collect_list(F.struct("at", "anchor")).alias("open"))
+    windows = _windows(by_name(docs, open_runs, "inner").select(*NAME, "text", "open"), n)
+    first = settled(windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("c"), *first_doc()).where("c > 1"), "windows")
+    met = spread_join(windows, first, ["anchor", "hash"], "c", F.xxhash64("doc_id", "start"))
+    later = met.where(~(is_first() & F.col("head")))
+    return copies.unionByName(later.select(*NAME, "start", (F.col("start") + n).alias("stop")))
 
 
 def substring_dedup(df: DataFrame, n: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,14 +88,14 @@ def substring_dedup(df: DataFrame, n: int = 20, id_col: str = "doc_id", text_col
 
     def apply(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(2))
             raw = data.tobytes()
             out = ([], [], [], [])
             for row in range(batch.num_rows):
                 words = raw[offsets[row] : offsets[row + 1]].split()
                 gone = 0
                 marks = 0
-                s = span_arrays(batch.column(2), row)
+                s = span_arrays(batch.column(3), row)
                 total = len(words)
                 if len(s[0]):
                     mask = covered(s, total)
@@ -101,9 +104,9 @@ def substring_dedup(df: DataFrame, n: int = 20, id_col: str = "doc_id", text_col
                 for o, v in zip(out, (total, gone, marks, b" ".join(words))):
                     o.append(v)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "n_spans", "kept_text"]
+                [batch.column(0), batch.column(1), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.binary()).cast(pa.string())], names=["tag", "doc_id", "n_words", "n_removed", "n_spans", "kept_text"]
             )
 
-    joined = by_id(docs, spans, "left").select("doc_id", "text", "spans")
-    out = joined.mapInArrow(apply, "doc_id long, n_words long, n_removed long, n_spans long, kept_text string")
-    return out.withColumn("doc_id", real_id())
+    joined = by_name(docs, spans, "left").select(*NAME, "text", "spans")
+    out = joined.mapInArrow(apply, "tag int, doc_id long, n_words long, n_removed long, n_spans long, kept_text string")
+    return out.select(real_id(), "n_words", "n_removed", "n_spans", "kept_text")

@@ -1,17 +1,20 @@
 """Suffix-array dedup: repeated byte strings, found by two-stage suffix sorting.
 
-Documents fall into runs of windows (see ``repeats``).  Runs with equal contents repeat
-as a whole.  Where an anchor has several contents, one copy of each goes to the task that
-owns the anchor, which sorts the suffixes of those texts in two stages: suffixes smaller
-than their successors (type B) are sorted directly, the others (type A) are induced by
-one scan of the buckets.  Common prefixes of neighbours in that order then tell which
-windows repeat.  Anchors with more than ``HOT`` different contents (one passage in very
-many surroundings) would make one task's share grow with the corpus; their single windows
-are hashed and counted in Spark instead, which is exact too.
-
-Nulls: a null text is empty; rows with a null id, or that repeat an id, are documents of
-their own (those that share an id but not the text share the removed places of their id).  Texts shorter than a window
-are kept whole.  An empty table gives no rows.  Only the named columns are read.
+Documents fall into runs of windows (see ``repeats``).  Runs with equal contents repeat as
+a whole, and one of them stands for all.  Where an anchor has several contents, these meet
+in one task, which sorts the suffixes of their texts in two stages: suffixes smaller than
+their successors (type B) are sorted directly, the others (type A) are induced by one scan
+of the buckets.  Common prefixes of neighbours in that order then tell which windows repeat.
+
+A group of more than ``GROUP`` contents (one passage in very many surroundings) is divided
+before it is sorted, at every size alike: its runs are cut into blocks of neighbouring
+windows, and blocks go together whose windows have the same bytes in common (the core),
+which equal windows have.  Blocks shrink until each group can be sorted in one task; at a
+single window the core is the window, and the group is one content.
+
+Nulls: a null text is empty; rows are told apart by id and text, so those with a null or
+repeated id are documents of their own, and rows equal in both are copies.  Texts shorter
+than a window are kept whole.  An empty table gives no rows.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import identified_docs, mix, real_id, settled, text_bytes
-from .repeats import by_id, byte_symbols, contents, count_of, covered, piece_hash, prefix_sums, shared_runs, span_arrays, span_count, spans_by_doc, start_of
+from .core import NAME, identified_docs, mix, real_id, settled, spread_join, text_bytes
+from .repeats import by_name, byte_symbols, count_of, covered, first_doc, is_first, piece_hash, prefix_sums, shared_runs, span_arrays, span_count, spans_by_doc, start_of
 
 GRAM = 128
-#: Different contents of one anchor that one task may sort together.
-HOT = 256
+#: Different contents that one task sorts together; a larger group is divided first.
+GROUP = 256
 #: Bytes that one suffix array spans.
 BLOCK = 1 << 18
 #: No UTF-8 text holds this byte: it ends each text of a block.
@@ -118,79 +121,87 @@ def repeated_starts(texts: list[bytes], n: int) -> list[np.ndarray]:
     return [np.flatnonzero(hit[e - len(t) - 1 : e]) for t, e in zip(texts, ends)]
 
 
+PIECE = "tag int, doc_id long, start long, anchor long, place long, piece binary"
+
+
 def _pieces(docs_runs: DataFrame, n: int) -> DataFrame:
-    """From (doc_id, text, open) to one row a wanted run with its bytes: doc_id, start, anchor, its place in the run, piece."""
+    """From (tag, doc_id, text, open) to one row a wanted run with its bytes: NAME, start, anchor, its place in the run, piece, kinds."""
 
     def scan(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            raw, rows, starts, anchors, places, pieces = data.tobytes(), [], [], [], [], []
+            data, offsets = text_bytes(batch.column(2))
+            raw, rows, starts, anchors, places, pieces, kinds = data.tobytes(), [], [], [], [], [], []
             for row in range(batch.num_rows):
-                v = batch.column(2)[row].values
-                for at, anchor in zip(v.field(0).to_pylist(), v.field(1).to_pylist()):
+                v = batch.column(3)[row].values
+                for at, anchor, kind in zip(*(v.field(k).to_pylist() for k in range(3))):
                     a = at >> 16
                     if a + ((at & 0xFFFF) >> 1) - 1 + n > offsets[row + 1] - offsets[row]:
                         continue
                     rows.append(row)
                     starts.append(a)
                     anchors.append(anchor)
+                    kinds.append(kind)
                     lo = int(offsets[row]) + a
                     hi = lo + ((at & 0xFFFF) >> 1) - 1 + n
                     sums, inside = prefix_sums(byte_symbols(data[lo:hi])), np.arange(hi - lo - GRAM + 1)
                     places.append(int((mix(piece_hash(sums, inside, inside + GRAM)).view(np.int64) == anchor).argmax()))
                     pieces.append(raw[lo:hi])
+            take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(anchors, pa.int64()), pa.array(places, pa.int64()), pa.array(pieces, pa.binary())], names=["doc_id", "start", "anchor", "place", "piece"]
+                [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int64()) for x in (starts, anchors, places)), pa.array(pieces, pa.binary()), pa.array(kinds, pa.int64())],
+                names=["tag", "doc_id", "start", "anchor", "place", "piece", "kinds"],
             )
 
-    return docs_runs.mapInArrow(scan, "doc_id long, start long, anchor long, place long, piece binary")
+    return docs_runs.mapInArrow(scan, f"{PIECE}, kinds long")
 
 
 def _sorted_repeats(pieces: DataFrame, n: int) -> DataFrame:
-    """(doc_id, start, stop) of the repeated windows of ``pieces``; the rows of an anchor meet in one task, HOT at most."""
+    """(tag, doc_id, start, stop) of the repeated windows of ``pieces``; the rows of a group (anchor, core) meet in one task, GROUP at most."""
 
     def flush(held):
-        rows, starts, stops = [], [], []
-        for (doc, start, _, text), hit in zip(held, repeated_starts([h[3] for h in held], n)):
+        tags, rows, starts, stops = [], [], [], []
+        for (tag, doc, start, *_, text), hit in zip(held, repeated_starts([h[-1] for h in held], n)):
             if len(hit):
                 cut = np.flatnonzero(np.diff(hit) > 1)
                 a, b = hit[np.append(0, cut + 1)], hit[np.append(cut, len(hit) - 1)]
+                tags += [tag] * len(a)
                 rows += [doc] * len(a)
                 starts += (a + start).tolist()
                 stops += (b + start + n).tolist()
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], names=["doc_id", "start", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array(tags, pa.int32()), *(pa.array(x, pa.int64()) for x in (rows, starts, stops))], names=["tag", "doc_id", "start", "stop"])
 
     def sort(batches):
         held, size, last = [], 0, None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if size >= BLOCK and row[2] != last:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if size >= BLOCK and row[3:5] != last:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3]) + 1
-                last = row[2]
+                size += len(row[5]) + 1
+                last = row[3:5]
         yield flush(held)
 
-    return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, "doc_id long, start long, stop long")
+    rows = pieces.select(*NAME, "start", "anchor", "core", "piece")
+    return rows.repartition("anchor", "core").sortWithinPartitions("anchor", "core").mapInArrow(sort, "tag int, doc_id long, start long, stop long")
 
 
-#: Windows a block, by round; the last is a single window, whose core is all of it.
+#: Windows a block, by division; the last is a single window, whose core is all of it.
 BLOCKS = (64, 16, 4, 1)
 
 
 def _blocks(pieces: DataFrame, n: int, size: int) -> DataFrame:
-    """Cut runs (doc_id, start, anchor, place, piece) into blocks of ``size`` windows by distance from the anchor.
+    """Cut runs (NAME, start, anchor, place, piece) into blocks of ``size`` windows by distance from the anchor.
 
-    ``place`` is where the anchor stands in the piece.  Adds block (number), core and
-    content (hashes of what all windows of the whole block hold, and of the piece itself).
+    ``place`` is where the anchor stands in the piece.  Adds core (a hash of the distance
+    and of the bytes that all windows of the whole block hold) and content (of the piece itself).
     """
     reach = n - GRAM
 
     def scan(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(4))
-            start, place = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            data, offsets = text_bytes(batch.column(5))
+            start, place = batch.column(2).to_numpy(), batch.column(4).to_numpy()
             windows = np.diff(offsets) - n + 1
             # window w of a piece stands at distance u = w - place + reach >= 0
             low, high = reach - place, reach - place + windows - 1
@@ -201,54 +212,52 @@ def _blocks(pieces: DataFrame, n: int, size: int) -> DataFrame:
             last = np.minimum(block * size + size - 1, high[row]) - low[row]
             sums, at = prefix_sums(byte_symbols(data)), offsets[row]
             a, b = block * size + size - 1 - low[row], block * size - low[row] + n
-            core = mix(piece_hash(sums, at + np.minimum(a, b), at + b))
+            core = mix(piece_hash(sums, at + np.minimum(a, b), at + b) + block.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
             content = mix(piece_hash(sums, at + first, at + last + n) + (last - first).astype(np.uint64) + (first + low[row]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
             raw, ids = data.tobytes(), pa.array(row)
             cut = [raw[x:y] for x, y in zip((at + first).tolist(), (at + last + n).tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(ids), pa.array(start[row] + first), batch.column(2).take(ids), pa.array(place[row] - first), pa.array(cut, pa.binary()), pa.array(block), pa.array(core.view(np.int64)), pa.array(content.view(np.int64))],
-                names=["doc_id", "start", "anchor", "place", "piece", "block", "core", "content"],
+                [batch.column(0).take(ids), batch.column(1).take(ids), pa.array(start[row] + first), batch.column(3).take(ids), pa.array(place[row] - first), pa.array(cut, pa.binary()), pa.array(core.view(np.int64)), pa.array(content.view(np.int64))],
+                names=["tag", "doc_id", "start", "anchor", "place", "piece", "core", "content"],
             )
 
-    return pieces.mapInArrow(scan, "doc_id long, start long, anchor long, place long, piece binary, block long, core long, content long")
+    return pieces.mapInArrow(scan, f"{PIECE}, core long, content long")
 
 
-def _refined(pieces: DataFrame, n: int) -> DataFrame:
-    """(doc_id, start, stop) of the repeated windows of ``pieces`` (doc_id, start, anchor, place, piece), by ever smaller blocks."""
-    found = None
+def _divided(pieces: DataFrame, n: int) -> tuple[DataFrame | None, list[DataFrame]]:
+    """Divide pieces of large groups: what repeats as whole blocks (tag, doc_id, start, stop), and pieces in groups that can be sorted."""
+    whole, groups = None, []
     for size in BLOCKS:
+        if pieces.isEmpty():
+            break
         cut = settled(_blocks(pieces, n, size), "blocks")
-        key = ["anchor", "block", "core"]
-        per = settled(cut.groupBy(*key, "content").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("d")), "per")
+        key = ["anchor", "core"]
+        per = settled(cut.groupBy(*key, "content").agg(F.count(F.lit(1)).alias("copies"), *first_doc()), "per")
         kinds = settled(per.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds")), "kinds")
-        per = settled(per.join(kinds.hint("merge"), key).where("copies > 1 or kinds > 1"), "open")
-        told = cut.join(per.hint("merge"), [*key, "content"])
-        again = told.where("copies > 1").select("doc_id", "start", (F.col("start") + F.length("piece")).alias("stop"))
-        found = again if found is None else found.unionByName(again)
-        # what repeats as a whole goes on as a few copies, for others to be compared with
-        few = (F.col("copies") == 1) | (F.col("doc_id") == F.col("d"))
-        pieces = told.where("kinds > 1").where(few).select("doc_id", "start", "anchor", "place", "piece")
-    return found
+        per = settled(spread_join(per, kinds, key, "kinds", F.col("content")).where("copies > 1 or kinds > 1"), "open")
+        told = settled(spread_join(cut, per, [*key, "content"], "copies", F.xxhash64("doc_id", "start")), "told")
+        again = told.where("copies > 1").select(*NAME, "start", (F.col("start") + F.length("piece")).alias("stop"))
+        whole = again if whole is None else whole.unionByName(again)
+        # what repeats as a whole stays in the group as the copies of one document, for others to be compared with
+        left = told.where("kinds > 1").where((F.col("copies") == 1) | is_first())
+        groups.append(left.where(F.col("kinds") <= GROUP).select(*NAME, "start", "anchor", "core", "piece"))
+        pieces = left.where(F.col("kinds") > GROUP).select(*NAME, "start", "anchor", "place", "piece")
+    return whole, groups
 
 
 def repeat_spans(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, start, stop) in bytes: every ``n``-byte string of ``docs`` that starts at two places at least."""
+    """(tag, doc_id, start, stop) in bytes: every ``n``-byte string of ``docs`` that starts at two places at least."""
     shared = shared_runs(docs, "byte", n, GRAM)
-    kinds = contents(shared)
-    runs = shared.join(kinds.hint("merge"), ["anchor", "content"])
-    whole = runs.where("copies > 1").select("doc_id", start_of().alias("start"), (start_of() + count_of() - 1 + n).alias("stop"))
+    found = shared.where("copies > 1").select(*NAME, start_of().alias("start"), (start_of() + count_of() - 1 + n).alias("stop"))
     # one copy of each content: the others repeat as a whole already
-    rep = (F.col("doc_id") == F.col("least_doc")) & (F.col("at").bitwiseAND(1) == 1)
-    opened = runs.where("kinds > 1").where(rep)
-    lists = opened.groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor")).alias("open"))
-    pieces = settled(
-        _pieces(by_id(docs, lists, "inner").select("doc_id", "text", "open"), n).join(kinds.where("kinds > 1").groupBy("anchor").agg(F.max("kinds").alias("kinds")).hint("merge"), "anchor").select("doc_id", "start", "anchor", "place", "piece", "kinds"),
-        "pieces",
-    )
-    ordered = _sorted_repeats(pieces.where(F.col("kinds") <= HOT).select("doc_id", "start", "anchor", "piece"), n)
-    hot = pieces.where(F.col("kinds") > HOT).drop("kinds")
-    found = whole.unionByName(ordered)
-    return found if hot.isEmpty() else found.unionByName(_refined(hot, n))
+    lists = shared.where("kinds > 1 and lead").groupBy(*NAME).agg(F.collect_list(F.struct("at", "anchor", "kinds")).alias("open"))
+    pieces = settled(_pieces(by_name(docs, lists, "inner").select(*NAME, "text", "open"), n), "pieces")
+    whole, groups = _divided(pieces.where(F.col("kinds") > GROUP).drop("kinds"), n)
+    sortable = pieces.where(F.col("kinds") <= GROUP).select(*NAME, "start", "anchor", F.lit(0).cast("long").alias("core"), "piece")
+    for g in groups:
+        sortable = sortable.unionByName(g)
+    found = found.unionByName(_sorted_repeats(sortable, n))
+    return found if whole is None else found.unionByName(whole)
 
 
 def suffix_dedup(df: DataFrame, n: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,18 +271,18 @@ def suffix_dedup(df: DataFrame, n: int = 400, id_col: str = "doc_id", text_col:
 
     def apply(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(2))
             out = ([], [], [], [])
             for row in range(batch.num_rows):
                 text = data[offsets[row] : offsets[row + 1]]
-                s, kept, gone, marks = span_arrays(batch.column(2), row), text, 0, 0
+                s, kept, gone, marks = span_arrays(batch.column(3), row), text, 0, 0
                 if len(s[0]):
                     mask = covered(s, len(text))
                     kept, gone, marks = text[~mask], int(mask.sum()), span_count(mask)
                 for o, v in zip(out, (len(text), gone, marks, kept.tobytes())):
                     o.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.binary())], names=["tag", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = by_id(docs, spans, "left").select("doc_id", "text", "spans")
-    out = joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumn("doc_id", real_id())
+    joined = by_name(docs, spans, "left").select(*NAME, "text", "spans")
+    out = joined.mapInArrow(apply, "tag int, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.select(real_id(), "n_bytes", "n_removed", "n_spans", "kept")

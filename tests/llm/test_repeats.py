@@ -7,24 +7,30 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tabweave.llm import repeats, substring_dedup, suffix_dedup
+from tabweave.llm import core, repeats, substring_dedup, suffix_dedup
+
+from .conftest import SCHEMA, rows_of
 
 
 def brute_words(rows, n=20):
-    """Rows in order of (id, null last); rows that share an id are one document's copies, none is earlier."""
+    """Rows in order of id (null last, by the given order of texts); no row is earlier than another of its id, copies included."""
+    order = {t: k for k, t in enumerate(sorted({t or "" for d, t, *_ in rows if d is None}))}
+    place = lambda d, t: (d is None, order[t or ""] if d is None else d)
     first = {}
     for d, t, *_ in rows:
         w = (t or "").encode().split()
         for i in range(len(w) - n + 1):
-            k, at = tuple(w[i : i + n]), (d is None, d or 0, i)
-            first[k] = min(first.get(k, at), at)
+            k = tuple(w[i : i + n])
+            first[k] = min(first.get(k, place(d, t)), place(d, t))
     out = []
     for d, t, *_ in rows:
-        w = (t or "").encode().split()
+        w, seen = (t or "").encode().split(), set()
         m = [False] * len(w)
         for i in range(len(w) - n + 1):
-            if first[tuple(w[i : i + n])] != (d is None, d or 0, i):
+            k = tuple(w[i : i + n])
+            if first[k] != place(d, t) or k in seen:
                 m[i : i + n] = [True] * n
+            seen.add(k)
         out.append((d, len(w), sum(m), hashlib.sha256(b" ".join(x for x, g in zip(w, m) if not g)).hexdigest()))
     return sorted(out, key=str)
 
@@ -60,20 +66,25 @@ def test_words_match_brute_force(docs, plain):
     assert words_of(substring_dedup.substring_dedup(docs)) == brute_words(list(plain.items()))
 
 
-@pytest.mark.parametrize("hot", [256, 0])
-def test_bytes_match_brute_force(docs, plain, monkeypatch, hot):
-    """With HOT at 0 every anchor takes the way of the common ones."""
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("group", [256, 1])
+def test_bytes_match_brute_force(docs, plain, monkeypatch, group):
+    """With GROUP at 1 every group is divided before it is sorted."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
     assert bytes_of(suffix_dedup.suffix_dedup(docs)) == brute_bytes(list(plain.items()), 400)
 
 
 def test_odd_rows(odd, odd_rows):
-    # rows without id keep what repeats only among themselves and others: the first with an id is earlier
-    got = [r for r in words_of(substring_dedup.substring_dedup(odd)) if r[0] is not None]
-    assert got == [r for r in brute_words(odd_rows) if r[0] is not None]
-    got, want = bytes_of(suffix_dedup.suffix_dedup(odd)), brute_bytes(odd_rows, 400)
-    assert [r for r in got if r[0] is not None] == [r for r in want if r[0] is not None]
-    assert len(got) == len(odd_rows)
+    """Null, repeated and very large ids, each row's fate."""
+    assert words_of(substring_dedup.substring_dedup(odd)) == brute_words(odd_rows)
+    assert bytes_of(suffix_dedup.suffix_dedup(odd)) == brute_bytes(odd_rows, 400)
+
+
+def test_hot_keys_are_spread(spark, odd_rows, monkeypatch):
+    monkeypatch.setattr(core, "HOT_KEYS", 1_000_000)
+    rows = [r for r in odd_rows if r[1] is None or len(r[1]) < 10_000]
+    df = spark.createDataFrame(rows_of(rows), SCHEMA)
+    assert words_of(substring_dedup.substring_dedup(df)) == brute_words(rows)
+    assert bytes_of(suffix_dedup.suffix_dedup(df)) == brute_bytes(rows, 400)
 
 
 def test_empty(empty):
