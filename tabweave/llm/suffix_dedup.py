@@ -106,6 +106,32 @@ def shares_prefix(text: bytes, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarr
     return out
 
 
+def promising(texts: list[bytes], n: int) -> list[tuple[int, int, bytes]]:
+    """(text, start, piece): the stretches of ``texts`` whose ``n``-byte strings may start twice.
+
+    The middle half of a string that starts twice stands twice too: strings are left out
+    whose middle does not, by hash.
+    """
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    middle, out = n // 2, []
+    starts = [np.arange(e - len(t), e - n + 1) for t, e in zip(texts, ends) if len(t) >= n]
+    if not starts:
+        return out
+    at = np.concatenate(starts)
+    sums = prefix_sums(byte_symbols(data))
+    _, which, count = np.unique(mix(piece_hash(sums, at + n // 4, at + n // 4 + middle)), return_inverse=True, return_counts=True)
+    held = at[count[which] > 1]
+    if not len(held):
+        return out
+    owner = np.searchsorted(ends, held, side="right")
+    cut = np.flatnonzero((np.diff(held) > 1) | (np.diff(owner) > 0))
+    for a, b in zip(held[np.append(0, cut + 1)].tolist(), held[np.append(cut, len(held) - 1)].tolist()):
+        k = int(np.searchsorted(ends, a, side="right"))
+        a, b = a - int(ends[k]) + len(texts[k]), b - int(ends[k]) + len(texts[k])
+        out.append((k, a, texts[k][a : b + n]))
+    return out
+
+
 def repeated_starts(texts: list[bytes], n: int) -> list[np.ndarray]:
     """For each text, the starts of its ``n``-byte strings that start at two places of ``texts`` at least."""
     block = b"".join(t + bytes([END]) for t in texts)
@@ -160,8 +186,10 @@ def _sorted_repeats(pieces: DataFrame, n: int) -> DataFrame:
 
     def flush(held):
         tags, rows, starts, stops = [], [], [], []
-        for (tag, doc, start, *_, text), hit in zip(held, repeated_starts([h[-1] for h in held], n)):
+        pieces = promising([h[-1] for h in held], n)
+        for (k, inside, _), hit in zip(pieces, repeated_starts([p for _, _, p in pieces], n)):
             if len(hit):
+                tag, doc, start = held[k][0], held[k][1], held[k][2] + inside
                 cut = np.flatnonzero(np.diff(hit) > 1)
                 a, b = hit[np.append(0, cut + 1)], hit[np.append(cut, len(hit) - 1)]
                 tags += [tag] * len(a)

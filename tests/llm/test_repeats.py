@@ -109,6 +109,20 @@ def test_repeated_starts():
         assert [h.tolist() for h in suffix_dedup.repeated_starts(texts, n)] == want
 
 
+def test_promising_stretches_hold_all_repeats():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 60))).encode() for _ in range(40)]
+    for n in (9, 12, 16):
+        count = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
+        want = {(k, i) for k, t in enumerate(texts) for i in range(len(t) - n + 1) if count[t[i : i + n]] > 1}
+        kept = suffix_dedup.promising(texts, n)
+        assert all(texts[k][a : a + len(p)] == p and len(p) >= n for k, a, p in kept)
+        found = {(k, a + i) for k, a, p in kept for i in range(len(p) - n + 1)}
+        assert want <= found and len(found) == sum(len(p) - n + 1 for _, _, p in kept)
+        hits = suffix_dedup.repeated_starts([p for _, _, p in kept], n)
+        assert {(k, a + int(i)) for (k, a, _), h in zip(kept, hits) for i in h} == want
+
+
 def test_runs_cover_every_window_once():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 100, 3000).astype(np.uint8)
