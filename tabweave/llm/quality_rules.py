@@ -129,17 +129,21 @@ class DecisionList:
         return out
 
 
-def learn(labelled: DataFrame, names: list[str], bins: int = 64, most_rules: int = 12, most_terms: int = 3, precision: float = 0.95, least_rows: int = 5) -> DecisionList:
+def learn(labelled: DataFrame, names: list[str], bins: int = 64, most_terms: int = 3, precision: float = 0.95, least_rows: int = 5) -> DecisionList:
     """Learn from ``labelled``: the named feature columns, bad (0 or 1) and grow (boolean), settled.
 
-    Thresholds are approximate quantiles of either class.  A rule's precision on the pruning rows must
-    reach ``precision``, on ``least_rows`` rows at least.
+    Thresholds are approximate quantiles of either class, ``bins`` of each.  A rule grows
+    while a term gains information, to ``most_terms`` (so that people can read it), and is
+    pruned to the prefix that does best on the pruning rows; its precision there must reach ``precision``, on
+    ``least_rows`` rows at least.  Rules are added until none can be, whatever their number:
+    each covers at least ``least_rows`` rows that none before it does, so learning ends.
     """
     share = [k / bins for k in range(bins)]
     bounds = labelled.groupBy("bad").agg(*[F.percentile_approx(n, share, 10_000).alias(n) for n in names]).collect()
     cuts = {n: sorted({v for b in bounds for v in b[n] or []}) for n in names}
     if not any(cuts.values()):
         return DecisionList()
+
     def bin_of(name: str) -> Column:
         bounds = F.lit(cuts[name]) if cuts[name] else F.array().cast("array<double>")
         return F.size(F.filter(bounds, lambda v: v < F.col(name))).alias(f"b_{name}")
@@ -147,7 +151,7 @@ def learn(labelled: DataFrame, names: list[str], bins: int = 64, most_rules: int
     binned = settled(labelled.select("bad", "grow", *names, *[bin_of(n) for n in names]), "binned")
     columns = {n: F.col(n) for n in names}
     found = DecisionList()
-    while len(found.rules) < most_rules:
+    while True:
         left = binned.where(found.verdict(columns))
         rule = Rule([])
         while len(rule.terms) < most_terms:

@@ -3,8 +3,9 @@
 A candidate is a maximal run of one character class (base64-like, or hexadecimal).  A
 window moves along it while its character counts, and with them its entropy, are updated
 by one character in and one out.  Windows over the class's threshold merge into spans.
-An allow list suppresses candidates that are known to be harmless: runs without digits or
-without letters, repeated characters, counting sequences, identifiers in UUID form, paths.
+An allow list suppresses candidates that are harmless as a whole: runs without letters,
+repeated pieces, counting sequences, identifiers in UUID form, words and numbers joined by
+signs, and runs without digits that are cased like words.
 
 Nulls: a null text is empty.  Rows with null or repeated ids are scanned like any other;
 an empty table gives no rows.  Texts are scanned whole.  Only the named columns are read.
@@ -36,16 +37,32 @@ CLASSES = (
     ("hex", re.compile(r"[0-9a-fA-F]{%d,}" % WINDOW), 3.0),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW), 3.7),
 )
-#: Candidates that match one of these are harmless.
+#: Shares of neighbouring characters: from the first on a candidate counts up, below the second it is cased like words.
+COUNTING, CASED = 0.8, 0.3
+#: Candidates that match one of these as a whole are harmless: no letter; a UUID; a short piece over and over; words and a number.
 ALLOW = (
-    re.compile(r"[^0-9]*"),
     re.compile(r"[^A-Za-z]*"),
     re.compile(r"[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
     re.compile(r"(.{1,4})\1+"),
     re.compile(r"[A-Za-z]+([-_/=][A-Za-z]+)*[-_/=][0-9]{1,4}"),
-    re.compile(r"0?123456789.*|.*abcdefghij.*", re.I),
 )
 
+
+def harmless(run: str) -> bool:
+    """The allow list, over a whole candidate: a part of it that looks harmless excuses nothing.
+
+    Besides the patterns: sequences that count up (digits, alphabets, character tables), and
+    runs without a digit whose letters change case no more often than words do.
+    """
+    if any(a.fullmatch(run) for a in ALLOW):
+        return True
+    pairs = list(zip(run, run[1:]))
+    if sum(ord(b) - ord(a) == 1 or a + b == "90" for a, b in pairs) >= COUNTING * len(pairs):
+        return True
+    letters = [(a, b) for a, b in pairs if a.isalpha() and b.isalpha()]
+    return not any(c.isdigit() for c in run) and sum(a.islower() != b.islower() for a, b in letters) < CASED * max(1, len(letters))
+
+
 _PLOGP = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -91,7 +108,7 @@ def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[in
     for _, pattern, least in CLASSES:
         for m in pattern.finditer(text):
             run = m[0]
-            if not any(a.fullmatch(run) for a in ALLOW):
+            if not harmless(run):
                 found += [(m.start() + a, m.start() + b) for a, b in hot_windows(run, least)]
     merged: list[list[int]] = []
     for a, b in sorted(found):

@@ -123,3 +123,40 @@ def test_pipeline_stages(spark, sf_dir, docs):
     from tests.llm.test_scans import brute_secrets
 
     assert not any(brute_secrets(r["text"]) for r in now.collect())
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir, odd, empty):
+    """Null, repeated and very large ids, clashing columns: what becomes of each row, stage by stage."""
+    import corpus_pipeline
+    from tests.llm.test_near_copies import brute_groups
+
+    stages, rows = dict(corpus_pipeline.STAGES), odd.collect()
+    text = lambda rs: sorted(str((r["doc_id"], r["text"])) for r in rs)
+    # near copies: of each group the first by id (null last) stays, and rows without an id stay or go by their own text
+    label = brute_groups([r["text"] for r in rows])
+    first = {}
+    for r, g in zip(rows, label):
+        k = (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
+        first[g] = min(first.get(g, k), k)
+    kept = stages["simhash_near_dedup"](spark, odd, sf_dir)
+    got = kept.collect()
+    assert kept.columns == odd.columns and len(got) == len(first)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted(k[:2] for k in first.values())
+    assert "all on its own, without an id" in {r["text"] for r in got}
+    # by query 5's rule, too, one row of each component stays
+    from tabweave.llm import simhash_dedup
+    from tests.llm.test_simhash import brute_components, brute_print
+
+    prints = [(k, brute_print(r["text"])) for k, r in enumerate(rows)]
+    groups = {c for _, _, c in brute_components(prints, 2)}
+    once = simhash_dedup.drop_near_duplicates(odd)
+    assert once.columns == odd.columns and once.count() == len(groups)
+    # languages that no learned language explains go, each by its own text
+    spoken = stages["language_id"](spark, odd, sf_dir)
+    assert {r["doc_id"] for r in spoken.collect()} & {1, 2, 3, 9} == set() and spoken.columns == odd.columns
+    # secrets: every row stays, only texts that hold one change
+    clean = {str((r["doc_id"], r["n_chars"])): r["text"] for r in stages["secret_scan"](spark, odd, sf_dir).collect()}
+    assert len(stages["secret_scan"](spark, odd, sf_dir).collect()) == len(rows) and not any("hunter22" in (t or "") for t in clean.values())
+    assert text(stages["decontamination"](spark, odd, sf_dir).collect()) == text(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
