@@ -20,6 +20,17 @@ def long_form(df: DataFrame, cols: list[str], ids: list[str], cast: str = "strin
     return df.select(*ids, cells).select(*ids, "x.col", "x.value")
 
 
+def distinct_counts(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """One row, a column each: how many distinct values (null is none) the expressions have.
+
+    Cells are unpivoted and counted by column and value, combined before the one shuffle;
+    several exact distinct counts in one aggregation would expand every row by all of them.
+    """
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("col"), c.cast("string").alias("value")) for n, c in cols.items()])).alias("x")).select("x.*")
+    per = cells.where("value is not null").distinct().groupBy("col").agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(*[F.coalesce(F.sum(F.when(F.col("col") == n, F.col("n"))), F.lit(0)).alias(n) for n in cols])
+
+
 def discrete_counts(real: DataFrame, fake: DataFrame, cols: list[str], nulls: bool = False) -> DataFrame:
     """(col, value, n_real, n_fake) over the union of categories; one shuffle, combined before it."""
     cells = long_form(tagged(real, fake, cols, "string"), cols, ["src"])

@@ -7,6 +7,7 @@ small table, and has ``transform`` and, where there is one, ``inverse``.
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normal
 from ..functions.counts import long_form
-from ..functions.order import numbered, uniform
+from ..functions.order import numbered_by_value, uniform
 
 # --- C1, C2, C5, C9, C11, C15, C22, C25: projections -------------------------------------------------
 
@@ -139,8 +140,9 @@ class DateEncoder(Step):
 class MissingEncoder(Step):
     """C4: missing categories become "-1"; missing numbers become the median, with a flag column beside.
 
-    A number of -1 counts as missing too.  Optional Gaussian noise (a share of the
-    median) is drawn from a hash of the row, so it is the same on every run.
+    A number of -1 counts as missing too.  Gaussian noise of deviation ``noise_std`` is added
+    to the median; it comes from a hash of the row (``id_col``, or else all its columns), so
+    it is the same on every run and partitioning.
     """
 
     continuous: list[str]
@@ -148,16 +150,23 @@ class MissingEncoder(Step):
     noise_std: float = 0.0
     seed: int = 42
     medians: dict[str, float] = field(default_factory=dict)
+    id_col: str | None = None
 
     def fit(self, df):
         one = df.agg(*[x for c in self.continuous for x in (F.count_if(F.col(c).isNull() | (F.col(c) == -1)).alias(f"n_{c}"), F.percentile_approx(F.when(F.col(c) != -1, F.col(c).cast("double")), 0.5, 1_000_000).alias(f"m_{c}"))] or [F.lit(1)]).first()
-        return MissingEncoder(self.continuous, self.discrete, self.noise_std, self.seed, {c: one[f"m_{c}"] for c in self.continuous if one[f"n_{c}"]})
+        return MissingEncoder(self.continuous, self.discrete, self.noise_std, self.seed, {c: one[f"m_{c}"] for c in self.continuous if one[f"n_{c}"]}, self.id_col)
+
+    def _noise(self, c: str, columns: list[str]) -> Column:
+        """A standard normal number by hash, from two uniform ones (Box and Muller)."""
+        keys = [self.id_col] if self.id_col else columns
+        u, v = (uniform(f"{self.seed}|{c}|{k}", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in keys]) for k in (0, 1))
+        return F.sqrt(-2 * F.log1p(-u)) * F.cos(2 * math.pi * v)
 
     def transform(self, df):
         out = {}
         for c, m in self.medians.items():
             gone = F.col(c).isNull() | (F.col(c) == -1)
-            fill = F.lit(m) if not self.noise_std else F.lit(m) + F.randn(self.seed) * self.noise_std
+            fill = F.lit(m) if not self.noise_std else F.lit(m) + self._noise(c, df.columns) * self.noise_std
             out |= {f"{c}_missing": gone.cast("int"), c: F.when(gone, fill).otherwise(F.col(c).cast("double"))}
         return df.withColumns(out | {c: F.coalesce(F.col(c).cast("string"), F.lit("-1")) for c in self.discrete})
 
@@ -169,33 +178,50 @@ class MissingEncoder(Step):
         return kinds | {f"{c}_missing": "binary" for c in self.medians}
 
 
-#: Pairs of values of which the second is 1 (fixed rules); other pairs are taken in sorted order.
-BINARY_RULES = (("no", "yes"), ("n", "y"), ("false", "true"), ("f", "m"), ("female", "male"), ("0", "1"), ("negative", "positive"))
+#: Pairs of values of which the second is 1, in any case of letters; of a pair with -1 the other is (fixed rules).
+BINARY_RULES = (("0", "1"), ("false", "true"), ("no", "yes"), ("n", "y"), ("f", "m"))
+
+
+def few_values(df: DataFrame, cols: list[str], most: int) -> dict[str, list[str]]:
+    """The distinct values of each column, as sorted text; an error if there are more than ``most``, before any are gathered."""
+    about = df.agg(*[F.approx_count_distinct(F.col(c), 0.02).alias(c) for c in cols]).first()
+    if many := [c for c in cols if about[c] > most * 1.1 + 1]:
+        raise ValueError(f"{', '.join(many)}: more than {most} values")
+    cells = long_form(df, cols, []).where("value is not null").distinct()
+    found = cells.groupBy("col").agg(F.array_sort(F.collect_list("value")).alias("v")).collect()
+    out = {c: next((r["v"] for r in found if r["col"] == c), []) for c in cols}
+    if many := [c for c in cols if len(out[c]) > most]:
+        raise ValueError(f"{', '.join(many)}: more than {most} values")
+    return out
 
 
 @dataclass
 class BinaryEncoder(Step):
-    """Two-valued columns to 0 and 1 by a rule table, and back (threshold 0.5); null stays."""
+    """Two-valued columns to 0 and 1 by a rule table, and back (above 0.5 is 1); null stays.
+
+    Other pairs are an error, or, with ``others`` sorted, taken in sorted order.
+    """
 
     cols: list[str]
     values: dict[str, list[str]] = field(default_factory=dict)
+    others: str = "error"
 
     def fit(self, df):
-        one = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in self.cols]).first()  # two values a column
-        found = {}
+        seen, found = few_values(df, self.cols, 2), {}
         for c in self.cols:
-            if len(one[c]) != 2:
-                raise ValueError(f"{c} has {len(one[c])} values, not two")
-            low = [v.strip().lower() for v in one[c]]
-            rule = next((r for r in BINARY_RULES if set(r) == set(low)), None)
-            found[c] = [one[c][low.index(rule[0])], one[c][low.index(rule[1])]] if rule else list(one[c])
-        return BinaryEncoder(self.cols, found)
+            low = [v.strip().lower() for v in seen[c]]
+            rule = next((r for r in BINARY_RULES if set(r) == set(low) and len(low) == 2), None)
+            if len(low) != 2 or not rule and "-1" not in low and self.others != "sorted":
+                raise ValueError(f"{c} has the values {seen[c]}, which are no known pair")
+            first = low.index(rule[0] if rule else "-1" if "-1" in low else low[0])
+            found[c] = [seen[c][first], seen[c][1 - first]]
+        return BinaryEncoder(self.cols, found, self.others)
 
     def transform(self, df):
         return df.withColumns({c: F.when(F.col(c).cast("string") == v[1], 1).when(F.col(c).cast("string") == v[0], 0) for c, v in self.values.items()})
 
     def inverse(self, df):
-        return df.withColumns({c: F.when(F.col(c) >= 0.5, v[1]).when(F.col(c).isNotNull(), v[0]) for c, v in self.values.items()})
+        return df.withColumns({c: F.when(F.col(c) > 0.5, v[1]).when(F.col(c).isNotNull(), v[0]) for c, v in self.values.items()})
 
     def kinds(self, kinds):
         return kinds | {c: "binary" for c in self.cols}
@@ -205,12 +231,12 @@ def vocabulary(df: DataFrame, groups: dict[str, str]) -> DataFrame:
     """(grp, value, code): the values of each group of columns in sorted order, numbered from 0.
 
     ``groups`` maps columns to a group name; columns of one group share codes.  The
-    numbering is in prefix buckets, so that a large vocabulary is no single task's work.
+    numbering is in ranges of values, so that a large vocabulary is no single task's work.
     """
     cells = long_form(df, list(groups), []).where("value is not null")
     grp = reduce(lambda w, kv: w.when(F.col("col") == kv[0], kv[1]), groups.items(), F.when(F.lit(False), ""))
     values = cells.select(grp.alias("grp"), "value").distinct()
-    return numbered(values, F.col("value"), ["grp"], "code", digits=2).withColumn("code", F.col("code") - 1)
+    return numbered_by_value(values, F.col("value"), ["grp"], "code").withColumn("code", F.col("code") - 1)
 
 
 def label_encode(df: DataFrame, vocab: DataFrame, groups: dict[str, str]) -> DataFrame:
@@ -237,11 +263,9 @@ class OneHot(Step):
     most: int = 10_000
 
     def fit(self, df):
-        one = df.agg(*[x for c in self.cols for x in (F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c), F.count_if(F.col(c).isNull()).alias(f"n_{c}"))]).first()
-        for c in self.cols:
-            if len(one[c]) > self.most:
-                raise ValueError(f"{c} has more than {self.most} values; use label codes")
-        return OneHot(self.cols, {c: [*one[c], *([None] if one[f"n_{c}"] else [])] for c in self.cols}, self.most)
+        seen = few_values(df, self.cols, self.most)
+        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in self.cols]).first()
+        return OneHot(self.cols, {c: [*seen[c], *([None] if nulls[c] else [])] for c in self.cols}, self.most)
 
     def transform(self, df):
         return df.withColumns({c: self._slots(c, v) for c, v in self.values.items()})
@@ -428,32 +452,37 @@ class ModeNormaliser(Step):
         found = {c: weighted_mixture(g["x"].to_numpy(), g["n"].to_numpy(float), self.components, self.least) for c, g in points.sort_values(["col", "bin"]).groupby("col")}
         return ModeNormaliser(**(asdict(self) | {"modes": found}))
 
-    def _chosen(self, c: str) -> Column:
-        """Number of the component that a value is given to, from 0."""
-        mu, sd, w = self.modes[c]
-        x = self._plain(c)
-        comp = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("s"), F.lit(p).alias("w")) for m, s, p in zip(mu, sd, w)])
-        like = F.transform(comp, lambda k: k["w"] / k["s"] * F.exp(-F.pow((x - k["m"]) / k["s"], 2) / 2))
-        if self.pick == "argmax" or self.id_col is None:
-            near = F.transform(comp, lambda k: F.ln(k["w"] / k["s"]) - F.pow((x - k["m"]) / k["s"], 2) / 2)
-            return (F.array_position(near, F.array_max(near)) - 1).cast("int")
-        total = F.aggregate(like, F.lit(0.0), lambda a, b: a + b + 1e-6)
-        u = uniform(f"{self.seed}|{c}", self.id_col) * total
-        start = F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("k"))
-        walk = F.aggregate(like, start, lambda a, b: F.struct((a["t"] + b + 1e-6).alias("t"), (a["k"] + F.when(a["t"] + b + 1e-6 <= u, 1).otherwise(0)).alias("k")), lambda a: a["k"])
-        return F.least(walk, F.lit(len(mu) - 1)).cast("int")
-
     def transform(self, df):
-        for c, (mu, sd, _) in self.modes.items():
-            k = self._chosen(c)
-            df = df.withColumn(f"{c}_mode", k)
-            at = F.col(f"{c}_mode") + 1
-            u = (self._plain(c) - F.element_at(F.lit(mu), at)) / (4 * F.element_at(F.lit(sd), at))
-            value = F.greatest(F.lit(-self.clip), F.least(F.lit(self.clip), u))
-            mode = F.col(f"{c}_mode")
-            for j, s in enumerate(self.special.get(c, [])):
-                mode = F.when(F.col(c) == s, len(mu) + j).otherwise(mode)
-            df = df.withColumn(f"{c}_value", F.when(self._plain(c).isNotNull(), value).when(F.col(c).isNotNull(), 0.0)).withColumn(f"{c}_mode", F.when(F.col(c).isNotNull(), mode)).drop(c)
+        """One Arrow pass a column settles mode and value together, over whole batches."""
+        mean_sd = {c: (np.array(mu), np.array(sd), np.array(w)) for c, (mu, sd, w) in self.modes.items()}
+        clip, draw = self.clip, self.pick == "draw" and self.id_col is not None
+
+        def chooser(c: str):
+            mu, sd, w = mean_sd[c]
+            own = np.array(self.special.get(c, []), float)
+
+            @F.pandas_udf("mode int, value double")
+            def choose(x: pd.Series, u: pd.Series) -> pd.DataFrame:
+                v = x.to_numpy(dtype=float, na_value=np.nan)
+                plain = ~np.isnan(v) & ~np.isin(v, own)
+                log = np.log(w / sd) - ((v[:, None] - mu) / sd) ** 2 / 2
+                if draw:
+                    walk = np.cumsum(np.exp(log) + 1e-6, axis=1)
+                    k = np.minimum((walk <= (u.to_numpy(dtype=float) * walk[:, -1])[:, None]).sum(axis=1), len(mu) - 1)
+                else:
+                    k = np.where(plain, np.nan_to_num(log, nan=-np.inf).argmax(axis=1), 0)
+                value = np.clip((v - mu[k]) / (4 * sd[k]), -clip, clip)
+                for j, s in enumerate(own):
+                    k, value = np.where(v == s, len(mu) + j, k), np.where(v == s, 0.0, value)
+                none = np.isnan(v)
+                return pd.DataFrame({"mode": pd.Series(k.astype("int32"), dtype="Int32").mask(none), "value": pd.Series(value).where(~none, None)})
+
+            return choose
+
+        for c in self.modes:
+            u = uniform(f"{self.seed}|{c}", self.id_col) if draw else F.lit(0.0)
+            df = df.withColumn("_m", chooser(c)(F.col(c).cast("double"), u))
+            df = df.withColumns({f"{c}_mode": F.col("_m.mode"), f"{c}_value": F.col("_m.value")}).drop(c, "_m")
         return df
 
     def inverse(self, df):
@@ -492,10 +521,7 @@ def reject_outside(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> tup
 
 def snap_to_seen(df: DataFrame, real: DataFrame, cols: list[str], most: int = 10_000) -> DataFrame:
     """Each value becomes the nearest value seen in ``real`` (the smaller on ties); for columns of few values."""
-    seen = real.agg(*[F.array_sort(F.collect_set(F.col(c).cast("double"))).alias(c) for c in cols]).first()
-    for c in cols:
-        if len(seen[c]) > most:
-            raise ValueError(f"{c} has more than {most} values")
+    seen = {c: sorted(float(v) for v in vs) for c, vs in few_values(real.select(*[F.col(c).cast("double").alias(c) for c in cols]), cols, most).items()}
 
     def near(c: str) -> Column:
         best = F.array_min(F.transform(F.lit(seen[c]), lambda v: F.struct(F.abs(v - F.col(c)).alias("d"), v.alias("v"))))

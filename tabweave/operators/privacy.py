@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -13,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.neighbours import kde, knn_topk
-from ..functions.order import numbered, seeded, uniform
+from ..functions.order import numbered, numbered_by_value, quantile, seeded, uniform
 from ..functions.scratch import settled
+from .encode import Pca
 from .sampling import single_rows
 
 # --- G1-G4: clusters ----------------------------------------------------------------------------------
@@ -123,20 +125,22 @@ def record_distances(real: DataFrame, fake: DataFrame, id_col: str, cols: list[s
 
 
 def fifth_percentiles(distances: DataFrame, exact: bool = True) -> DataFrame:
-    """(dcr_5, nndr_5); exact needs the distances' distinct values in one aggregate, approximate does not."""
-    p = (lambda c: F.expr(f"percentile({c}, 0.05)")) if exact else (lambda c: F.percentile_approx(c, 0.05, 100_000))
-    return distances.agg(p("dcr").alias("dcr_5"), p("nndr").alias("nndr_5"))
+    """(dcr_5, nndr_5): exact by narrowing the range that holds the rank, or approximate in one pass."""
+    if not exact:
+        return distances.agg(*[F.percentile_approx(c, 0.05, 100_000).alias(f"{c}_5") for c in ("dcr", "nndr")])
+    held = settled(distances, "distances")
+    return distances.sparkSession.createDataFrame([(quantile(held, "dcr", 0.05), quantile(held, "nndr", 0.05))], "dcr_5 double, nndr_5 double")
 
 
-def dcr_nndr(real: DataFrame, fake: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
+def dcr_nndr(real: DataFrame, fake: DataFrame, id_col: str, cols: list[str], exact: bool = True) -> DataFrame:
     """5th percentiles of DCR and NNDR, each table standardised by itself."""
-    return fifth_percentiles(record_distances(real, fake, id_col, cols))
+    return fifth_percentiles(record_distances(real, fake, id_col, cols), exact)
 
 
 def bootstrap_dcr_nndr(real: DataFrame, fake: DataFrame, id_col: str, cols: list[str], replicates: int = 100, share: float = 0.15, seed: int = 42) -> DataFrame:
     """(replicate, dcr_5, nndr_5) over samples of ``share`` of both tables, drawn by hash."""
     pick = lambda df, b, side: df.where(uniform(f"{seed}|{side}|{b}", id_col) < share)
-    parts = [dcr_nndr(pick(real, b, "r"), pick(fake, b, "f"), id_col, cols).select(F.lit(b).alias("replicate"), "dcr_5", "nndr_5") for b in range(replicates)]
+    parts = [dcr_nndr(pick(real, b, "r"), pick(fake, b, "f"), id_col, cols, exact=False).select(F.lit(b).alias("replicate"), "dcr_5", "nndr_5") for b in range(replicates)]
     return reduce(lambda x, y: x.unionByName(y), parts)
 
 
@@ -250,7 +254,7 @@ def singling_out_multivariate(real: DataFrame, fake: DataFrame, hold: DataFrame,
     rows = fake.withColumn("_h", seeded(seed, id_col)).orderBy("_h").limit(attacks).select(id_col, *cols).collect()  # attacks rows
     preds = []
     for r in rows:
-        rng = np.random.default_rng([seed, hash(str(r[id_col])) & 0xFFFF if not isinstance(r[id_col], int) else r[id_col] & 0x7FFFFFFF])
+        rng = np.random.default_rng([seed, zlib.crc32(str(r[id_col]).encode())])
         preds.append([(c, ("<=" if r[c] <= med[c] else ">=") if c in number else "=", r[c]) for c in (cols[i] for i in sorted(rng.permutation(len(cols))[:n_cols])) if r[c] is not None])
     guess = np.random.default_rng(seed)
     base = [[(c, str(guess.choice(["<=", ">="])) if c in number else "=", rows[int(guess.integers(len(rows)))][c]) for c in (cols[i] for i in guess.permutation(len(cols))[:n_cols])] for _ in rows]
@@ -356,8 +360,7 @@ def density_attack(real: DataFrame, fake: DataFrame, hold: DataFrame, id_col: st
     """
     size = hold.count()
     k = int(size * 0.7)
-    text = lambda c: F.lpad(F.hex(F.col(c).cast("long")), 16, "0")
-    placed = numbered(hold, text(id_col))
+    placed = numbered_by_value(hold, F.col(id_col))
     test = real.select(id_col, *cols).withColumn("member", F.lit(1)).unionByName(placed.where(F.col("pos") <= k).select(id_col, *cols).withColumn("member", F.lit(0)))
     p_g = kde(test, fake, id_col, cols).withColumnRenamed("density", "p_g")
     if mode == "kde":
@@ -376,41 +379,79 @@ def density_attack(real: DataFrame, fake: DataFrame, hold: DataFrame, id_col: st
 
 # --- G18: accounting ----------------------------------------------------------------------------------
 
-ORDERS = tuple(range(2, 64))
+#: Renyi orders that the accounts are kept at (fixed values).
+ORDERS = (*(1 + x / 10 for x in range(1, 100)), *range(12, 64))
 
 
-def _log_a(q: float, sigma: float, alpha: int) -> float:
-    """log E of the likelihood ratio's alpha-th moment of the sampled Gaussian, for whole orders, in log space."""
-    terms = [math.lgamma(alpha + 1) - math.lgamma(i + 1) - math.lgamma(alpha - i + 1) + i * math.log(q) + (alpha - i) * math.log1p(-q) + (i * i - i) / (2 * sigma * sigma) for i in range(alpha + 1)]
-    top = max(terms)
-    return top + math.log(sum(math.exp(t - top) for t in terms))
+def _log_moment(q: float, sigma: float, alpha: float) -> float:
+    """log E[((1 - q) + q exp((2x - 1) / (2 sigma^2)))^alpha] for x normal with deviation sigma, any order above 1.
+
+    The integrand is smooth and falls off like a normal density about a place between 0
+    and alpha, so equal steps over that range sum to it beyond double precision.
+    """
+    x = np.linspace(-14 * sigma, alpha + 14 * sigma, 1 << 15)
+    a, b = math.log1p(-q), math.log(q) + (2 * x - 1) / (2 * sigma * sigma)
+    log = alpha * np.logaddexp(a, b) - x * x / (2 * sigma * sigma) - math.log(sigma * math.sqrt(2 * math.pi))
+    top = log.max()
+    return float(top + math.log(np.exp(log - top).sum() * (x[1] - x[0])))
 
 
-def ledger_epsilon(ledger: DataFrame, delta: float = 1e-5, orders: tuple[int, ...] = ORDERS, group: str = "run") -> DataFrame:
-    """(run, epsilon, best_order) from ledger rows (run, q, noise, steps): Renyi privacy added up per order, then the best conversion."""
+def ledger_rdp(ledger: DataFrame, orders: tuple[float, ...] = ORDERS, group: str = "run") -> DataFrame:
+    """(run, order, rdp) from ledger rows (run, q, noise, steps): Renyi privacy of each entry, added up."""
     def scan(batches):
         for batch in batches:
             q, s, n, o = (batch.column(i).to_pylist() for i in range(1, 5))
-            rdp = [n_ * (0.0 if q_ == 0 else math.inf if s_ == 0 else o_ / (2 * s_ * s_) if q_ == 1 else _log_a(q_, s_, o_) / (o_ - 1)) for q_, s_, n_, o_ in zip(q, s, n, o)]
+            rdp = [n_ * (0.0 if q_ == 0 else math.inf if s_ == 0 else o_ / (2 * s_ * s_) if q_ == 1 else _log_moment(q_, s_, o_) / (o_ - 1)) for q_, s_, n_, o_ in zip(q, s, n, o)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array(rdp, pa.float64())], names=["run", "order", "rdp"])
 
     # equal entries are worked out once: steps add up first
     entries = ledger.groupBy(F.col(group).cast("string").alias("run"), F.col("q").cast("double").alias("q"), F.col("noise").cast("double").alias("noise")).agg(F.sum("steps").cast("long").alias("steps"))
-    grid = entries.withColumn("order", F.explode(F.array(*[F.lit(o) for o in orders])))
-    total = grid.select("run", "q", "noise", "steps", "order").mapInArrow(scan, "run string, order int, rdp double").groupBy("run", "order").agg(F.sum("rdp").alias("rdp"))
+    grid = entries.withColumn("order", F.explode(F.array(*[F.lit(float(o)) for o in orders])))
+    return grid.select("run", "q", "noise", "steps", "order").mapInArrow(scan, "run string, order double, rdp double").groupBy("run", "order").agg(F.sum("rdp").alias("rdp"))
+
+
+def ledger_epsilon(ledger: DataFrame, delta: float = 1e-5, orders: tuple[float, ...] = ORDERS, group: str = "run") -> DataFrame:
+    """(run, epsilon, best_order): the least epsilon at ``delta`` over the orders."""
     eps = F.greatest(F.lit(0.0), F.col("rdp") - F.lit(math.log(delta)) / (F.col("order") - 1))
-    return total.withColumn("eps", eps).groupBy("run").agg(F.min("eps").alias("epsilon"), F.min_by("order", F.struct("eps", "order")).alias("best_order"))
+    return ledger_rdp(ledger, orders, group).withColumn("eps", eps).groupBy("run").agg(F.min("eps").alias("epsilon"), F.min_by("order", F.struct("eps", "order")).alias("best_order"))
 
 
-def score_card(real: DataFrame, fake: DataFrame, hold: DataFrame, id_col: str, keys: list[str], sensitive: list[str], numeric: list[str]) -> DataFrame:
-    """(metric, value): a long table of the privacy metrics of one run."""
-    near = dcr_nndr(real, fake, id_col, numeric)
+def ledger_delta(ledger: DataFrame, epsilon: float, orders: tuple[float, ...] = ORDERS, group: str = "run") -> DataFrame:
+    """(run, delta, log_delta, best_order): the least delta at ``epsilon`` over the orders, 1 at most."""
+    log = F.least(F.lit(0.0), (F.col("order") - 1) * (F.col("rdp") - F.lit(epsilon)))
+    best = ledger_rdp(ledger, orders, group).withColumn("log", log).groupBy("run").agg(F.min("log").alias("log_delta"), F.min_by("order", F.struct("log", "order")).alias("best_order"))
+    return best.select("run", F.exp("log_delta").alias("delta"), "log_delta", "best_order")
+
+
+def score_card(real: DataFrame, fake: DataFrame, hold: DataFrame, id_col: str, keys: list[str], sensitive: list[str], numeric: list[str], replicates: int = 5) -> DataFrame:
+    """(metric, value): a long table of the privacy metrics of one run.
+
+    Columns of ``numeric`` are clustered, and neighbours are sought in them; densities are
+    taken over their two leading principal components.  DCR and NNDR are also given as means
+    over ``replicates`` samples.
+    """
+    near = settled(dcr_nndr(real, fake, id_col, numeric), "near")
+    boot = settled(bootstrap_dcr_nndr(real, fake, id_col, numeric, replicates), "boot")
+    cells = lambda df, names: df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("value")) for n, c in names.items()])).alias("x")).select("x.*")
+    axes = Pca(numeric, 1.0).fit(real)
+    axes.axes = axes.axes[:2]
+    low = [axes.transform(df.select(id_col, *numeric)) for df in (real, fake, hold)]
+    half = len(numeric) // 2
+    links = linkability(real, fake, hold, id_col, numeric[:half], numeric[half:]) if half else None
     parts = [
         class_risk(real, fake, keys, sensitive).select("metric", F.col("fake").alias("value")),
-        zero_cap(real, fake, keys, sensitive).select(F.lit("zero_cap").alias("metric"), F.col("zero_cap").alias("value")),
-        generalised_cap(real, fake, keys, sensitive).select(F.lit("generalised_cap").alias("metric"), F.col("generalised_cap").alias("value")),
-        re_identification(real, fake, id_col, numeric).select(F.lit("re_identification").alias("metric"), F.col("re_identification").alias("value")),
-        near.select(F.explode(F.array(F.struct(F.lit("dcr_5").alias("metric"), F.col("dcr_5").alias("value")), F.struct(F.lit("nndr_5").alias("metric"), F.col("nndr_5").alias("value")))).alias("x")).select("x.*"),
-        singling_out_univariate(real, fake, hold, keys, numeric).select(F.lit("singling_out_risk").alias("metric"), F.col("risk").alias("value")),
+        cells(k_anonymity(real, fake, numeric), {"cluster_k_anonymity": "fake", "cluster_k_anonymity_safe": "safe"}),
+        cells(l_diversity(real, fake, numeric, keys), {"cluster_l_diversity": "fake", "cluster_l_diversity_safe": "safe"}),
+        cells(k_map(real, fake, numeric), {"cluster_k_map": "value"}),
+        cells(delta_presence(real, fake, numeric), {"cluster_delta_presence": "value"}),
+        cells(zero_cap(real, fake, keys, sensitive), {"zero_cap": "zero_cap"}),
+        cells(generalised_cap(real, fake, keys, sensitive), {"generalised_cap": "generalised_cap"}),
+        cells(re_identification(real, fake, id_col, numeric), {"re_identification": "re_identification"}),
+        cells(near, {"dcr_5": "dcr_5", "nndr_5": "nndr_5"}),
+        cells(boot.agg(F.avg("dcr_5").alias("d"), F.avg("nndr_5").alias("n")), {"dcr_5_bootstrap": "d", "nndr_5_bootstrap": "n"}),
+        cells(singling_out_univariate(real, fake, hold, keys, numeric), {"singling_out_risk": "risk"}),
+        *([links.select(F.concat(F.lit("linkability_risk_"), "n_neighbors").alias("metric"), F.col("risk").alias("value"))] if links else []),
+        *[cells(inference(real, fake, hold, id_col, numeric, s), {f"inference_risk_{s}": "risk"}) for s in sensitive],
+        cells(density_attack(*low, id_col, ["pc0", "pc1"][: len(axes.axes)]), {"density_accuracy": "accuracy", "density_auc": "auc"}),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)

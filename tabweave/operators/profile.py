@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.counts import discrete_counts, long_form, proportions, tagged
+from ..functions.counts import discrete_counts, distinct_counts, long_form, proportions, tagged
 from ..spec import TableSpec
 
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy")
@@ -40,7 +40,7 @@ def content_kinds(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def count_kinds(df: DataFrame, spec: TableSpec) -> DataFrame:
     """B2: (col, n_distinct, kind): two values make a binary column, else the declared kind holds."""
-    one = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in spec.columns])
+    one = distinct_counts(df, {c: F.col(c) for c in spec.columns})
     row = lambda c: F.struct(F.lit(c).alias("col"), F.col(c).alias("n_distinct"), F.when(F.col(c) == 2, "binary").otherwise(spec.kind(c)).alias("kind"))
     return _stack(one, [row(c) for c in spec.columns])
 
@@ -60,7 +60,7 @@ def value_class(c: Column) -> Column:
 
 def mixed_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     """(col, n_classes, is_mixed): columns that hold more than one class of value."""
-    one = df.agg(*[F.count_distinct(F.when(F.col(c).isNotNull(), value_class(F.col(c)))).alias(c) for c in cols])
+    one = distinct_counts(df, {c: F.when(F.col(c).isNotNull(), value_class(F.col(c))) for c in cols})
     return _stack(one, [F.struct(F.lit(c).alias("col"), F.col(c).alias("n_classes"), (F.col(c) > 1).alias("is_mixed")) for c in cols])
 
 
@@ -126,7 +126,8 @@ CONTINUOUS_WIDTH = 11
 def encoded_widths(df: DataFrame, spec: TableSpec, alert: int = 1000) -> DataFrame:
     """(col, width, total, alert): columns that an encoding would have; null counts as a category."""
     cats = [c for c in spec.columns if spec.kind(c) != "continuous"]
-    one = df.agg(*[(F.count_distinct(F.col(c)) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in cats])
+    # null is marked by a leading sign, so that no value can be taken for it
+    one = distinct_counts(df, {c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in cats})
     width = lambda c: F.lit(CONTINUOUS_WIDTH).cast("long") if c not in cats else F.col(c).cast("long")
     total = sum((width(c) for c in spec.columns), F.lit(0).cast("long"))
     return _stack(one, [F.struct(F.lit(c).alias("col"), width(c).alias("width"), total.alias("total"), (total > alert).alias("alert")) for c in spec.columns])
@@ -135,7 +136,8 @@ def encoded_widths(df: DataFrame, spec: TableSpec, alert: int = 1000) -> DataFra
 def integer_like(df: DataFrame, cols: list[str], most: int = 32) -> DataFrame:
     """(col, n_distinct, is_integer_like): whole numbers with few distinct values."""
     d = lambda c: F.col(c).cast("double")
-    one = df.agg(*[x for c in cols for x in (F.count_distinct(d(c)).alias(f"n_{c}"), F.bool_and(d(c) == F.rint(d(c))).alias(f"w_{c}"))])
+    whole = df.agg(*[F.bool_and(d(c) == F.rint(d(c))).alias(f"w_{c}") for c in cols])
+    one = distinct_counts(df, {f"n_{c}": d(c) for c in cols}).crossJoin(F.broadcast(whole))  # one row each
     return _stack(one, [F.struct(F.lit(c).alias("col"), F.col(f"n_{c}").alias("n_distinct"), F.coalesce((F.col(f"n_{c}") <= most) & F.col(f"w_{c}"), F.lit(False)).alias("is_integer_like")) for c in cols])
 
 

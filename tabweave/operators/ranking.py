@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,31 +14,60 @@ from ..functions.order import uniform
 #: Stand-in for values that are not finite (fixed value).
 FILL = 1e10
 
-#: Which way each metric is better (fixed values); matched exactly, else by the first name that the metric contains.
+#: Which way each metric is better (fixed values, keys and order): matched exactly, else by the first key that the metric contains.
 DIRECTIONS = {
-    "kl": "lower", "chi": "lower", "dwp": "lower", "ks": "higher", "cramer": "higher", "pearson": "higher",
-    "mae": "lower", "mse": "lower", "r2": "higher", "acc": "higher", "precision": "higher", "recall": "higher", "f1": "higher", "gmean": "higher", "roc": "higher",
-}
-
-
-def direction(metric: Column, table: dict[str, str] | None = None) -> Column:
-    """H1: higher or lower; null if the table knows neither the metric nor a part of it."""
+    "kl_divergence_discrete": "lower",
+    "kl_divergence_continuous": "lower",
+    "chisquare_discrete": "lower",
+    "kolmogorov_smirnov_continuous": "higher",
+    "cramer_discrete": "higher",
+    "pearson_continuous": "higher",
+    "dwp_discrete": "lower",
+    "dwp_continuous": "lower",
+    "mse": "lower",
+    "mae": "lower",
+    "dp_categorical_zero_cap": "higher",
+    "dp_categorical_generalized_cap": "higher",
+    "dp_dcr_rf": "higher",
+    "dp_nndr_rf": "higher",
+    "dp_single_out_": "lower",
+    "dp_linkability_": "lower",
+    "dp_inference_": "lower",
+    "dp_k_anonymization_synthetic": "higher",
+    "dp_k_anonymization_safe": "higher",
+    "dp_l_diversity_synthetic": "higher",
+    "dp_l_diversity_safe": "higher",
+    "dp_k_map": "higher",
+    "dp_delta_presence": "lower",
+    "dp_re_identification_score": "lower",
+    "dp_domias_mia_accuracy": "lower",
+    "dp_domias_mia_auc": "lower",
+}
+#: How an evaluation looks its metrics up: by the whole name, by part of it too, or (utility) errors are lower and all else higher.
+EVALUATIONS = ("statistics", "privacy", "utility")
+
+
+def direction(metric: Column, table: dict[str, str] | None = None, evaluation: str = "privacy") -> Column:
+    """H1: higher or lower; an error if the evaluation's lookup does not know the metric."""
+    if evaluation not in EVALUATIONS:
+        raise ValueError(f"evaluation must be one of {EVALUATIONS}")
+    if evaluation == "utility":
+        return F.when(metric.contains("mae") | metric.contains("mse"), "lower").otherwise("higher")
     table = table or DIRECTIONS
-    exact = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[metric]
-    part = F.lit(None).cast("string")
-    for name, way in reversed(table.items()):
-        part = F.when(metric.contains(name), way).otherwise(part)
-    return F.coalesce(exact, part)
+    way = reduce(lambda w, kv: w.when(metric == kv[0], kv[1]), table.items(), F.when(F.lit(False), ""))
+    if evaluation == "privacy":
+        way = reduce(lambda w, kv: w.when(metric.contains(kv[0]), kv[1]), table.items(), way)
+    return way.when(metric.isNull(), None).otherwise(F.raise_error(F.concat(F.lit("no direction is known for the metric "), metric)))
 
 
-def oriented(scores: DataFrame, table: dict[str, str] | None = None, policy: str = "reference", fill: float = FILL) -> DataFrame:
+def oriented(scores: DataFrame, table: dict[str, str] | None = None, policy: str = "reference", fill: float = FILL, evaluation: str = "privacy") -> DataFrame:
     """H2: add ``score``: the value made higher-is-better, with what is not finite filled in.
 
     Policy reference: NaN, null and +Inf become +fill before the sign turns (so they are
     worst where lower is better, but best where higher is); -Inf becomes -fill or, where
     lower is better, +fill.  Policy worst: all of them become -fill.
     """
-    v, low = F.col("value"), direction(F.col("metric"), table) == "lower"
+    v, low = F.col("value"), direction(F.col("metric"), table, evaluation) == "lower"
     gone, plus, minus = v.isNull() | F.isnan(v), v == float("inf"), v == float("-inf")
     if policy == "worst":
         score = F.when(gone | plus | minus, -fill).when(low, -v).otherwise(v)
@@ -65,22 +95,22 @@ def complete(scores: DataFrame, trials: DataFrame, keys: list[str], fill: float
     return grid.join(scores, [*keys, "metric"], "left").withColumn("score", F.coalesce("score", F.lit(fill)))
 
 
-def rank_losses(scores: DataFrame, keys: list[str] = ["tid"]) -> DataFrame:  # noqa: B006
+def rank_losses(scores: DataFrame, keys: list[str] = ["tid"], table: dict[str, str] | None = None, evaluation: str = "privacy") -> DataFrame:  # noqa: B006
     """H3: loss of each trial: minus its mean rank over metrics; failed trials (reason not success) get +Inf.
 
     ``scores`` has keys (project columns and tid), reason, metric and value.
     """
     good = scores.where("reason = 'success'")
-    done = complete(oriented(good).select(*keys, "metric", "score"), good.select(*keys).distinct(), keys)
+    done = complete(oriented(good, table, evaluation=evaluation).select(*keys, "metric", "score"), good.select(*keys).distinct(), keys)
     ranks = ranked(done, [*[k for k in keys if k != "tid"], "metric"]).groupBy(*keys).agg((-F.avg("rank")).alias("loss"))
     failed = scores.where("reason <> 'success'").select(*keys).distinct().withColumn("loss", F.lit(float("inf")))
     return ranks.unionByName(failed)
 
 
-def standard_losses(scores: DataFrame, how: str = "mean") -> DataFrame:
+def standard_losses(scores: DataFrame, how: str = "mean", table: dict[str, str] | None = None, evaluation: str = "privacy") -> DataFrame:
     """H5: loss of each trial: minus the mean (or median) of its oriented metrics; failed trials get +Inf."""
     agg = F.avg("score") if how == "mean" else F.expr("percentile(score, 0.5)")  # a trial's metrics are few
-    good = oriented(scores.where("reason = 'success'")).groupBy("tid").agg((-agg).alias("loss"))
+    good = oriented(scores.where("reason = 'success'"), table, evaluation=evaluation).groupBy("tid").agg((-agg).alias("loss"))
     return good.unionByName(scores.where("reason <> 'success'").select("tid").distinct().withColumn("loss", F.lit(float("inf"))))
 
 
@@ -144,14 +174,21 @@ def friedman(table: DataFrame, block: str, method: str, value: str) -> DataFrame
     return table.sparkSession.createDataFrame([(float(chi2), k - 1, normal.chi2_tail(chi2, k - 1), n)], "chi2 double, df int, p_value double, n_blocks long")
 
 
-#: Critical values of the studentised range over sqrt(2) at 0.05 for 2 to 10 methods (fixed values).
-Q_05 = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164}
+#: Critical values of the studentised range over sqrt(2), for 2 to 50 methods (fixed values).
+CRITICAL = {
+    0.01: (2.576, 2.913, 3.113, 3.255, 3.364, 3.452, 3.526, 3.590, 3.646, 3.696, 3.741, 3.781, 3.818, 3.853, 3.884, 3.914, 3.941, 3.967, 3.992, 4.015, 4.037, 4.057, 4.077, 4.096, 4.114,
+           4.132, 4.148, 4.164, 4.179, 4.194, 4.208, 4.222, 4.236, 4.249, 4.261, 4.273, 4.285, 4.296, 4.307, 4.318, 4.329, 4.339, 4.349, 4.359, 4.368, 4.378, 4.387, 4.395, 4.404),
+    0.05: (1.960, 2.344, 2.569, 2.728, 2.850, 2.948, 3.031, 3.102, 3.164, 3.219, 3.268, 3.313, 3.354, 3.391, 3.426, 3.458, 3.489, 3.517, 3.544, 3.569, 3.593, 3.616, 3.637, 3.658, 3.678,
+           3.696, 3.714, 3.732, 3.749, 3.765, 3.780, 3.795, 3.810, 3.824, 3.837, 3.850, 3.863, 3.876, 3.888, 3.899, 3.911, 3.922, 3.933, 3.943, 3.954, 3.964, 3.973, 3.983, 3.992),
+    0.10: (1.645, 2.052, 2.291, 2.460, 2.589, 2.693, 2.780, 2.855, 2.920, 2.978, 3.030, 3.077, 3.120, 3.159, 3.196, 3.230, 3.261, 3.291, 3.319, 3.346, 3.371, 3.394, 3.417, 3.439, 3.459,
+           3.479, 3.498, 3.516, 3.533, 3.550, 3.567, 3.582, 3.597, 3.612, 3.626, 3.640, 3.653, 3.666, 3.679, 3.691, 3.703, 3.714, 3.726, 3.737, 3.747, 3.758, 3.768, 3.778, 3.788),
+}
 
 
 def critical_value(k: int, alpha: float = 0.05) -> float:
-    """From the table at 0.05; otherwise by bisection of the range distribution."""
-    if alpha == 0.05 and k in Q_05:
-        return Q_05[k]
+    """From the table at 0.01, 0.05 and 0.10 for 2 to 50 methods; otherwise by bisection of the range distribution."""
+    if alpha in CRITICAL and 2 <= k < 2 + len(CRITICAL[alpha]):
+        return CRITICAL[alpha][k - 2]
     lo, hi = 0.0, 20.0
     for _ in range(60):
         mid = (lo + hi) / 2

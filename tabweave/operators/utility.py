@@ -125,7 +125,8 @@ def _scored(model, df: DataFrame) -> DataFrame:
 def predictions(train: DataFrame, test: DataFrame, features: list[str], label: str, method: str, task: str = "classification", id_col: str | None = None, balanced: bool = True, seed: int = 42) -> DataFrame:
     """Test rows with label, prediction and (classification) scores, from a model of ``method``.
 
-    Bagging (F5) trains three linear models on thirds drawn by hash and averages them.
+    Bagging (F5) trains three linear models on thirds drawn by hash (of the id, or else of
+    features and label) and averages them.
     """
     ready = lambda df: df.withColumn("label", F.col(label).cast("double")).withColumns({c: F.col(c).cast("double") for c in features})
     tr, te = ready(train), ready(test)
@@ -137,7 +138,7 @@ def predictions(train: DataFrame, test: DataFrame, features: list[str], label: s
     te = te.withColumn("_k", F.monotonically_increasing_id()) if id_col is None else te.withColumn("_k", F.col(id_col))
     out = te
     for i in range(3):
-        part = tr.where(uniform(f"{seed}|{i}", id_col) < 1 / 3) if id_col else tr.sample(1 / 3, seed=seed + i)
+        part = tr.where(uniform(f"{seed}|{i}", *([id_col] if id_col else [*features, "label"])) < 1 / 3)
         model = MlPipeline(stages=[_assembler(features), _estimator("linear", task, classes, weight)]).fit(part)
         out = _scored(model, out).withColumnRenamed("prediction", f"_p{i}").drop("features", "rawPrediction", "probability")
         out = out.withColumnRenamed("scores", f"_s{i}") if task == "classification" else out

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 DISC = ["l_returnflag", "l_linestatus", "l_linenumber"]
 CONT = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-EMB = 8  # leading dimensions of the embeddings that neighbour queries with a SQL twin use
-DIMS = 64  # all dimensions of the embeddings
+EMB = DIMS = 64  # all dimensions of the embeddings
 
 REAL = "(SELECT * FROM lineitem WHERE l_orderkey % 10 < 5)"
 FAKE = "(SELECT * FROM lineitem WHERE l_orderkey % 10 BETWEEN 5 AND 7)"

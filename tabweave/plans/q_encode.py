@@ -77,13 +77,13 @@ def c05(spark, sf):
 @register("c06_binary", f"SELECT {_KEY}, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS l_linestatus, CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 0 END AS even FROM lineitem")
 def c06(spark, sf):
     df = _li(spark, sf, "l_linestatus", F.when(F.col("l_suppkey") % 2 == 0, "Yes").otherwise("No").alias("even"))
-    return C.BinaryEncoder(["l_linestatus", "even"]).fit(df).transform(df)
+    return C.BinaryEncoder(["l_linestatus", "even"], others="sorted").fit(df).transform(df)
 
 
 @register("c06_binary_round_trip", f"SELECT {_KEY}, l_linestatus FROM lineitem")
 def c06_back(spark, sf):
     df = _li(spark, sf, "l_linestatus")
-    e = C.BinaryEncoder(["l_linestatus"]).fit(df)
+    e = C.BinaryEncoder(["l_linestatus"], others="sorted").fit(df)
     return e.inverse(e.transform(df))
 
 
@@ -158,11 +158,28 @@ def c12(spark, sf):
     return C.RankGauss(CONT).fit(df).transform(df)
 
 
-@register("c13_mixed_preprocessor", f"SELECT {_KEY}, l_returnflag, l_linestatus FROM lineitem")
+@register("c12_round_trip", f"SELECT {_KEY}, ROUND(l_quantity, 2) AS l_quantity, ROUND(l_discount, 2) AS l_discount, ROUND(l_tax, 2) AS l_tax FROM lineitem")
+def c12_back(spark, sf):
+    cols = ["l_quantity", "l_discount", "l_tax"]
+    df = _li(spark, sf, *cols)
+    e = C.RankGauss(cols).fit(df)
+    return rounded(e.inverse(e.transform(df)), *cols, digits=2)
+
+
+_SLOTS = {"l_returnflag": ("A", "N", "R"), "l_linestatus": ("F", "O")}
+
+
+@register(
+    "c13_mixed_preprocessor",
+    f"SELECT {_KEY}, l_returnflag, l_linestatus, TRUE AS price_is_near, " + ", ".join("CONCAT_WS('', " + ", ".join(f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END" for v in vs) + f") AS {c}_slots" for c, vs in _SLOTS.items()) + " FROM lineitem",
+)
 def c13(spark, sf):
-    df = _li(spark, sf, "l_extendedprice", "l_returnflag", "l_linestatus")
-    e = C.MixedPreprocessor(["l_extendedprice"], ["l_returnflag", "l_linestatus"]).fit(df)
-    return e.inverse(e.transform(df)).drop("l_extendedprice")
+    df = _li(spark, sf, "l_extendedprice", "l_returnflag", "l_linestatus").withColumn("price", F.col("l_extendedprice"))
+    e = C.MixedPreprocessor(["l_extendedprice"], list(_SLOTS)).fit(df)
+    slots = e.transform(df).withColumns({f"{c}_slots": F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), "") for c in _SLOTS})
+    back = e.inverse(slots)
+    # ranks between two reference quantiles are interpolated: back within half a per cent of the range
+    return back.withColumn("price_is_near", F.abs(F.col("l_extendedprice") - F.col("price")) < 500).drop("price", "l_extendedprice")
 
 
 @register("c14_pipeline_round_trip", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN STRFTIME(o_orderdate, '%Y-%m-%d') END AS day, CASE WHEN o_orderkey % 5 <> 0 THEN ROUND(o_totalprice, 2) END AS price, CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS even, o_orderstatus FROM orders")
@@ -201,12 +218,20 @@ def c17(spark, sf):
     return C.ModeNormaliser(["l_extendedprice", "l_quantity"], pick="draw", id_col="row").fit(df).transform(df).drop("row")
 
 
-@register("c18_mixed_modes", f"SELECT {_KEY}, CASE WHEN l_orderkey % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE 1 END AS is_plain FROM lineitem")
+@register("c17_round_trip", f"SELECT {_KEY}, ROUND(l_extendedprice, 2) AS l_extendedprice, ROUND(l_quantity, 2) AS l_quantity FROM lineitem")
+def c17_back(spark, sf):
+    cols = ["l_extendedprice", "l_quantity"]
+    df = _li(spark, sf, *cols)
+    e = C.ModeNormaliser(cols).fit(df)
+    return rounded(e.inverse(e.transform(df)), *cols, digits=2)
+
+
+@register("c18_mixed_modes", f"SELECT {_KEY}, CASE WHEN l_orderkey % 3 = 0 THEN 0.0 ELSE ROUND(l_extendedprice, 2) END AS x, l_orderkey % 3 = 0 AS is_special FROM lineitem")
 def c18(spark, sf):
     df = _li(spark, sf, F.when(F.col("l_orderkey") % 3 == 0, 0.0).otherwise(F.col("l_extendedprice")).alias("x"))
     e = C.ModeNormaliser(["x"], special={"x": [0.0]}).fit(df)
-    back = e.inverse(e.transform(df))
-    return back.select(*_LINE, F.when(F.col("x") == 0, 0.0).otherwise(1.0).alias("is_plain"))
+    coded = e.transform(df).withColumn("is_special", F.col("x_mode") >= len(e.modes["x"][0]))
+    return rounded(e.inverse(coded), "x", digits=2).select(*_LINE, "x", "is_special")
 
 
 @register("c19_slot_order", "WITH u AS (SELECT l_linenumber AS mode, COUNT(*) AS n FROM lineitem GROUP BY 1) SELECT mode, n, CAST(ROW_NUMBER() OVER (ORDER BY n DESC, mode) - 1 AS INTEGER) AS slot FROM u")
@@ -272,6 +297,15 @@ def c26(spark, sf):
     return C.GaussianNormaliser(CONT, {"l_quantity": "uniform", "l_extendedprice": "beta", "l_discount": "truncnorm", "l_tax": "norm"}).fit(df).transform(df)
 
 
+@register("c26_round_trip", f"SELECT {_KEY}, ROUND(l_quantity, 2) AS l_quantity, ROUND(l_discount, 3) AS l_discount FROM lineitem")
+def c26_back(spark, sf):
+    cols = ["l_quantity", "l_discount"]
+    df = _li(spark, sf, *cols)
+    e = C.GaussianNormaliser(cols, {"l_quantity": "uniform", "l_discount": "norm"}).fit(df)
+    back = e.inverse(e.transform(df))
+    return rounded(rounded(back, "l_quantity", digits=2), "l_discount", digits=3)
+
+
 _P26 = union_all([f"SELECT '{c}' AS col, ROUND(AVG({c}), 2) AS mean, ROUND(STDDEV_SAMP({c}), 2) AS std, MIN({c}) AS lo, MAX({c}) AS hi FROM lineitem" for c in CONT])
 
 

@@ -104,7 +104,7 @@ def g07(spark, sf):
 @register("g07_bootstrap")
 def g07_bootstrap(spark, sf):
     real, fake = _split(spark, sf, DIMS)
-    return G.bootstrap_dcr_nndr(real, fake, "vec_id", ALL_COLS, replicates=4)
+    return G.bootstrap_dcr_nndr(real, fake, "vec_id", ALL_COLS)
 
 
 _G8 = {"real_fake": _near(_std(_R), _std(_F2)), "real_real": _near(_std(_R), _std(_R), True), "fake_fake": _near(_std(_F2), _std(_F2), True)}
@@ -132,18 +132,17 @@ def g09(spark, sf):
 
 _GK = ["o_orderpriority", "c_mktsegment", "c_nationkey"]
 _HAM = " + ".join(f"CASE WHEN a.{k} <> b.{k} THEN 1 ELSE 0 END" for k in _GK)
-_SPARSE = "(SELECT * FROM {oc} s WHERE o_orderkey % 13 = 1)"
 
 
 @register(
     "g10_generalised_cap",
-    f"WITH a AS (SELECT {', '.join(_GK)}, o_orderstatus, COUNT(*) AS w FROM {OC_REAL} r GROUP BY ALL), b AS (SELECT * FROM {_SPARSE.format(oc=OC_FAKE)} f), d AS (SELECT a.*, {_HAM} AS h, CASE WHEN a.o_orderstatus = b.o_orderstatus THEN 1.0 ELSE 0.0 END AS hit FROM a, b), "
-    f"m AS (SELECT {', '.join(_GK)}, o_orderstatus, MIN(h) AS h FROM d GROUP BY ALL), c AS (SELECT ANY_VALUE(w) AS w, AVG(hit) AS cap FROM d JOIN m USING ({', '.join(_GK)}, o_orderstatus, h) GROUP BY {', '.join(_GK)}, o_orderstatus) "
-    "SELECT ROUND(1 - SUM(cap * w) / SUM(w), 6) AS generalised_cap FROM c",
+    f"WITH a AS (SELECT {', '.join(_GK)}, o_orderstatus, COUNT(*) AS w FROM {OC_REAL} r GROUP BY ALL), b AS (SELECT {', '.join(_GK)}, o_orderstatus, COUNT(*) AS m FROM {OC_FAKE} f GROUP BY ALL), "
+    f"d AS (SELECT a.*, b.m, {_HAM} AS h, CASE WHEN a.o_orderstatus = b.o_orderstatus THEN b.m ELSE 0 END AS hit FROM a, b), l AS (SELECT {', '.join(_GK)}, o_orderstatus, MIN(h) AS h FROM d GROUP BY ALL), "
+    f"c AS (SELECT ANY_VALUE(w) AS w, SUM(hit) / SUM(m) AS cap FROM d JOIN l USING ({', '.join(_GK)}, o_orderstatus, h) GROUP BY {', '.join(_GK)}, o_orderstatus) SELECT ROUND(1 - SUM(cap * w) / SUM(w), 6) AS generalised_cap FROM c",
 )
 def g10(spark, sf):
     real, fake = halves(spark, sf)
-    return rounded(G.generalised_cap(real, fake.where("o_orderkey % 13 = 1"), _GK, SENSITIVE), "generalised_cap")
+    return rounded(G.generalised_cap(real, fake, _GK, SENSITIVE), "generalised_cap")
 
 
 @register("g11_singling_out_univariate")
@@ -157,14 +156,16 @@ def g11(spark, sf):
 def g12(spark, sf):
     real, fake, hold = thirds(spark, sf)
     one = lambda df: df.withColumn("row", F.xxhash64(*df.columns))
-    return G.singling_out_multivariate(one(real), one(fake), one(hold), "row", ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linenumber", "l_extendedprice"], n_cols=4)
+    cols = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linenumber", "l_extendedprice", "l_linestatus", "l_suppkey"]
+    parts = [G.singling_out_multivariate(one(real), one(fake), one(hold), "row", cols, n_cols=n, attacks=500).select(F.lit(n).alias("n_cols"), "*") for n in (2, 4, 8)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register("g13_linkability")
 def g13(spark, sf):
     v = vectors(spark, sf, DIMS)
     k = F.col("vec_id") % 4
-    return G.linkability(v.where(k < 2), v.where(k == 2), v.where(k == 3), "vec_id", ALL_COLS[: DIMS // 2], ALL_COLS[DIMS // 2 :], neighbours=(4, 10))
+    return G.linkability(v.where(k < 2), v.where(k == 2), v.where(k == 3), "vec_id", ALL_COLS[: DIMS // 2], ALL_COLS[DIMS // 2 :])
 
 
 @register("g14_inference")
@@ -193,36 +194,39 @@ def g15(spark, sf):
     return rounded(out, *[c for c in out.columns if c != "n"])
 
 
+_DC = ["p_size", "p_retailprice"]
+
+
 def _quarters(spark, sf):
-    v = vectors(spark, sf).select("vec_id", *EMB_COLS[:2])
-    k = F.col("vec_id") % 4
-    return v.where(k < 2), v.where(k == 2), v.where(k == 3)
+    p = table(spark, sf, "part").select("p_partkey", *_DC)
+    k = F.col("p_partkey") % 4
+    return p.where(k < 2), p.where(k == 2), p.where(k == 3)
 
 
 @register("g16_density_attack")
 def g16(spark, sf):
     real, fake, hold = _quarters(spark, sf)
-    return G.density_attack(real, fake, hold, "vec_id", EMB_COLS[:2])
+    return G.density_attack(real, fake, hold, "p_partkey", _DC)
 
 
 @register("g17_density_attack_kde")
 def g17(spark, sf):
     real, fake, hold = _quarters(spark, sf)
-    return G.density_attack(real, fake, hold, "vec_id", EMB_COLS[:2], mode="kde")
+    return G.density_attack(real, fake, hold, "p_partkey", _DC, mode="kde")
 
 
-_KP = f"(SELECT vec_id, e0, e1 FROM {EMB_SQL} e WHERE vec_id % 4 < 2)"
-_KS = f"(SELECT vec_id, e0, e1 FROM {EMB_SQL} e WHERE vec_id % 4 = 2)"
+_KP = "(SELECT p_partkey, p_size AS e0, p_retailprice AS e1 FROM part WHERE p_partkey % 4 < 2)"
+_KS = "(SELECT p_partkey, p_size AS e0, p_retailprice AS e1 FROM part WHERE p_partkey % 4 = 2)"
 
 
 @register(
     "g16_kernel_density",
     f"WITH c AS (SELECT COUNT(*) AS n, POWER(COUNT(*), -2.0 / 6) AS f, VAR_SAMP(e0) AS a, COVAR_SAMP(e0, e1) AS b, VAR_SAMP(e1) AS d FROM {_KS} s), i AS (SELECT n, a * f AS a, b * f AS b, d * f AS d, (a * d - b * b) * f * f AS det FROM c) "
-    f"SELECT p.vec_id, ROUND(SUM(EXP(-0.5 * (d * POWER(p.e0 - s.e0, 2) - 2 * b * (p.e0 - s.e0) * (p.e1 - s.e1) + a * POWER(p.e1 - s.e1, 2)) / det)) / (ANY_VALUE(n) * 2 * PI() * SQRT(ANY_VALUE(det))), 4) AS density FROM {_KP} p, {_KS} s, i GROUP BY p.vec_id",
+    f"SELECT p.p_partkey, ROUND(1e6 * SUM(EXP(-0.5 * (d * POWER(p.e0 - s.e0, 2) - 2 * b * (p.e0 - s.e0) * (p.e1 - s.e1) + a * POWER(p.e1 - s.e1, 2)) / det)) / (ANY_VALUE(n) * 2 * PI() * SQRT(ANY_VALUE(det))), 4) AS density FROM {_KP} p, {_KS} s, i GROUP BY p.p_partkey",
 )
 def g16_density(spark, sf):
     real, fake, _ = _quarters(spark, sf)
-    return rounded(kde(real, fake, "vec_id", EMB_COLS[:2]), "density", digits=4)
+    return rounded(kde(real, fake, "p_partkey", _DC).withColumn("density", 1e6 * F.col("density")), "density", digits=4)
 
 
 @register("g18_ledger_epsilon")
@@ -232,11 +236,18 @@ def g18(spark, sf):
     return G.ledger_epsilon(ledger)
 
 
-@register("g18_ledger_full_batch", "WITH l AS (SELECT o_orderpriority AS run, 8.0 + o_custkey % 3 AS noise, COUNT(*) // 10 AS steps FROM orders GROUP BY ALL), g AS (SELECT run, o, SUM(steps * o / (2 * noise * noise)) AS rdp FROM l, RANGE(2, 64) r(o) GROUP BY run, o), e AS (SELECT run, o, GREATEST(0, rdp - LN(1e-5) / (o - 1)) AS eps FROM g) SELECT run, ROUND(MIN(eps), 4) AS epsilon, CAST(ARG_MIN(o, ROW(eps, o)) AS INTEGER) AS best_order FROM e GROUP BY run")
+@register("g18_ledger_delta", "WITH l AS (SELECT o_orderpriority AS run, 8.0 + o_custkey % 3 AS noise, COUNT(*) // 10 AS steps FROM orders GROUP BY ALL), g AS (SELECT run, o, SUM(steps * o / (2 * noise * noise)) AS rdp FROM l, (SELECT 1 + x / 10.0 AS o FROM RANGE(1, 100) r(x) UNION ALL SELECT o FROM RANGE(12, 64) r(o)) q GROUP BY run, o) SELECT run, ROUND(MIN(LEAST(0.0, (o - 1) * (rdp - 5.0))), 4) AS log_delta FROM g GROUP BY run")
+def g18_delta(spark, sf):
+    o = table(spark, sf, "orders")
+    ledger = o.groupBy(F.col("o_orderpriority").alias("run"), (8.0 + F.col("o_custkey") % 3).alias("noise")).agg(F.floor(F.count(F.lit(1)) / 10).alias("steps")).withColumn("q", F.lit(1.0))
+    return rounded(G.ledger_delta(ledger, 5.0).select("run", "log_delta"), "log_delta", digits=4)
+
+
+@register("g18_ledger_full_batch", "WITH l AS (SELECT o_orderpriority AS run, 8.0 + o_custkey % 3 AS noise, COUNT(*) // 10 AS steps FROM orders GROUP BY ALL), g AS (SELECT run, o, SUM(steps * o / (2 * noise * noise)) AS rdp FROM l, (SELECT 1 + x / 10.0 AS o FROM RANGE(1, 100) r(x) UNION ALL SELECT o FROM RANGE(12, 64) r(o)) q GROUP BY run, o), e AS (SELECT run, o, GREATEST(0, rdp - LN(1e-5) / (o - 1)) AS eps FROM g) SELECT run, ROUND(MIN(eps), 4) AS epsilon, ROUND(ARG_MIN(o, ROW(eps, o)), 1) AS best_order FROM e GROUP BY run")
 def g18_full(spark, sf):
     o = table(spark, sf, "orders")
     ledger = o.groupBy(F.col("o_orderpriority").alias("run"), (8.0 + F.col("o_custkey") % 3).alias("noise")).agg(F.floor(F.count(F.lit(1)) / 10).alias("steps")).withColumn("q", F.lit(1.0))
-    return rounded(G.ledger_epsilon(ledger), "epsilon", digits=4)
+    return rounded(rounded(G.ledger_epsilon(ledger), "epsilon", digits=4), "best_order", digits=1)
 
 
 @register("g19_score_card")

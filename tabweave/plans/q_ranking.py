@@ -31,11 +31,34 @@ def _oriented(spark, sf):
     return H.oriented(_scores(spark, sf), WAYS)
 
 
-@register("h01_directions", f"SELECT DISTINCT metric, CASE WHEN event_type IN {_LOW} THEN 'lower' ELSE 'higher' END AS way FROM (SELECT event_type, CASE WHEN user_id % 2 = 0 THEN event_type ELSE 'fold0_' || event_type END AS metric FROM events) t")
-def h01(spark, sf):
+#: the library's own table, as it is pinned: written out here once more, so that the SQL does not depend on it
+_WAY_SQL = (
+    "(VALUES (0, 'kl_divergence_discrete', 'lower'), (1, 'kl_divergence_continuous', 'lower'), (2, 'chisquare_discrete', 'lower'), (3, 'kolmogorov_smirnov_continuous', 'higher'), (4, 'cramer_discrete', 'higher'), "
+    "(5, 'pearson_continuous', 'higher'), (6, 'dwp_discrete', 'lower'), (7, 'dwp_continuous', 'lower'), (8, 'mse', 'lower'), (9, 'mae', 'lower'), (10, 'dp_categorical_zero_cap', 'higher'), "
+    "(11, 'dp_categorical_generalized_cap', 'higher'), (12, 'dp_dcr_rf', 'higher'), (13, 'dp_nndr_rf', 'higher'), (14, 'dp_single_out_', 'lower'), (15, 'dp_linkability_', 'lower'), (16, 'dp_inference_', 'lower'), "
+    "(17, 'dp_k_anonymization_synthetic', 'higher'), (18, 'dp_k_anonymization_safe', 'higher'), (19, 'dp_l_diversity_synthetic', 'higher'), (20, 'dp_l_diversity_safe', 'higher'), (21, 'dp_k_map', 'higher'), "
+    "(22, 'dp_delta_presence', 'lower'), (23, 'dp_re_identification_score', 'lower'), (24, 'dp_domias_mia_accuracy', 'lower'), (25, 'dp_domias_mia_auc', 'lower')) w(k, name, way)"
+)
+_NAMES = ["kl_divergence_discrete", "kl_divergence_continuous", "chisquare_discrete", "kolmogorov_smirnov_continuous", "cramer_discrete", "pearson_continuous", "dwp_discrete", "dwp_continuous", "mse", "mae", "dp_categorical_zero_cap",
+          "dp_categorical_generalized_cap", "dp_dcr_rf", "dp_nndr_rf", "dp_single_out_", "dp_linkability_", "dp_inference_", "dp_k_anonymization_synthetic", "dp_k_anonymization_safe", "dp_l_diversity_synthetic", "dp_l_diversity_safe",
+          "dp_k_map", "dp_delta_presence", "dp_re_identification_score", "dp_domias_mia_accuracy", "dp_domias_mia_auc"]
+
+
+def _named(spark, sf):
+    """Events whose metrics bear the names of the library's table, bare or with something around them."""
     e = table(spark, sf, "events")
-    m = e.select(F.when(F.col("user_id") % 2 == 0, F.col("event_type")).otherwise(F.concat(F.lit("fold0_"), "event_type")).alias("metric")).distinct()
-    return m.withColumn("way", H.direction(F.col("metric"), WAYS))
+    name = F.get(F.array(*[F.lit(n) for n in _NAMES]), (F.col("user_id") % len(_NAMES)).cast("int"))
+    return e.withColumn("metric", F.when(F.col("event_type") == "click", name).otherwise(F.concat("event_type", F.lit("_"), name, F.lit("4"))))
+
+
+@register("h01_directions", f"SELECT DISTINCT CASE WHEN event_type = 'click' THEN name ELSE event_type || '_' || name || '4' END AS metric, way FROM events JOIN {_WAY_SQL} ON user_id % 26 = k")
+def h01(spark, sf):
+    return _named(spark, sf).select("metric").distinct().withColumn("way", H.direction(F.col("metric")))
+
+
+@register("h02_own_table", f"SELECT event_id, CASE WHEN way = 'lower' THEN -value ELSE value END AS score FROM events JOIN {_WAY_SQL} ON user_id % 26 = k")
+def h02_own(spark, sf):
+    return H.oriented(_named(spark, sf)).select("event_id", "score")
 
 
 @register("h02_oriented", f"SELECT tid, metric, score FROM {_O} o")
@@ -84,7 +107,7 @@ def h05(spark, sf):
 @register("h05_median_losses", f"WITH s AS (SELECT tid, CASE WHEN value IS NULL THEN 1e10 ELSE value END AS score FROM {_S} s WHERE reason = 'success') SELECT tid, ROUND(-QUANTILE_CONT(score, 0.5), 6) AS loss FROM s GROUP BY tid")
 def h05_median(spark, sf):
     named = _scores(spark, sf).withColumn("metric", F.concat(F.lit("acc_"), "metric"))
-    return rounded(H.standard_losses(named, "median").where("loss < 1e30"), "loss")
+    return rounded(H.standard_losses(named, "median", evaluation="utility").where("loss < 1e30"), "loss")
 
 
 _F = "(SELECT user_id AS tid, 'fold' || CAST(event_id % 3 AS VARCHAR) || '_' || CASE event_type WHEN 'click' THEN 'gmean' WHEN 'view' THEN 'precision' ELSE event_type END AS metric, AVG(value) / 100 AS value FROM events GROUP BY 1, 2)"
@@ -144,7 +167,7 @@ def h10(spark, sf):
     return rounded(H.friedman(_methods(spark, sf), "block", "method", "score"), "chi2", digits=5).drop("p_value")
 
 
-@register("h11_nemenyi", f"WITH {_FULL}, p AS (SELECT x.method AS m1, y.method AS m2, x.r - y.r AS diff, 2.949 * SQRT(7 * 8 / (6.0 * x.n)) AS cd FROM a x JOIN a y ON x.method <> y.method) SELECT m1, m2, ROUND(diff, 6) AS diff, ROUND(cd, 6) AS cd, ABS(diff) > cd AS significant, CASE WHEN diff > 0 THEN '+' ELSE '-' END AS direction FROM p")
+@register("h11_nemenyi", f"WITH {_FULL}, p AS (SELECT x.method AS m1, y.method AS m2, x.r - y.r AS diff, 2.948 * SQRT(7 * 8 / (6.0 * x.n)) AS cd FROM a x JOIN a y ON x.method <> y.method) SELECT m1, m2, ROUND(diff, 6) AS diff, ROUND(cd, 6) AS cd, ABS(diff) > cd AS significant, CASE WHEN diff > 0 THEN '+' ELSE '-' END AS direction FROM p")
 def h11(spark, sf):
     return rounded(H.nemenyi(_methods(spark, sf), "block", "method", "score"), "diff", "cd").drop("p_value")
 
@@ -159,6 +182,27 @@ def h13(spark, sf):
     return H.symbols(H.nemenyi(_methods(spark, sf), "block", "method", "score"))
 
 
+_PAIRS = (
+    "WITH k AS (SELECT l_linenumber AS m, COUNT(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT a.m AS m1, a.n > b.n AS up, ABS(a.n - b.n) * 10 > a.n AS significant, CASE WHEN (a.n + b.n) % 5 = 0 THEN 0.01 WHEN (a.n + b.n) % 5 < 3 THEN 0.04 ELSE 0.2 END AS p, b.m AS m2 FROM k a JOIN k b ON a.m <> b.m), "
+    "s AS (SELECT m1, m2, CASE WHEN NOT significant THEN '0' WHEN p <= 0.01 THEN REPEAT(CASE WHEN up THEN '+' ELSE '-' END, 3) WHEN p <= 0.05 THEN REPEAT(CASE WHEN up THEN '+' ELSE '-' END, 2) WHEN up THEN '+' ELSE '-' END AS s FROM p) "
+)
+
+
+@register(
+    "h13_symbols_of_pairs",
+    _PAIRS + "SELECT m1 AS method, " + ", ".join(f"COALESCE(MAX(CASE WHEN m2 = {k} THEN s END), '') AS against_{k}" for k in range(1, 8))
+    + ", COUNT(*) FILTER (s LIKE '+%') AS n_plus, COUNT(*) FILTER (s = '0') AS n_zero, COUNT(*) FILTER (s LIKE '-%') AS n_minus FROM s GROUP BY m1",
+)
+def h13_pairs(spark, sf):
+    """Pairs of line numbers, compared by their rows; significance and p come from the counts."""
+    k = table(spark, sf, "lineitem").groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+    a, b = k.select(F.col("l_linenumber").alias("m1"), F.col("n").alias("n1")), k.select(F.col("l_linenumber").alias("m2"), F.col("n").alias("n2"))
+    both, rest = a.join(b, F.col("m1") != F.col("m2")), (F.col("n1") + F.col("n2")) % 5
+    pairs = both.select("m1", "m2", (F.abs(F.col("n1") - F.col("n2")) * 10 > F.col("n1")).alias("significant"), F.when(F.col("n1") > F.col("n2"), "+").otherwise("-").alias("direction"), F.when(rest == 0, 0.01).when(rest < 3, 0.04).otherwise(0.2).alias("p_value"))
+    out = H.symbols(pairs)
+    return out.select("method", *[F.coalesce(F.col(str(k)), F.lit("")).alias(f"against_{k}") for k in range(1, 8)], "n_plus", "n_zero", "n_minus")
+
+
 _W = f"WITH {_BEST} SELECT {{by}}ROUND(AVG(CASE WHEN b > a THEN 1.0 WHEN b = a THEN 0.5 ELSE 0.0 END), 6) AS win_rate, COUNT(*) AS n FROM c"
 
 

@@ -190,7 +190,7 @@ def d18(spark, sf):
 
 
 _REQ = "q AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY o_orderstatus, o_orderpriority) AS INTEGER) AS request, o_orderstatus, o_orderpriority, 40 * (LENGTH(o_orderpriority) - 4) AS num_rows FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders) d)"
-_POOL = f"p AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, ROW_NUMBER() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY {_h(42, 'o_orderkey')}) AS pos FROM orders WHERE o_orderkey % 10 = 1)"
+_POOL = f"p AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, ROW_NUMBER() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY {_h(42, 'o_orderkey')}) AS pos FROM orders)"
 
 
 def _requests(spark, sf):
@@ -198,7 +198,7 @@ def _requests(spark, sf):
 
     o = _orders(spark, sf)
     q = o.select("o_orderstatus", "o_orderpriority").distinct().withColumn("request", F.row_number().over(Window.orderBy("o_orderstatus", "o_orderpriority")))
-    return q.withColumn("num_rows", 40 * (F.length("o_orderpriority") - 4)), o.where("o_orderkey % 10 = 1")
+    return q.withColumn("num_rows", 40 * (F.length("o_orderpriority") - 4)), o
 
 
 @register("d19_fulfil", f"WITH {_REQ}, {_POOL} SELECT request, o_orderkey FROM q JOIN p USING (o_orderstatus, o_orderpriority) WHERE pos <= num_rows")
@@ -216,12 +216,12 @@ def d19_short(spark, sf):
 @register(
     "d20_complete_rows",
     f"WITH a AS (SELECT o_orderkey AS known, o_orderstatus, ROW_NUMBER() OVER (PARTITION BY o_orderstatus ORDER BY {_h(42, 'o_orderkey')}) AS pos FROM orders WHERE o_orderkey % 2 = 0), "
-    f"b AS (SELECT o_orderkey AS candidate, o_orderstatus, ROW_NUMBER() OVER (PARTITION BY o_orderstatus ORDER BY {_h(42, 'o_orderkey')}) AS pos, COUNT(*) OVER (PARTITION BY o_orderstatus) AS size FROM orders WHERE o_orderkey % 10 = 1) "
+    f"b AS (SELECT o_orderkey AS candidate, o_orderstatus, ROW_NUMBER() OVER (PARTITION BY o_orderstatus ORDER BY {_h(42, 'o_orderkey')}) AS pos, COUNT(*) OVER (PARTITION BY o_orderstatus) AS size FROM orders WHERE o_orderkey % 2 = 1) "
     "SELECT known, candidate, o_orderstatus FROM a JOIN b USING (o_orderstatus) WHERE b.pos = (a.pos - 1) % size + 1",
 )
 def d20(spark, sf):
     o = _orders(spark, sf).select("o_orderkey", "o_orderstatus")
-    known, pool = o.where("o_orderkey % 2 = 0").withColumnRenamed("o_orderkey", "known"), o.where("o_orderkey % 10 = 1").withColumnRenamed("o_orderkey", "candidate")
+    known, pool = o.where("o_orderkey % 2 = 0").withColumnRenamed("o_orderkey", "known"), o.where("o_orderkey % 2 = 1").withColumnRenamed("o_orderkey", "candidate")
     return D.complete_rows(known, pool, ["o_orderstatus"], "known", "candidate").select("known", "candidate", "o_orderstatus")
 
 

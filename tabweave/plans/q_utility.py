@@ -101,16 +101,16 @@ def f09_plain(spark, sf):
 @register("f10_utility_gap")
 def f10(spark, sf):
     real, fake, hold = (df.withColumn("y", (F.col("l_quantity") * F.col("l_discount") > 1.2).cast("int")) for df in thirds(spark, sf))
-    return U.utility_gap(real, fake, hold, _X, "y", methods=("linear",))
+    return U.utility_gap(real, fake, hold, _X, "y")
 
 
 @register("f10_augmentation_gain")
 def f10_augment(spark, sf):
     real, fake, hold = (df.withColumn("y", (F.col("l_quantity") * F.col("l_discount") > 1.2).cast("int")) for df in thirds(spark, sf))
-    return U.utility_gap(real, fake, hold, _X, "y", methods=("linear",), augment=True)
+    return U.utility_gap(real, fake, hold, _X, "y", augment=True)
 
 
 @register("f11_scaled_utility")
 def f11(spark, sf):
     real, fake, hold = thirds(spark, sf)
-    return U.scaled_utility(real, [fake.where("l_partkey % 2 = 0"), fake.where("l_partkey % 2 = 1")], hold, [c for c in _X if c != "l_extendedprice"], "l_extendedprice", ("linear",), "regression")
+    return U.scaled_utility(real, [fake.where("l_partkey % 2 = 0"), fake.where("l_partkey % 2 = 1")], hold, [c for c in _X if c != "l_extendedprice"], "l_extendedprice", task="regression")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.counts import long_form
 from ..spec import TableSpec
 
 
@@ -90,11 +91,15 @@ def table_info(df: DataFrame, spec: TableSpec) -> DataFrame:
     number = lambda c: spec.kind(c) == "continuous"
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in cols:
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}"), F.count_distinct(F.col(c)).alias(f"distinct_{c}")]
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}")]
         aggs += [(F.min(F.col(c).cast("double")) if number(c) else F.lit(None).cast("double")).alias(f"lo_{c}"), (F.max(F.col(c).cast("double")) if number(c) else F.lit(None).cast("double")).alias(f"hi_{c}")]
-        # only declared categories are listed: their number does not grow with the table
-        aggs += [(F.lit(None).cast("string") if number(c) else F.to_json(F.array_sort(F.collect_set(F.col(c).cast("string"))))).alias(f"cats_{c}")]
-    one = df.agg(*aggs)
+    # counted by value once: distinct values a column, and the declared categories, whose number does not grow with the table
+    cells = long_form(df, cols, []).where("value is not null").distinct()
+    kept = F.when(F.col("col").isin([c for c in cols if not number(c)]), F.col("value"))
+    per = cells.groupBy("col").agg(F.count(F.lit(1)).alias("d"), F.to_json(F.array_sort(F.collect_list(kept))).alias("cats"))
+    of = lambda c, what: F.max(F.when(F.col("col") == c, F.col(what)))
+    wide = per.agg(*[x for c in cols for x in (F.coalesce(of(c, "d"), F.lit(0)).alias(f"distinct_{c}"), (F.lit(None).cast("string") if number(c) else F.coalesce(of(c, "cats"), F.lit("[]"))).alias(f"cats_{c}"))])
+    one = df.agg(*aggs).crossJoin(F.broadcast(wide))  # one row each
     row = lambda i, c: F.struct(F.lit(i).alias("index"), F.lit(c).alias("col"), F.lit(spec.kind(c)).alias("kind"), F.lit("target" if c == spec.target else "feature").alias("role"), F.col("n"), F.col(f"nulls_{c}").alias("n_null"), F.col(f"distinct_{c}").alias("n_distinct"), F.col(f"lo_{c}").alias("lo"), F.col(f"hi_{c}").alias("hi"), F.col(f"cats_{c}").alias("categories"))
     return one.select(F.explode(F.array(*[row(i, c) for i, c in enumerate(cols)])).alias("x")).select("x.*")
 

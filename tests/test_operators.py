@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,17 +250,92 @@ def test_tie_rules(spark):
 def test_orientation(spark):
     rows = [("acc", math.nan), ("acc", math.inf), ("acc", -math.inf), ("acc", 0.5), ("mae", math.nan), ("mae", -math.inf), ("mae", 0.5)]
     df = frame(spark, rows, "metric string, value double")
-    assert [r["score"] for r in ranking.oriented(df).collect()] == [1e10, 1e10, -1e10, 0.5, -1e10, 1e10, -0.5]
-    assert [r["score"] for r in ranking.oriented(df, policy="worst").collect()] == [-1e10, -1e10, -1e10, 0.5, -1e10, -1e10, -0.5]
+    assert [r["score"] for r in ranking.oriented(df, evaluation="utility").collect()] == [1e10, 1e10, -1e10, 0.5, -1e10, 1e10, -0.5]
+    assert [r["score"] for r in ranking.oriented(df, policy="worst", evaluation="utility").collect()] == [-1e10, -1e10, -1e10, 0.5, -1e10, -1e10, -0.5]
+
+
+def test_directions(spark):
+    names = ["dp_domias_mia_accuracy", "dp_single_out_2", "dp_inference_age", "dp_re_identification_score", "dp_dcr_rf", "mae"]
+    df = frame(spark, [(n,) for n in names], "metric string")
+    ways = lambda kind: {r["metric"]: r["way"] for r in df.withColumn("way", ranking.direction(F.col("metric"), evaluation=kind)).collect()}
+    assert ways("privacy") == dict(zip(names, ["lower", "lower", "lower", "lower", "higher", "lower"]))
+    assert ways("utility")["dp_dcr_rf"] == "higher" and ways("utility")["mae"] == "lower"
+    with pytest.raises(Exception, match="no direction is known"):
+        ways("statistics")  # parts of names do not count there
+    with pytest.raises(Exception, match="no direction is known"):
+        frame(spark, [("acc",)], "metric string").select(ranking.direction(F.col("metric"))).collect()
+
+
+def test_critical_values():
+    assert [ranking.critical_value(k) for k in (3, 7, 50)] == [2.344, 2.948, 3.992]
+    assert abs(ranking.critical_value(10, 0.01) - 3.646) < 1e-9 and 2.569 < ranking.critical_value(4, 0.02) < 3.113
 
 
 def test_rank_losses_and_best(spark):
     rows = [(1, "success", "acc", 0.9), (1, "success", "mae", 0.1), (2, "success", "acc", 0.8), (2, "success", "mae", 0.2), (3, "failed", "acc", None)]
-    losses = ranking.rank_losses(frame(spark, rows, "tid long, reason string, metric string, value double"))
+    losses = ranking.rank_losses(frame(spark, rows, "tid long, reason string, metric string, value double"), evaluation="utility")
     assert {r["tid"]: r["loss"] for r in losses.collect()} == {1: -2.0, 2: -1.0, 3: math.inf}
     assert tuple(ranking.best_trials(losses).first()) == (1, -2.0, 2)
 
 
+def test_ledger_moments():
+    """Fractional orders lie between whole ones, and whole orders equal the binomial sum."""
+    from tabweave.operators.privacy import _log_moment
+
+    for q, sigma in ((0.01, 0.8), (0.2, 1.5)):
+        for a in (2, 3, 7, 20):
+            terms = [math.comb(a, i) * q**i * (1 - q) ** (a - i) * math.exp((i * i - i) / (2 * sigma * sigma)) for i in range(a + 1)]
+            assert _log_moment(q, sigma, a) == pytest.approx(math.log(sum(terms)), rel=1e-9, abs=1e-12)
+        steps = [_log_moment(q, sigma, 1 + k / 10) for k in range(1, 60)]
+        assert all(x < y for x, y in zip(steps, steps[1:])) and steps[0] > 0
+
+
+def test_ledger_epsilon_and_delta(spark):
+    df = frame(spark, [("a", 0.01, 1.1, 1000), ("a", 0.01, 1.1, 500), ("b", 0.0, 1.0, 10)], "run string, q double, noise double, steps long")
+    eps = {r["run"]: (r["epsilon"], r["best_order"]) for r in privacy.ledger_epsilon(df, 1e-5).collect()}
+    assert eps["a"][1] != int(eps["a"][1]) and eps["b"][0] < 0.3
+    # the delta at that epsilon is the one that it was asked for
+    delta = {r["run"]: r["delta"] for r in privacy.ledger_delta(df, eps["a"][0]).collect()}
+    assert delta["a"] == pytest.approx(1e-5, rel=1e-6)
+
+
+def test_exact_quantile(spark):
+    from tabweave.functions.order import quantile
+
+    x = np.random.default_rng(2).normal(size=5000).round(1)
+    df = frame(spark, [(float(v),) for v in x], "x double").repartition(4)
+    for share in (0.0, 0.05, 0.5, 0.9501, 1.0):
+        assert quantile(df, "x", share, most=100) == pytest.approx(np.quantile(x, share))
+    assert quantile(df.where("x > 100"), "x", 0.5) is None
+
+
+def test_density_in_blocks(spark):
+    from tabweave.functions.neighbours import kde
+
+    rng = np.random.default_rng(5)
+    pts, smp = frame(spark, [(i, *map(float, rng.normal(size=2))) for i in range(60)], "id long, x double, y double"), frame(spark, [tuple(map(float, rng.normal(size=2))) for _ in range(80)], "x double, y double")
+    one, many = ({r["id"]: r["density"] for r in kde(pts, smp, "id", ["x", "y"], block_bytes=b).collect()} for b in (1 << 20, 300))
+    assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k]) for k in one)
+
+
+def test_noise_is_the_same_on_every_partitioning(spark):
+    df = frame(spark, [(i, None if i % 3 else float(i)) for i in range(30)], "id long, x double")
+    enc = encode.MissingEncoder(["x"], [], noise_std=0.05, id_col="id").fit(df)
+    a, b = ({r["id"]: r["x"] for r in enc.transform(d).collect()} for d in (df.repartition(1), df.repartition(7)))
+    assert a == b and len({v for k, v in a.items() if k % 3}) == 20 and all(abs(v - enc.medians["x"]) < 0.5 for k, v in a.items() if k % 3)
+
+
+def test_binary_rules(spark):
+    df = frame(spark, [("-1", "7"), ("1", "Yes"), (None, "no")], "a string, b string")
+    got = encode.BinaryEncoder(["a"]).fit(df)
+    assert got.values == {"a": ["-1", "1"]} and [r["a"] for r in got.transform(df).collect()] == [0, 1, None]
+    assert [r["a"] for r in got.inverse(frame(spark, [(0.5,), (0.51,)], "a double")).collect()] == ["-1", "1"]
+    with pytest.raises(ValueError, match="more than 2"):
+        encode.BinaryEncoder(["b"]).fit(df)
+    with pytest.raises(ValueError, match="no known pair"):
+        encode.BinaryEncoder(["a"]).fit(frame(spark, [("x",), ("y",)], "a string"))
+
+
 def test_friedman_and_nemenyi(spark):
     rows = [(b, m, float(v)) for b, vs in enumerate([(1, 2, 3), (1, 2, 3), (2, 1, 3), (1, 2, 3), (1, 3, 2), (1, 2, 3)]) for m, v in enumerate(vs)]
     df = frame(spark, rows, "block int, method int, score double")
@@ -267,7 +343,7 @@ def test_friedman_and_nemenyi(spark):
     ranks = [7 / 6, 2.0, 17 / 6]
     assert r["chi2"] == pytest.approx(12 * 6 / 12 * sum((x - 2) ** 2 for x in ranks)) and r["p_value"] == pytest.approx(math.exp(-r["chi2"] / 2))
     pair = {(x["m1"], x["m2"]): x for x in ranking.nemenyi(df, "block", "method", "score").collect()}
-    assert pair[(0, 2)]["cd"] == pytest.approx(2.343 * math.sqrt(12 / 36)) and pair[(0, 2)]["direction"] == "-" and pair[(0, 2)]["p_value"] < 0.05
+    assert pair[(0, 2)]["cd"] == pytest.approx(2.344 * math.sqrt(12 / 36)) and pair[(0, 2)]["direction"] == "-" and pair[(0, 2)]["p_value"] < 0.05
     assert {r["method"]: r["n_minus"] for r in ranking.symbols(ranking.nemenyi(df, "block", "method", "score")).collect()}[0] == 1
 
 
