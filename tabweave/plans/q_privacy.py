@@ -145,11 +145,37 @@ def g10(spark, sf):
     return rounded(G.generalised_cap(real, fake, _GK, SENSITIVE), "generalised_cap")
 
 
-@register("g11_singling_out_univariate")
+def _wilson(s: str) -> tuple[str, str]:
+    z = "1.959963984540054"
+    return f"(({s} + {z} * {z} / 2) / (n + {z} * {z}))", f"({z} * SQRT(CAST({s} AS DOUBLE) * (n - {s}) / n + {z} * {z} / 4) / (n + {z} * {z}))"
+
+
+_A, _C = _wilson("n_attack")[0], _wilson("n_control")[0]
+_RISK = "n, " + ", ".join(f"ROUND({_wilson('n_' + k)[i]}, 6) AS {k}_{m}" for k in ("attack", "control", "baseline") for i, m in enumerate(("rate", "error"))) + f", ROUND(GREATEST(0, ({_A} - {_C}) / (1 - {_C})), 6) AS risk"
+
+
+def _rounded_risk(df):
+    return rounded(df, *[c for c in df.columns if c not in ("n", "n_neighbors", "n_cols")])
+
+
+_G11 = (
+    "WITH o AS (SELECT o_orderkey % 4 AS k, CAST(ROUND(o_totalprice) AS BIGINT) AS cents, o_orderstatus, o_totalprice FROM orders), "
+    "c AS (SELECT k, 'cents' AS col, CAST(cents AS VARCHAR) AS value FROM o UNION ALL SELECT k, 'o_orderstatus', o_orderstatus FROM o UNION ALL SELECT k, 'o_totalprice', CAST(o_totalprice AS VARCHAR) FROM o), "
+    "known AS (SELECT col, value, COUNT(*) AS n, ROW_NUMBER() OVER (ORDER BY MD5('42|' || col || '|' || value)) AS pos FROM c WHERE k = 2 GROUP BY col, value), u AS (SELECT col, value FROM known WHERE n = 1), "
+    "r AS (SELECT col, value, COUNT(*) AS c FROM c WHERE k < 2 GROUP BY ALL), h AS (SELECT col, value, COUNT(*) AS c FROM c WHERE k = 3 GROUP BY ALL), e AS (SELECT MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi FROM o WHERE k = 2), "
+    "m AS (SELECT COUNT(*) FILTER (k < 2 AND o_totalprice <= lo) AS rl, COUNT(*) FILTER (k < 2 AND o_totalprice >= hi) AS rh, COUNT(*) FILTER (k = 3 AND o_totalprice <= lo) AS hl, COUNT(*) FILTER (k = 3 AND o_totalprice >= hi) AS hh FROM o, e), "
+    "t AS (SELECT (SELECT COUNT(*) FROM u) + 2 AS n, (SELECT COUNT(*) FROM u JOIN r USING (col, value) WHERE c = 1) + CASE WHEN rl = 1 THEN 1 ELSE 0 END + CASE WHEN rh = 1 THEN 1 ELSE 0 END AS n_attack, "
+    "(SELECT COUNT(*) FROM u JOIN h USING (col, value) WHERE c = 1) + CASE WHEN hl = 1 THEN 1 ELSE 0 END + CASE WHEN hh = 1 THEN 1 ELSE 0 END AS n_control, "
+    "(SELECT COUNT(*) FROM known JOIN r USING (col, value) WHERE c = 1 AND pos <= (SELECT COUNT(*) FROM u)) AS n_baseline FROM m) "
+    f"SELECT {_RISK} FROM t"
+)
+
+
+@register("g11_singling_out_univariate", _G11)
 def g11(spark, sf):
     o = table(spark, sf, "orders").withColumn("cents", F.round(F.col("o_totalprice")).cast("long"))
     k = F.col("o_orderkey") % 4
-    return G.singling_out_univariate(o.where(k < 2), o.where(k == 2), o.where(k == 3), ["cents", "o_orderstatus"], ["o_totalprice"])
+    return _rounded_risk(G.singling_out_univariate(o.where(k < 2), o.where(k == 2), o.where(k == 3), ["cents", "o_orderstatus"], ["o_totalprice"]))
 
 
 @register("g12_singling_out_multivariate")
@@ -161,32 +187,51 @@ def g12(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@register("g13_linkability")
+_RANGE = "x AS (SELECT " + ", ".join(f"MIN({c}) AS l{k}, NULLIF(MAX({c}) - MIN({c}), 0) AS w{k}" for k, c in enumerate(ALL_COLS)) + f" FROM {EMB_SQL} e WHERE vec_id % 4 < 3)"
+
+
+def _gower(dims) -> str:
+    return " + ".join(f"ABS((a.e{k} - l{k}) / COALESCE(w{k}, 1) - (b.e{k} - l{k}) / COALESCE(w{k}, 1))" for k in dims)
+
+
+_Q = "q AS (SELECT *, vec_id % 4 AS part FROM " + EMB_SQL + " e)"
+_G13 = (
+    f"WITH {_RANGE}, {_Q}, d AS (SELECT a.vec_id, a.part, b.vec_id AS near, {_gower(range(32))} AS da, {_gower(range(32, 64))} AS db FROM q a, q b, x WHERE a.part <> 2 AND b.part = 2), "
+    "k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY da, near) AS ra, ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY db, near) AS rb FROM d), "
+    "m AS (SELECT vec_id, part, MIN(GREATEST(ra, rb)) AS least FROM k WHERE ra <= 10 AND rb <= 10 GROUP BY ALL), s AS (SELECT COUNT(*) FILTER (part < 2) AS n, COUNT(*) FILTER (part = 2) AS nf, COUNT(*) FILTER (part = 3) AS nh FROM q), "
+    "t AS (SELECT CAST(kk AS INTEGER) AS n_neighbors, n, (SELECT COUNT(*) FROM m WHERE part < 2 AND least <= kk) AS n_attack, CAST(ROUND((SELECT COUNT(*) FROM m WHERE part = 3 AND least <= kk) * (CAST(n AS DOUBLE) / nh)) AS BIGINT) AS n_control, "
+    "CAST(ROUND(n * (1 - CASE WHEN nf > 2 * kk THEN EXP(LIST_SUM(LIST_TRANSFORM(RANGE(kk), lambda i: LN(1 - CAST(kk AS DOUBLE) / (nf - i))))) ELSE 0 END)) AS BIGINT) AS n_baseline FROM s, RANGE(4, 11) r(kk)) "
+    f"SELECT n_neighbors, {_RISK} FROM t"
+)
+_G14 = (
+    f"WITH {_RANGE}, {_Q}, d AS (SELECT a.vec_id, a.part, a.label AS mine, b.label AS theirs, ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY {_gower(range(64))}, b.vec_id) AS k FROM q a, q b, x WHERE a.part <> 2 AND b.part = 2), "
+    "f AS (SELECT label, ROW_NUMBER() OVER (ORDER BY MD5('42|' || CAST(vec_id AS VARCHAR))) AS pos FROM q WHERE part = 2), s AS (SELECT COUNT(*) FILTER (part < 2) AS n, COUNT(*) FILTER (part = 2) AS nf, COUNT(*) FILTER (part = 3) AS nh FROM q), "
+    "g AS (SELECT COUNT(*) FILTER (q.label = f.label) AS hits FROM q, s JOIN f ON f.pos = CAST(FLOOR(CAST('0x' || SUBSTR(MD5('42|' || CAST(q.vec_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 * nf) AS BIGINT) + 1 WHERE q.part < 2), "
+    "t AS (SELECT n, (SELECT COUNT(*) FROM d WHERE k = 1 AND part < 2 AND mine = theirs) AS n_attack, CAST(ROUND((SELECT COUNT(*) FROM d WHERE k = 1 AND part = 3 AND mine = theirs) * (CAST(n AS DOUBLE) / nh)) AS BIGINT) AS n_control, hits AS n_baseline FROM s, g) "
+    f"SELECT {_RISK} FROM t"
+)
+
+
+@register("g13_linkability", _G13)
 def g13(spark, sf):
     v = vectors(spark, sf, DIMS)
     k = F.col("vec_id") % 4
-    return G.linkability(v.where(k < 2), v.where(k == 2), v.where(k == 3), "vec_id", ALL_COLS[: DIMS // 2], ALL_COLS[DIMS // 2 :])
+    out = G.linkability(v.where(k < 2), v.where(k == 2), v.where(k == 3), "vec_id", ALL_COLS[: DIMS // 2], ALL_COLS[DIMS // 2 :])
+    return _rounded_risk(out) if out is not None else out
 
 
-@register("g14_inference")
+@register("g14_inference", _G14)
 def g14(spark, sf):
     v = vectors(spark, sf, DIMS)
     k = F.col("vec_id") % 4
-    return G.inference(v.where(k < 2), v.where(k == 2), v.where(k == 3), "vec_id", ALL_COLS, "label", tolerance=0.0)
+    out = G.inference(v.where(k < 2), v.where(k == 2), v.where(k == 3), "vec_id", ALL_COLS, "label", tolerance=0.0)
+    return _rounded_risk(out) if out is not None else out
 
 
 _G15 = "(SELECT COUNT(*) AS n, COUNT(*) FILTER (l_quantity > 25) AS n_attack, COUNT(*) FILTER (l_discount > 0.05) AS n_control, COUNT(*) FILTER (l_tax > 0.05) AS n_baseline FROM lineitem)"
 
 
-def _wilson(s: str) -> tuple[str, str]:
-    z = "1.959963984540054"
-    return f"(({s} + {z} * {z} / 2) / (n + {z} * {z}))", f"({z} * SQRT(CAST({s} AS DOUBLE) * (n - {s}) / n + {z} * {z} / 4) / (n + {z} * {z}))"
-
-
-_A, _C = _wilson("n_attack")[0], _wilson("n_control")[0]
-
-
-@register("g15_risk", "SELECT n, " + ", ".join(f"ROUND({_wilson('n_' + k)[i]}, 6) AS {k}_{m}" for k in ("attack", "control", "baseline") for i, m in enumerate(("rate", "error"))) + f", ROUND(GREATEST(0, ({_A} - {_C}) / (1 - {_C})), 6) AS risk FROM {_G15} t")
+@register("g15_risk", f"SELECT {_RISK} FROM {_G15} t")
 def g15(spark, sf):
     li = table(spark, sf, "lineitem")
     rates = li.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_quantity") > 25).alias("n_attack"), F.count_if(F.col("l_discount") > 0.05).alias("n_control"), F.count_if(F.col("l_tax") > 0.05).alias("n_baseline"))
