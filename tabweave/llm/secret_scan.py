@@ -5,7 +5,7 @@ window moves along it while its character counts, and with them its entropy, are
 by one character in and one out.  Windows over the class's threshold merge into spans.
 An allow list suppresses candidates that are harmless as a whole: runs without letters,
 repeated pieces, counting sequences, identifiers in UUID form, words and numbers joined by
-signs, and runs without digits that are cased like words.
+signs, and runs without digits that are cased like words or in capitals.
 
 Nulls: a null text is empty.  Rows with null or repeated ids are scanned like any other;
 an empty table gives no rows.  Texts are scanned whole.  Only the named columns are read.
@@ -37,8 +37,8 @@ CLASSES = (
     ("hex", re.compile(r"[0-9a-fA-F]{%d,}" % WINDOW), 3.0),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW), 3.7),
 )
-#: Shares of neighbouring characters: from the first on a candidate counts up, below the second it is cased like words.
-COUNTING, CASED = 0.8, 0.3
+#: Share of neighbouring characters that count up, from which a candidate is a sequence; share of capitals among the letters of keys.
+COUNTING, MIXED = 0.8, (0.35, 0.9)
 #: Candidates that match one of these as a whole are harmless: no letter; a UUID; a short piece over and over; words and a number.
 ALLOW = (
     re.compile(r"[^A-Za-z]*"),
@@ -52,15 +52,15 @@ def harmless(run: str) -> bool:
     """The allow list, over a whole candidate: a part of it that looks harmless excuses nothing.
 
     Besides the patterns: sequences that count up (digits, alphabets, character tables), and
-    runs without a digit whose letters change case no more often than words do.
+    runs without a digit that have as few capitals as words in camel case, or hardly others.
     """
     if any(a.fullmatch(run) for a in ALLOW):
         return True
     pairs = list(zip(run, run[1:]))
     if sum(ord(b) - ord(a) == 1 or a + b == "90" for a, b in pairs) >= COUNTING * len(pairs):
         return True
-    letters = [(a, b) for a, b in pairs if a.isalpha() and b.isalpha()]
-    return not any(c.isdigit() for c in run) and sum(a.islower() != b.islower() for a, b in letters) < CASED * max(1, len(letters))
+    letters = [c for c in run if c.isalpha()]
+    return not any(c.isdigit() for c in run) and not MIXED[0] <= sum(c.isupper() for c in letters) / len(letters) <= MIXED[1]
 
 
 _PLOGP = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
