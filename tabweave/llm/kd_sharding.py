@@ -8,7 +8,8 @@ on until it weighs next to nothing.  Rows that are equal in the dimension are or
 content hash, so rows of equal content stay together; a content so heavy that keeping it
 whole would unbalance the shards is split by id.
 
-Only the tree (two nodes a shard) and 1024 sums a node reach the driver.
+Nodes, their intervals and their histograms are tables: nothing of them reaches the driver,
+and the number of shards is bounded by nothing but their rows.
 
 Nulls: a null text weighs 1 byte; null dimension values are smallest; null ids are rows
 like any other.  Repeated rows share a shard and have slots of their own.  An empty table
@@ -17,8 +18,6 @@ gives no rows.  Only the named columns are read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,110 +26,89 @@ from .core import SPACES, settled
 BINS = 1024
 #: Share of a node's weight that may lie between the wanted and the chosen cut.
 TOLERANCE = 1e-4
-NULL = -(1 << 63)
-
-
-@dataclass
-class Node:
-    """A node: the shards it stands for, and its cut (column, bound) steps once it is split."""
-
-    first: int
-    shards: int
-    cut: list[tuple[str, int]] | None = None
-    low: "Node | None" = None
-    high: "Node | None" = None
-
 
-def _below(cut: list[tuple[str, int]]) -> Column:
-    """Whether a row lies below a cut: the first column decides, on equality the next."""
-    (name, bound), rest = cut[0], cut[1:]
-    less = F.col(name) < F.lit(bound)
-    return less if not rest else less | ((F.col(name) == F.lit(bound)) & _below(rest))
 
-
-def _walk(node: Node) -> Column:
-    """The first shard of the leaf (or of the node not split yet) that a row belongs to."""
-    return F.lit(node.first) if node.cut is None else F.when(_below(node.cut), _walk(node.low)).otherwise(_walk(node.high))
-
-
-def _extent(meta: DataFrame, root: Node, dims: list[str]) -> dict[int, dict]:
-    rows = meta.groupBy(_walk(root).alias("node")).agg(
-        F.sum("weight").alias("w"), *[f(d).alias(f"{n}_{d}") for d in [*dims, "tie", "one"] for n, f in (("lo", F.min), ("hi", F.max))]
-    )
-    return {r["node"]: r.asDict() for r in rows.collect()}
-
-
-def _interval(name: str, lo: int, hi: int) -> Column:
-    step = max((hi - lo) / BINS, 1e-300)
-    return F.least(F.lit(BINS - 1), F.floor((F.col(name).cast("double") - F.lit(float(lo))) / F.lit(step)).cast("int"))
-
-
-def _cut_level(meta: DataFrame, root: Node, open_nodes: list[Node], dims: list[str], spread: dict[str, float]) -> None:
-    """Split all ``open_nodes``, their histograms in common jobs."""
-    extent = _extent(meta, root, dims)
-    state: dict[int, dict] = {}
-    at = _walk(root)  # before any of these nodes has its cut
-    for n in open_nodes:
-        e = extent.get(n.first)
-        if e is None:
-            n.cut = [(dims[0], NULL)]
-            continue
-        widest = max(dims, key=lambda d: (e[f"hi_{d}"] - e[f"lo_{d}"]) / spread[d])
-        low_shards = n.shards // 2
-        state[n.first] = {
-            "node": n, "order": [widest, "tie", "one"], "lo": e[f"lo_{widest}"], "hi": e[f"hi_{widest}"], "fixed": [],
-            "want": e["w"] * low_shards / n.shards, "below": 0.0, "total": e["w"], "e": e,
-        }
-    while state:
-        where, bins = F.lit(None).cast("int"), F.lit(None).cast("int")
-        value = F.lit(None).cast("long")
-        for first, s in state.items():
-            name = s["order"][0]
-            mine = (at == first) & F.col(name).between(F.lit(s["lo"]), F.lit(s["hi"]))
-            for fixed, v in s["fixed"]:
-                mine &= F.col(fixed) == F.lit(v)
-            where = F.when(mine, F.lit(first)).otherwise(where)
-            bins = F.when(mine, _interval(name, s["lo"], s["hi"])).otherwise(bins)
-            value = F.when(mine, F.col(name)).otherwise(value)
-        sums = meta.select(where.alias("node"), bins.alias("bin"), value.alias("v"), "weight").where("node is not null").groupBy("node", "bin").agg(F.sum("weight").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        by_node: dict[int, list] = {}
-        for r in sums.collect():  # BINS a node
-            by_node.setdefault(r["node"], []).append(r)
-        for first, s in list(state.items()):
-            rows = sorted(by_node[first], key=lambda r: r["bin"])
-            run = s["below"]
-            for k, r in enumerate(rows):
-                if run + r["w"] >= s["want"] or k == len(rows) - 1:
-                    break
-                run += r["w"]
-            small = r["w"] <= TOLERANCE * s["total"]
-            if small or (r["lo"] == r["hi"] and s["order"][0] == "one"):
-                # cut at the nearer edge of the interval; above it is the next interval's least value
-                nearer_end = run + r["w"] - s["want"] < s["want"] - run
-                bound = r["lo"] if not nearer_end else r["hi"] + 1
-                s["node"].cut = [*s["fixed"], (s["order"][0], bound)]
-                del state[first]
-            elif r["lo"] == r["hi"]:
-                s["fixed"].append((s["order"].pop(0), r["lo"]))
-                nxt = s["order"][0]
-                s["below"], s["lo"], s["hi"] = run, s["e"][f"lo_{nxt}"], s["e"][f"hi_{nxt}"]
-            else:
-                s["below"], s["lo"], s["hi"] = run, r["lo"], r["hi"]
-
-
-def kd_tree(meta: DataFrame, dims: list[str], shards: int) -> Node:
-    """The tree over ``meta`` (weight, tie, one and the dimensions, all long) with ``shards`` leaves."""
-    root = Node(0, shards)
-    whole = _extent(meta, root, dims).get(0)
-    spread = {d: float(max(1, whole[f"hi_{d}"] - whole[f"lo_{d}"])) if whole else 1.0 for d in dims}
-    level = [root]
-    while open_nodes := [n for n in level if n.shards > 1]:
-        _cut_level(meta, root, open_nodes, dims, spread)
-        for n in open_nodes:
-            half = n.shards // 2
-            n.low, n.high = Node(n.first, half), Node(n.first + half, n.shards - half)
-        level = [c for n in open_nodes for c in (n.low, n.high)]
-    return root
+def _value(dims: list[str]) -> Column:
+    """What a row is compared by: the node's widest dimension, then the content hash, then the id's."""
+    widest = F.element_at(F.array(*dims), F.col("dim") + 1)
+    return F.when(F.col("stage") == 0, widest).when(F.col("stage") == 1, F.col("tie")).otherwise(F.col("one"))
+
+
+def _open_nodes(meta: DataFrame, dims: list[str], spread: dict[str, float]) -> DataFrame:
+    """One row a node that is to be split: its widest dimension, the weight wanted below the cut, and the interval that holds it."""
+    ends = [f(c).alias(f"{n}_{c}") for c in [*dims, "tie", "one"] for n, f in (("lo", F.min), ("hi", F.max))]
+    nodes = meta.where("shards > 1").groupBy("node", "shards").agg(F.sum("weight").alias("total"), *ends)
+    width = F.array(*[(F.col(f"hi_{d}").cast("double") - F.col(f"lo_{d}").cast("double")) / F.lit(spread[d]) for d in dims])
+    nodes = nodes.withColumn("dim", (F.array_position(width, F.array_max(width)) - 1).cast("int"))
+    pick = lambda n: F.element_at(F.array(*[F.col(f"{n}_{d}") for d in dims]), F.col("dim") + 1)
+    want = F.col("total") * F.floor(F.col("shards") / 2) / F.col("shards")
+    none = F.lit(None).cast("long")
+    return nodes.select(
+        "node", "shards", "total", "dim", want.alias("want"), F.lit(0).alias("stage"), F.lit(0).cast("double").alias("below"), pick("lo").alias("lo"), pick("hi").alias("hi"),
+        none.alias("first"), none.alias("second"), none.alias("bound"), F.lit(False).alias("upto"), "lo_tie", "hi_tie", "lo_one", "hi_one",
+    )
+
+
+def _narrowed(meta: DataFrame, nodes: DataFrame, dims: list[str]) -> DataFrame:
+    """One histogram of every node's interval: the bin that holds the wanted weight is the next interval, or the cut lies at its edge."""
+    value, widest = _value(dims), F.element_at(F.array(*dims), F.col("dim") + 1)
+    mine = value.between(F.col("lo"), F.col("hi")) & ((F.col("stage") < 1) | (widest == F.col("first"))) & ((F.col("stage") < 2) | (F.col("tie") == F.col("second")))
+    # exact where the difference fits a long, so that close values of any size come apart
+    apart = lambda x, y: F.coalesce(F.try_subtract(x, y).cast("double"), x.cast("double") - y.cast("double"))
+    step = F.greatest(apart(F.col("hi"), F.col("lo")) / BINS, F.lit(1e-300))
+    bins = F.least(F.lit(BINS - 1), F.floor(apart(value, F.col("lo")) / step).cast("int"))
+    rows = meta.join(nodes, ["node", "shards"]).where(mine).select("node", bins.alias("bin"), value.alias("v"), "weight")
+    sums = rows.groupBy("node", "bin").agg(F.sum("weight").alias("w"), F.min("v").alias("least"), F.max("v").alias("most"))
+    seen = sums.join(nodes, "node").withColumn("run", F.col("below") + F.sum("w").over(Window.partitionBy("node").orderBy("bin")) - F.col("w"))  # BINS rows a node
+    bin_ = F.struct("bin", "w", "least", "most", "run")
+    got = seen.groupBy("node").agg(F.coalesce(F.min(F.when(F.col("run") + F.col("w") >= F.col("want"), bin_)), F.max(bin_)).alias("b"))
+    both = nodes.join(got, "node")
+    one_value = F.col("b.least") == F.col("b.most")
+    cut = (F.col("b.w") <= TOLERANCE * F.col("total")) | (one_value & (F.col("stage") == 2))
+    end = F.col("b.run") + F.col("b.w") - F.col("want") < F.col("want") - F.col("b.run")  # the nearer edge of the bin
+    on = ~cut & one_value  # equal here: rows are told apart by the next column
+    return both.select(
+        "node", "shards", "total", "dim", "want", (F.col("stage") + on.cast("int")).alias("stage"), F.when(cut, F.col("below")).otherwise(F.col("b.run")).alias("below"),
+        F.when(on & (F.col("stage") == 0), F.col("lo_tie")).when(on, F.col("lo_one")).otherwise(F.col("b.least")).alias("lo"),
+        F.when(on & (F.col("stage") == 0), F.col("hi_tie")).when(on, F.col("hi_one")).otherwise(F.col("b.most")).alias("hi"),
+        F.when(on & (F.col("stage") == 0), F.col("b.least")).otherwise(F.col("first")).alias("first"), F.when(on & (F.col("stage") == 1), F.col("b.least")).otherwise(F.col("second")).alias("second"),
+        F.when(cut, F.when(end, F.col("b.most")).otherwise(F.col("b.least"))).alias("bound"), (cut & end).alias("upto"), "lo_tie", "hi_tie", "lo_one", "hi_one",
+    )
+
+
+def _split(meta: DataFrame, cuts: DataFrame, dims: list[str]) -> DataFrame:
+    """Rows of the nodes that were cut, dealt to their two children; the rows of leaves as they are."""
+    widest, value = F.element_at(F.array(*dims), F.col("dim") + 1), _value(dims)
+    below = (value < F.col("bound")) | (F.col("upto") & (value == F.col("bound")))
+    second = F.when(F.col("stage") < 2, below).otherwise((F.col("tie") < F.col("second")) | ((F.col("tie") == F.col("second")) & below))
+    low = F.when(F.col("stage") < 1, below).otherwise((widest < F.col("first")) | ((widest == F.col("first")) & second))
+    half = F.floor(F.col("shards") / 2).cast("int")
+    keep = [c for c in meta.columns if c not in ("node", "shards")]
+    dealt = meta.join(cuts, ["node", "shards"], "left")
+    leaf = F.col("bound").isNull()
+    node, shards = F.when(leaf | low, F.col("node")).otherwise(F.col("node") + half), F.when(leaf, F.col("shards")).when(low, half).otherwise(F.col("shards") - half)
+    return dealt.select(*keep, node.alias("node"), shards.alias("shards"))
+
+
+def kd_leaves(meta: DataFrame, dims: list[str], shards: int) -> DataFrame:
+    """``meta`` (weight, tie, one and the dimensions, all long) with ``node``, the leaf of each row: 0 to ``shards`` - 1.
+
+    A node stands for as many shards as are still to come of it; each level halves them.
+    """
+    ends = meta.agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    spread = {d: float(max(1, (ends[f"hi_{d}"] or 0) - (ends[f"lo_{d}"] or 0))) for d in dims}
+    now = meta.withColumns({"node": F.lit(0), "shards": F.lit(shards)})
+    for _ in range(max(0, shards - 1).bit_length()):
+        nodes, cuts = settled(_open_nodes(now, dims, spread), "nodes"), None
+        while not nodes.isEmpty():
+            nodes = settled(_narrowed(now, nodes, dims), "nodes")
+            done = nodes.where("bound is not null")
+            cuts = done if cuts is None else cuts.unionByName(done)
+            nodes = nodes.where("bound is null")
+        if cuts is None:
+            break
+        now = settled(_split(now, cuts.select("node", "shards", "dim", "stage", "first", "second", "bound", "upto"), dims), "level")
+    return now
 
 
 def numbered(df: DataFrame, group: str, order: list[str], rows: int, out: str) -> DataFrame:
@@ -175,6 +153,6 @@ def kd_sharding(df: DataFrame, shards: int | None = None, target_bytes: int | No
     names = [c for c in meta.columns if c not in ("doc_id", "weight", "text_crc32", "tie", "one")]
     rows, total = meta.agg(F.count(F.lit(1)), F.coalesce(F.sum("weight"), F.lit(0))).first()
     shards = shards or max(1, -(-total // (target_bytes or 1 << 30)))
-    tree = kd_tree(meta, names, shards)
-    dealt = meta.select("doc_id", F.col("weight").alias("size"), "text_crc32", "tie", _walk(tree).alias("shard"))
+    leaves = kd_leaves(meta, names, shards)
+    dealt = leaves.select("doc_id", F.col("weight").alias("size"), "text_crc32", "tie", F.col("node").alias("shard"))
     return numbered(dealt, "shard", ["doc_id", "tie"], rows, "slot").select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))

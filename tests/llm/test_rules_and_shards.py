@@ -83,6 +83,37 @@ def test_equal_texts_stay_together_where_they_may(docs):
     assert all(len(s) == 1 for s in groups.values())
 
 
+def brute_leaves(rows, dims, shards):
+    """The same tree, a node at a time: rows in order of (widest dimension, tie, one) are cut where the weight comes nearest to the share."""
+    spread = {d: max(1, max(r[d] for r in rows) - min(r[d] for r in rows)) for d in dims}
+    out = {}
+
+    def split(part, first, n):
+        if n == 1 or not part:
+            out.update({r["doc_id"]: first for r in part})
+            return
+        widest = max(dims, key=lambda d: (max(r[d] for r in part) - min(r[d] for r in part)) / spread[d])
+        part = sorted(part, key=lambda r: (r[widest], r["tie"], r["one"]))
+        want, run, k = sum(r["weight"] for r in part) * (n // 2) / n, 0, 0
+        while k < len(part) - 1 and run + part[k]["weight"] < want:
+            run += part[k]["weight"]
+            k += 1
+        k += run + part[k]["weight"] - want < want - run
+        split(part[:k], first, n // 2)
+        split(part[k:], first + n // 2, n - n // 2)
+
+    split(rows, 0, shards)
+    return out
+
+
+def test_tree_matches_brute_force(docs, odd):
+    for df, shards in ((docs, 8), (docs, 13), (odd.where("doc_id is not null").dropDuplicates(["doc_id"]), 5)):
+        meta = kd_sharding.metadata(df).cache()
+        dims = [c for c in meta.columns if c.startswith("d_")]
+        got = {r["doc_id"]: r["node"] for r in kd_sharding.kd_leaves(meta, dims, shards).collect()}
+        assert got == brute_leaves([r.asDict() for r in meta.collect()], dims, shards)
+
+
 def test_shards_of_odd_rows(odd, odd_rows, empty):
     check_shards(kd_sharding.kd_sharding(odd, 8).collect(), [(d, t) for d, t, _ in odd_rows], 8)
     assert kd_sharding.kd_sharding(empty, 8).count() == 0
