@@ -11,8 +11,12 @@ o AS (SELECT doc_id, lo, hi, MAX(hi) OVER (PARTITION BY doc_id ORDER BY lo ROWS
 q AS (SELECT doc_id, lo, hi, SUM(CASE WHEN top IS NULL OR lo > top THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY lo) AS n FROM o),
 s AS (SELECT doc_id, n, MIN(lo) AS lo, MAX(hi) AS hi FROM q GROUP BY doc_id, n),
 e AS (SELECT doc_id, lo, hi, COALESCE(LAG(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS start FROM s),
-j AS (SELECT e.doc_id, COUNT(*) AS n_spans, SUM(hi - lo) AS n_removed, STRING_AGG(SUBSTR(h, CAST(2 * start + 1 AS BIGINT), CAST(2 * (lo - start) AS BIGINT)), '' ORDER BY lo) || SUBSTR(ANY_VALUE(h), CAST(2 * MAX(hi) + 1 AS BIGINT)) AS kept FROM e JOIN h ON h.doc_id = e.doc_id GROUP BY e.doc_id)
-SELECT h.doc_id, CAST(LENGTH(h) // 2 AS BIGINT) AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, COALESCE(n_spans, 0) AS n_spans, SHA256(UNHEX(COALESCE(kept, h))) AS kept_sha256 FROM h LEFT JOIN j ON j.doc_id = h.doc_id
+j AS (SELECT e.doc_id, COUNT(*) AS n_spans, SUM(hi - lo) AS n_removed, STRING_AGG(SUBSTR(h, CAST(2 * start + 1 AS BIGINT), CAST(2 * (lo - start) AS BIGINT)), '' ORDER BY lo) || SUBSTR(ANY_VALUE(h), CAST(2 * MAX(hi) + 1 AS BIGINT)) AS kept FROM e JOIN h ON h.doc_id = e.doc_id GROUP BY e.doc_id),
+b AS (SELECT doc_id, h, UNNEST(RANGE(0, GREATEST(LENGTH(h) // 2 - 159, 0))) AS p FROM h),
+t AS (SELECT doc_id, MD5(SUBSTR(h, 2 * p + 1, 320)) AS key FROM b WHERE p = 0 OR SUBSTR(h, 2 * p - 1, 2) = '0A' OR (p >= 2 AND SUBSTR(h, 2 * p - 3, 4) = '2E20')),
+x AS (SELECT key FROM t GROUP BY key HAVING COUNT(DISTINCT doc_id) > 1),
+y AS (SELECT doc_id, COUNT(*) AS n_shared FROM t JOIN x USING (key) GROUP BY doc_id)
+SELECT h.doc_id, CAST(LENGTH(h) // 2 AS BIGINT) AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, COALESCE(n_spans, 0) AS n_spans, SHA256(UNHEX(COALESCE(kept, h))) AS kept_sha256, COALESCE(n_shared, 0) AS n_shared FROM h LEFT JOIN j ON j.doc_id = h.doc_id LEFT JOIN y ON y.doc_id = h.doc_id
 """
 
 SUBSTRING_DEDUP = r"""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import NAME, identified_docs, mix, real_id, settled, spread_join, text_bytes
+from .core import NAME, identified_docs, mix, real_id, settled, slabs, spread_join, text_bytes
 from .repeats import by_name, byte_symbols, count_of, covered, first_doc, is_first, piece_hash, prefix_sums, shared_runs, span_arrays, span_count, spans_by_doc, start_of
 
 GRAM = 128
@@ -288,14 +288,52 @@ def repeat_spans(docs: DataFrame, n: int) -> DataFrame:
     return found if whole is None else found.unionByName(whole)
 
 
-def suffix_dedup(df: DataFrame, n: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shared_starts(docs: DataFrame, length: int) -> DataFrame:
+    """(tag, doc_id, n_shared): sentence starts of a document whose next ``length`` bytes stand at a sentence start of another one too.
+
+    A sentence starts with the text, after a line feed, or after a full stop and a blank.
+    Strings are told apart by two 64-bit hashes, of the whole and of its first half.  Rows
+    equal in id and text are one document, whose starts are counted together.
+    """
+
+    def scan(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(2))
+            for lo, hi in slabs(offsets, 1 << 22):
+                part, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                start = np.zeros(len(part) + 1, bool)
+                start[2:] = (part[1:] == 32) & (part[:-1] == 46)
+                if len(part):
+                    start[offs[:-1][offs[:-1] + 1 < len(part)] + 1] = False  # a stop and a blank of this text
+                    start[1:] |= part == 10
+                start[offs[:-1]] = True
+                at = np.flatnonzero(start)
+                row = np.searchsorted(offs, at, side="right") - 1
+                inside = row < hi - lo
+                at, row = at[inside], row[inside]
+                inside = at + length <= offs[row + 1]
+                at, row = at[inside], row[inside]
+                sums, take = prefix_sums(byte_symbols(part)), pa.array(row + lo)
+                whole, half = (mix(piece_hash(sums, at, at + k)).view(np.int64) for k in (length, length // 2))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(whole), pa.array(half)], names=["tag", "doc_id", "whole", "half"])
+
+    starts = docs.mapInArrow(scan, "tag int, doc_id long, whole long, half long")
+    doc = F.xxhash64(*NAME)
+    known = starts.groupBy("whole", "half").agg(F.count(F.lit(1)).alias("c"), F.min(doc).alias("lo"), F.max(doc).alias("hi")).where("lo <> hi")
+    known = settled(known.select("whole", "half", "c"), "starts")
+    return spread_join(starts, known, ["whole", "half"], "c", doc).groupBy(*NAME).agg(F.count(F.lit(1)).alias("n_shared"))
+
+
+def suffix_dedup(df: DataFrame, n: int = 400, id_col: str = "doc_id", text_col: str = "text", passage: int = 160) -> DataFrame:
     """Remove every byte covered by an ``n``-byte string that starts at another place of the corpus too.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the other
-    bytes, binary: a cut may fall inside a character).  Strings are judged on the input.
+    bytes, binary: a cut may fall inside a character), and n_shared: the sentence starts
+    whose next ``passage`` bytes stand in another document too, which also tells of repeated
+    passages that are too short to be removed.  Strings are judged on the input.
     """
     docs = identified_docs(df, id_col, text_col)
-    spans = spans_by_doc(repeat_spans(docs, n), "spans")
+    found = spans_by_doc(repeat_spans(docs, n), "spans").join(shared_starts(docs, passage), NAME, "full")
 
     def apply(batches):
         for batch in batches:
@@ -309,8 +347,10 @@ def suffix_dedup(df: DataFrame, n: int = 400, id_col: str = "doc_id", text_col:
                     kept, gone, marks = text[~mask], int(mask.sum()), span_count(mask)
                 for o, v in zip(out, (len(text), gone, marks, kept.tobytes())):
                     o.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.binary())], names=["tag", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.binary()), batch.column(4)], names=["tag", "doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_shared"]
+            )
 
-    joined = by_name(docs, spans, "left").select(*NAME, "text", "spans")
-    out = joined.mapInArrow(apply, "tag int, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.select(real_id(), "n_bytes", "n_removed", "n_spans", "kept")
+    joined = by_name(docs, found, "left").select(*NAME, "text", "spans", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+    out = joined.mapInArrow(apply, "tag int, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_shared long")
+    return out.select(real_id(), "n_bytes", "n_removed", "n_spans", "kept", "n_shared")

@@ -73,6 +73,27 @@ def test_bytes_match_brute_force(docs, plain, monkeypatch, group):
     assert bytes_of(suffix_dedup.suffix_dedup(docs)) == brute_bytes(list(plain.items()), 400)
 
 
+def brute_shared(rows, length=160):
+    """Sentence starts whose next bytes stand at a sentence start of another document (rows equal in id and text are one, counted together)."""
+    own = []
+    for d, t, *_ in rows:
+        b = (t or "").encode()
+        own.append([b[p : p + length] for p in range(len(b) - length + 1) if p == 0 or b[p - 1] == 10 or p >= 2 and b[p - 2 : p] == b". "])
+    seen = {}
+    for (d, t, *_), strings in zip(rows, own):
+        for x in strings:
+            seen.setdefault(x, set()).add((d, t))
+    times = Counter((d, t) for d, t, *_ in rows)
+    return sorted(((d, times[d, t] * sum(len(seen[x]) > 1 for x in strings)) for (d, t, *_), strings in zip(rows, own)), key=str)
+
+
+def test_shared_starts_match_brute_force(spark, docs, plain, odd, odd_rows):
+    edge = [(1, "." + "a" * 200), (2, " " + "b" * 200 + ". " + "c" * 160), (3, "\n" + "c" * 160), (4, ". " + "c" * 160), (5, "c" * 159), (6, "x. ")]
+    for df, rows in ((docs, list(plain.items())), (odd, odd_rows), (spark.createDataFrame(edge, "doc_id long, text string"), edge)):
+        got = suffix_dedup.suffix_dedup(df).select("doc_id", "n_shared").collect()
+        assert sorted((tuple(r) for r in got), key=str) == brute_shared(rows)
+
+
 def test_odd_rows(odd, odd_rows):
     """Null, repeated and very large ids, each row's fate."""
     assert words_of(substring_dedup.substring_dedup(odd)) == brute_words(odd_rows)
