@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import settled
+from .core import settled, spread_join
 
 #: Fixed patterns (values given by the data contract), in the order in which kinds are
 #: listed.  A match starts where the last ended or where no longer run precedes it, and
@@ -113,12 +113,12 @@ def term_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def disclosing(near: DataFrame, terms: DataFrame, total: int, entities: DataFrame) -> DataFrame:
-    """(entity, term, share): the pairs that pass the threshold.  ``near`` is (rid, entity, term), one row a place."""
+    """(entity, term, n_et, share): the pairs that pass the threshold.  ``near`` is (rid, entity, term), one row a place."""
     pairs = near.select("rid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= SUPPORT)
     share = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(float(total)) / F.col("n_e"))
     return (
         pairs.join(entities, "entity").join(terms.hint("merge"), "term").where(F.col("n_e") < total)
-        .select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+        .select("entity", "term", "n_et", share.alias("share")).where(F.col("share") >= GENERALISE)
     )
 
 
@@ -141,7 +141,7 @@ def pii_sanitiser(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = scanned.where("near is not null").select("rid", F.explode("near").alias("x")).select("rid", "x.*")
     entities = scanned.where("size(base) > 0").select("rid", F.explode(F.array_distinct(F.transform("base", lambda x: F.lower(x["value"])))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     flagged = settled(disclosing(near, term_documents(df, text_col), total, entities), "flagged")
-    hits = near.join(flagged.hint("merge"), ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("share").alias("share"))
+    hits = spread_join(near, flagged, ["entity", "term"], "n_et", F.xxhash64("rid", "start")).groupBy("rid", "start", "end").agg(F.max("share").alias("share"))
     lists = settled(hits.groupBy("rid").agg(F.collect_list(F.struct(F.col("start"), F.lit(len(KINDS) - 1).alias("kind"), F.col("end"), F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("value"))).alias("terms")), "terms")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     out = scanned.join(lists.hint("merge"), "rid", "left").withColumn("all", F.array_sort(F.concat("base", F.coalesce("terms", none))))
