@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import settled
+
 
 def tagged(real: DataFrame, fake: DataFrame, cols: list[str], cast: str | None = None) -> DataFrame:
     """Both tables as one, with ``src`` real or fake, and only ``cols``."""
@@ -85,7 +87,8 @@ def cumulative_counts(real: DataFrame, fake: DataFrame, cols: list[str], parts:
 
 
 def with_mean(per_col: DataFrame, value: str, key: str = "col", name: str = "__mean__") -> DataFrame:
-    """Append the mean over all rows as one more row, under ``name``."""
+    """Append the mean over all rows as one more row, under ``name``; the rows (one a column) are settled, not worked out twice."""
+    per_col = settled(per_col.select(key, value), "columns")
     return per_col.select(key, value).unionByName(per_col.agg(F.avg(value).alias(value)).select(F.lit(name).alias(key), value))
 
 

@@ -75,10 +75,10 @@ def kolmogorov_smirnov(real: DataFrame, fake: DataFrame, cols: list[str]) -> Dat
 
 def wasserstein(real: DataFrame, fake: DataFrame, cols: list[str]) -> DataFrame:
     """1-Wasserstein distance after scaling by the real column's range."""
-    cum = cumulative_counts(real, fake, cols)
-    ends = cum.where("n_real > 0").groupBy("col").agg((F.max("value") - F.min("value")).alias("range"))
-    area = cum.groupBy("col").agg(F.sum(F.abs(F.col("f_real") - F.col("f_fake")) * (F.col("next_value") - F.col("value"))).alias("area"))
-    return with_mean(area.join(ends, "col").select("col", F.try_divide("area", "range").alias("wasserstein")), "wasserstein")
+    seen = F.when(F.col("n_real") > 0, F.col("value"))
+    area = F.sum(F.abs(F.col("f_real") - F.col("f_fake")) * (F.col("next_value") - F.col("value")))
+    per = cumulative_counts(real, fake, cols).groupBy("col").agg(area.alias("area"), (F.max(seen) - F.min(seen)).alias("range"))
+    return with_mean(per.select("col", F.try_divide("area", "range").alias("wasserstein")), "wasserstein")
 
 
 def _contingency(real: DataFrame, fake: DataFrame, cols: list[str]) -> DataFrame:
