@@ -30,3 +30,19 @@ m AS (SELECT u.doc_id, word, u.ix, g.ix IS NOT NULL AS gone FROM u LEFT JOIN g O
 s AS (SELECT doc_id, COUNT(*) FILTER (gone) AS n_removed, STRING_AGG(word, ' ' ORDER BY ix) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
 SELECT w.doc_id, LEN(ws) AS n_words, COALESCE(n_removed, 0) AS n_removed, SHA256(COALESCE(kept, '')) AS kept_sha256 FROM w LEFT JOIN s ON s.doc_id = w.doc_id
 """
+
+PREFIX_TRIE = r"""
+WITH t AS (SELECT conv_id, LIST({'r': COALESCE(role, ''), 't': COALESCE(text, '')} ORDER BY turn NULLS FIRST) AS ts FROM conversations GROUP BY conv_id),
+b AS (SELECT conv_id, ts, LIST_TRANSFORM(RANGE(0, 8 * LENGTH(CAST(conv_id AS VARCHAR))), lambda k: (ASCII(SUBSTR(CAST(conv_id AS VARCHAR), CAST(k // 8 + 1 AS BIGINT), 1)) >> CAST(k % 8 AS INTEGER)) & 1) AS bits FROM t),
+c AS (SELECT conv_id, ts, XOR(LIST_REDUCE(LIST_PREPEND(CAST(4294967295 AS BIGINT), LIST_TRANSFORM(bits, lambda x: CAST(x AS BIGINT))), lambda x, y: CASE WHEN (x & 1) <> y THEN XOR(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END), CAST(4294967295 AS BIGINT)) % 4 AS h FROM b),
+m AS (SELECT c.conv_id, CASE WHEN c.conv_id % 20 = 0 THEN c.ts ELSE LIST_CONCAT(COALESCE(f.ts[1:c.h], []), c.ts[c.h + 1:]) END AS ts FROM c LEFT JOIN t AS f ON f.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, ts, UNNEST(RANGE(0, LEN(ts) + 1)) AS d FROM m),
+q AS (SELECT conv_id, d, LEN(ts) = d AS is_end, ts[1:d] AS k, CASE WHEN d > 0 THEN ts[1:d - 1] END AS up, CASE WHEN d > 0 THEN LEN(REGEXP_EXTRACT_ALL(ts[d].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words FROM p),
+n AS (SELECT d, k, ANY_VALUE(up) AS up, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs, ANY_VALUE(words) AS words, SHA256(COALESCE(STRING_AGG(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256 FROM q GROUP BY d, k),
+s AS (SELECT d - 1 AS d, up AS k, COUNT(*) AS n_children FROM n WHERE d > 0 GROUP BY d, up),
+w AS (SELECT n.*, COALESCE(n_children, 0) AS n_children FROM n LEFT JOIN s ON s.d = n.d AND s.k = n.k),
+a AS (SELECT k AS low, UNNEST(RANGE(0, d + 1)) AS d, n_convs, words, n_children FROM w),
+g AS (SELECT d, low[1:d] AS k, COUNT(*) FILTER (n_children = 0) AS n_leaves, SUM((n_convs - 1) * words) AS saved_tokens FROM a GROUP BY d, low[1:d])
+SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, g.n_leaves, CAST(g.saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM w JOIN g ON g.d = w.d AND g.k = w.k LEFT JOIN w AS u ON u.d = w.d - 1 AND u.k = w.up
+"""

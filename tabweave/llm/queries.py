@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import core, decontamination, kd_sharding, language_id, oracles, packing, pii_sanitiser, quality_rules, secret_scan, simhash_dedup, substring_dedup, suffix_dedup
+from . import alignment, core, decontamination, kd_sharding, language_id, oracles, packing, pii_sanitiser, prefix_trie, quality_rules, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, url_filter
 
 
 def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,17 +52,29 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(core.documents(spark, sf_dir), benchmark)
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where the public vocabulary lies; the package that names it is installed on every node."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(core.documents(spark, sf_dir), tokenizer_path(), capacity=2048, keep_ids=False)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), family=20, shared=4)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_tokenizer_alignment(core.documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_sharding": op1_kd_sharding,
     "op2_quality_rules": op2_quality_rules,
@@ -74,10 +86,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_url_filter": op12_url_filter,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 #: The other queries learn from the data, tokenise, or hash in ways that SQL does not have; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op6_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op8_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op11_prefix_trie": oracles.PREFIX_TRIE,
 }
