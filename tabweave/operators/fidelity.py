@@ -217,17 +217,17 @@ def vector_kl(real: DataFrame, fake: DataFrame, col: str, order: str) -> DataFra
 
 
 def score_card(real: DataFrame, fake: DataFrame, discrete: list[str], continuous: list[str]) -> DataFrame:
-    """All similarity scores as one long table (metric, value)."""
+    """All similarity scores as one long table (metric, value), by the names that H1 knows."""
     last = lambda df, v: df.where("col = '__mean__'").select(F.col(v).alias("value"))
     parts = {
-        "kl_discrete": last(kl_discrete(real, fake, discrete), "kl"),
-        "kl_continuous": last(kl_continuous(real, fake, continuous), "kl"),
-        "chi2": last(chi_square(real, fake, discrete), "chi2"),
-        "ks": last(kolmogorov_smirnov(real, fake, continuous), "ks"),
-        "cramers_v_diff": mean_difference(cramers_v(real, fake, discrete)).select(F.col("mean_diff").alias("value")),
-        "pearson_diff": mean_difference(pearson(real, fake, continuous)).select(F.col("mean_diff").alias("value")),
-        "dwp": dimension_probability(real, fake, discrete).select(F.col("dwp").alias("value")),
-        "dwm": last(dimension_mean(real, fake, continuous), "distance"),
+        "kl_divergence_discrete": last(kl_discrete(real, fake, discrete), "kl"),
+        "kl_divergence_continuous": last(kl_continuous(real, fake, continuous), "kl"),
+        "chisquare_discrete": last(chi_square(real, fake, discrete), "chi2"),
+        "kolmogorov_smirnov_continuous": last(kolmogorov_smirnov(real, fake, continuous), "ks"),
+        "cramer_discrete": mean_difference(cramers_v(real, fake, discrete)).select(F.col("mean_diff").alias("value")),
+        "pearson_continuous": mean_difference(pearson(real, fake, continuous)).select(F.col("mean_diff").alias("value")),
+        "dwp_discrete": dimension_probability(real, fake, discrete).select(F.col("dwp").alias("value")),
+        "dwp_continuous": last(dimension_mean(real, fake, continuous), "distance"),
     }
     return reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(k).alias("metric"), "value") for k, df in parts.items()])
 

@@ -13,7 +13,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.neighbours import kde, knn_topk
+from ..functions.neighbours import kde, knn_topk, replicate_distances
+from ..functions.predicates import match_counts
 from ..functions.order import numbered, numbered_by_value, quantile, seeded, uniform
 from ..functions.scratch import settled
 from .encode import Pca
@@ -102,8 +103,9 @@ def entropies(df: DataFrame, cols: list[str]) -> dict[str, float]:
     """Entropy (natural) of each column's rounded values."""
     cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.rint(F.col(c).cast("double")).alias("v")) for c in cols])).alias("x")).select("x.*")
     counts = cells.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
-    p = F.col("n") / F.sum("n").over(Window.partitionBy("col"))
-    return {r["col"]: r["e"] for r in counts.withColumn("p", p).groupBy("col").agg((-F.sum(F.col("p") * F.ln("p"))).alias("e")).collect()}
+    # -sum p ln p with p = n / total, in sums that need no table of a column's values in one place
+    sums = counts.groupBy("col").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.ln("n")).alias("s"))
+    return {r["col"]: r["e"] for r in sums.select("col", (F.ln("total") - F.col("s") / F.col("total")).alias("e")).collect()}
 
 
 def re_identification(real: DataFrame, fake: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
@@ -138,10 +140,26 @@ def dcr_nndr(real: DataFrame, fake: DataFrame, id_col: str, cols: list[str], exa
 
 
 def bootstrap_dcr_nndr(real: DataFrame, fake: DataFrame, id_col: str, cols: list[str], replicates: int = 100, share: float = 0.15, seed: int = 42) -> DataFrame:
-    """(replicate, dcr_5, nndr_5) over samples of ``share`` of both tables, drawn by hash."""
-    pick = lambda df, b, side: df.where(uniform(f"{seed}|{side}|{b}", id_col) < share)
-    parts = [dcr_nndr(pick(real, b, "r"), pick(fake, b, "f"), id_col, cols, exact=False).select(F.lit(b).alias("replicate"), "dcr_5", "nndr_5") for b in range(replicates)]
-    return reduce(lambda x, y: x.unionByName(y), parts)
+    """(replicate, dcr_5, nndr_5) over samples of ``share`` of both tables, drawn by hash; each sample is standardised by itself.
+
+    Replicates are a column: a row names those that it is in, the neighbours of all are
+    sought in one pass, and percentiles (linear between neighbours) come from one
+    numbering within replicates.  A replicate without rows on either side has no row; nndr
+    leaves out rows whose second distance is 0 or missing.
+    """
+    def drawn(df: DataFrame, side: str) -> DataFrame:
+        reps = F.filter(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda b: uniform(f"{seed}|{side}", b, id_col) < share)
+        return df.withColumn("reps", reps).where(F.size("reps") > 0)
+
+    near = replicate_distances(drawn(real, "r"), drawn(fake, "f"), id_col, cols, replicates)
+    cells = F.array(F.struct(F.lit("dcr").alias("what"), F.col("first").alias("v")), F.struct(F.lit("nndr").alias("what"), F.try_divide("first", "second").alias("v")))
+    long = settled(near.select(F.col("rep").alias("replicate"), F.explode(cells).alias("x")).select("replicate", "x.*").where("v is not null"), "distances")
+    placed = numbered_by_value(long, F.col("v"), ["replicate", "what"])
+    sizes = long.groupBy("replicate", "what").agg(((F.count(F.lit(1)) - 1) * 0.05).alias("at"))
+    after = F.col("pos") - 1 - F.floor("at")
+    weight = F.when(after == 0, 1 - (F.col("at") - F.floor("at"))).when(after == 1, F.col("at") - F.floor("at"))
+    fifth = placed.join(F.broadcast(sizes), ["replicate", "what"]).where(after.isin(0, 1)).groupBy("replicate", "what").agg(F.sum(weight * F.col("v")).alias("v"))  # two sizes a replicate
+    return fifth.groupBy("replicate").agg(*[F.max(F.when(F.col("what") == w, F.col("v"))).alias(f"{w}_5") for w in ("dcr", "nndr")])
 
 
 def privacy_distances(real: DataFrame, fake: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
@@ -168,33 +186,37 @@ def zero_cap(real: DataFrame, fake: DataFrame, keys: list[str], sensitive: list[
     return cap.agg((1 - F.sum(F.col("cap") * F.col("w")) / F.sum("w")).alias("zero_cap"))
 
 
-def generalised_cap(real: DataFrame, fake: DataFrame, keys: list[str], sensitive: list[str], blocks: int = 64) -> DataFrame:
+def generalised_cap(real: DataFrame, fake: DataFrame, keys: list[str], sensitive: list[str]) -> DataFrame:
     """As G9, but over the synthetic rows whose keys differ in the fewest columns.
 
-    For every set of columns that may be ignored, distinct keys meet by an equi-join on
-    the others, fewest ignored first: no pairing of all keys with all.
+    The sets of key columns form a lattice: grouping sets over the synthetic table count
+    its rows for every set at once, the real groups name their values in every set, and
+    both meet by (set, values).  The least level at which a real group met anything counts.
+    A set that leaves out all keys meets everything, so each group has a level.  For up to
+    ten key columns or so: the lattice has 2^keys sets.
     """
-    from itertools import combinations
-
     text = lambda df: df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(c) for c in [*keys, *sensitive]])
     r, f = text(real), text(fake)
-    left, out = r.select(*keys).distinct(), None
+    n = len(keys)
+    chosen = [[c for i, c in enumerate(keys) if not gone >> (n - 1 - i) & 1] for gone in range(1 << n)]
+    # bit by bit, from the first key on, gid tells which keys are left out
+    lattice = f.groupingSets([[*map(F.col, some), *map(F.col, sensitive)] for some in chosen], *keys, *sensitive).agg(F.count(F.lit(1)).alias("nks"), F.grouping_id().alias("gid"))
+    lattice = lattice.select(F.shiftright("gid", len(sensitive)).alias("gid"), *keys, *sensitive, "nks")
+    by_key = lattice.groupBy("gid", *keys).agg(F.sum("nks").alias("nk"))
     groups = r.groupBy(*keys, *sensitive).agg(F.count(F.lit(1)).alias("w"))
-    for level in range(len(keys) + 1):
-        found = None
-        for gone in combinations(keys, level):
-            rest = [k for k in keys if k not in gone]
-            # at the least level, a match on the rest differs in all ignored columns: else an earlier level had it
-            n_k = f.groupBy(*rest).agg(F.count(F.lit(1)).alias("nk"))
-            n_ks = f.groupBy(*rest, *sensitive).agg(F.count(F.lit(1)).alias("nks"))
-            mine = left.join(n_k, rest) if rest else left.crossJoin(F.broadcast(n_k)).where("nk > 0")  # one row
-            part = groups.join(mine, keys).join(n_ks, [*rest, *sensitive], "left").select(*keys, *sensitive, "w", "nk", F.coalesce("nks", F.lit(0)).alias("nks"))
-            found = part if found is None else found.unionByName(part)
-        found = settled(found, "cap")  # each level's plan would hold all before it
-        level_cap = found.groupBy(*keys, *sensitive).agg(F.first("w").alias("w"), (F.sum("nks") / F.sum("nk")).alias("cap"))
-        out = level_cap if out is None else out.unionByName(level_cap)
-        left = settled(left.join(found.select(*keys).distinct(), keys, "left_anti"), "left")
-    return out.agg((1 - F.sum(F.col("cap") * F.col("w")) / F.sum("w")).alias("generalised_cap"))
+    left_out = lambda i: F.shiftright("gid", n - 1 - i).bitwiseAND(1) == 1
+    wanted = groups.withColumn("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << n) - 1).cast("long"))))
+    wanted = wanted.select("gid", *[F.when(~left_out(i), F.col(c)).alias(f"_{c}") for i, c in enumerate(keys)], *[F.col(c).alias(f"={c}") for c in keys], *sensitive, "w")
+    same = lambda t: reduce(lambda a, b: a & b, [F.col(f"_{c}").eqNullSafe(t[c]) for c in keys], wanted["gid"] == t["gid"])
+    met = wanted.join(by_key, same(by_key)).select(wanted["gid"], *[f"_{c}" for c in keys], *[f"={c}" for c in keys], *sensitive, "w", "nk")
+    hits = lattice.select(F.col("gid").alias("_gid"), *[F.col(c).alias(f"~{c}") for c in keys], *[F.col(c).alias(f"~{c}") for c in sensitive], "nks")
+    on = reduce(lambda a, b: a & b, [F.col(f"_{c}").eqNullSafe(F.col(f"~{c}")) for c in keys] + [F.col(c) == F.col(f"~{c}") for c in sensitive], F.col("gid") == F.col("_gid"))
+    both = met.join(hits, on, "left")
+    level = F.bit_count("gid").alias("level")
+    own = [f"={c}" for c in keys] + sensitive
+    levels = both.groupBy(*own, level).agg(F.first("w").alias("w"), F.sum("nk").alias("nk"), F.sum(F.coalesce("nks", F.lit(0))).alias("nks"))
+    least = levels.groupBy(*own).agg(F.min(F.struct("level", "w", "nk", "nks")).alias("x")).select("x.*")
+    return least.agg((1 - F.sum(F.col("nks") / F.col("nk") * F.col("w")) / F.sum("w")).alias("generalised_cap"))
 
 
 # --- G11-G15: attacks ---------------------------------------------------------------------------------
@@ -245,35 +267,26 @@ def singling_out_multivariate(real: DataFrame, fake: DataFrame, hold: DataFrame,
     """Conjunctions of ``n_cols`` conditions taken from sampled synthetic rows; how many single out one row.
 
     A condition on a number is at least, or at most, its value, by the side of fake's
-    median it lies on; on a category it is equality.  The stated predicates (``attacks`` of
-    them) go to every task, which counts matches of its rows; counts are added up.
+    median it lies on; on a category it is equality.  Nulls give no condition, and so does
+    a number whose column has no median; nulls match none.  Predicates without a condition
+    are none.  The stated predicates (``attacks`` of them) go to every task, which finds
+    them through an index of their bounds.
     """
     types = dict(fake.dtypes)
     number = [c for c in cols if types[c] not in ("string", "boolean")]
-    med = fake.agg(*[F.percentile_approx(c, 0.5).alias(c) for c in number]).first() if number else {}
-    rows = fake.withColumn("_h", seeded(seed, id_col)).orderBy("_h").limit(attacks).select(id_col, *cols).collect()  # attacks rows
+    med = fake.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5).alias(c) for c in number]).first() if number else {}
+    use = [c for c in cols if c not in number or med[c] is not None]
+    told = [F.col(c).cast("double" if c in number else "string").alias(c) for c in use]
+    rows = fake.withColumn("_h", seeded(seed, id_col)).orderBy("_h").limit(attacks).select(F.col(id_col).alias("_id"), *told).collect()  # attacks rows
+    known = lambda v: v is not None and v == v  # noqa: E731  not NaN
     preds = []
     for r in rows:
-        rng = np.random.default_rng([seed, zlib.crc32(str(r[id_col]).encode())])
-        preds.append([(c, ("<=" if r[c] <= med[c] else ">=") if c in number else "=", r[c]) for c in (cols[i] for i in sorted(rng.permutation(len(cols))[:n_cols])) if r[c] is not None])
+        rng = np.random.default_rng([seed, zlib.crc32(str(r["_id"]).encode())])
+        preds.append([(c, ("<=" if r[c] <= med[c] else ">=") if c in number else "=", r[c]) for c in (use[i] for i in sorted(rng.permutation(len(use))[:n_cols])) if known(r[c])])
     guess = np.random.default_rng(seed)
-    base = [[(c, str(guess.choice(["<=", ">="])) if c in number else "=", rows[int(guess.integers(len(rows)))][c]) for c in (cols[i] for i in guess.permutation(len(cols))[:n_cols])] for _ in rows]
-
-    def matches(df: DataFrame, wanted: list) -> DataFrame:
-        def scan(batches):
-            total = np.zeros(len(wanted), np.int64)
-            for batch in batches:
-                data = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(cols)}
-                for k, p in enumerate(wanted):
-                    ok = np.ones(batch.num_rows, bool)
-                    for c, op, v in p:
-                        ok &= data[c] <= v if op == "<=" else data[c] >= v if op == ">=" else data[c] == v
-                    total[k] += ok.sum()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(wanted))), pa.array(total)], names=["k", "m"])
-
-        return df.select(*cols).mapInArrow(scan, "k long, m long").groupBy("k").agg(F.sum("m").alias("m"))
-
-    one = lambda df, p, n: matches(df, p).agg(F.count_if(F.col("m") == 1).alias(n))
+    base = [[(c, str(guess.choice(["<=", ">="])) if c in number else "=", rows[int(guess.integers(len(rows)))][c]) for c in (use[i] for i in guess.permutation(len(use))[:n_cols])] for _ in rows]
+    preds, base = [p for p in preds if p], [p for p in ([x for x in p if known(x[2])] for p in base) if p]
+    one = lambda df, p, n: match_counts(df, p, use).agg(F.count_if(F.col("m") == 1).alias(n))
     rates = one(real, preds, "n_attack").crossJoin(one(hold, preds, "n_control")).crossJoin(one(real, base, "n_baseline"))  # one row each
     return risk(rates.withColumn("n", F.lit(len(preds)).cast("long")))
 
@@ -423,35 +436,47 @@ def ledger_delta(ledger: DataFrame, epsilon: float, orders: tuple[float, ...] =
     return best.select("run", F.exp("log_delta").alias("delta"), "log_delta", "best_order")
 
 
-def score_card(real: DataFrame, fake: DataFrame, hold: DataFrame, id_col: str, keys: list[str], sensitive: list[str], numeric: list[str], replicates: int = 5) -> DataFrame:
-    """(metric, value): a long table of the privacy metrics of one run.
+def rates_card(rates: DataFrame, name: str, suffix: Column | str = "") -> DataFrame:
+    """(metric, value): the risk of an attack, and by how much it beats the control and the guesses."""
+    named = lambda kind: F.concat(F.lit(f"{name}_{kind}"), F.lit(suffix) if isinstance(suffix, str) else suffix).alias("metric")
+    a, c, b = (F.col(f"{k}_rate") for k in ("attack", "control", "baseline"))
+    cells = [F.struct(named(kind), value.alias("value")) for kind, value in (("risk", F.col("risk")), ("train_vs_control", a - c), ("train_vs_naive", a - b))]
+    return rates.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
+def score_card(real: DataFrame, fake: DataFrame, hold: DataFrame, id_col: str, keys: list[str], sensitive: list[str], numeric: list[str], replicates: int = 100, attacks: int = 500) -> DataFrame:
+    """(metric, value): a long table of the privacy metrics of one run, by names that H1 knows.
 
     Columns of ``numeric`` are clustered, and neighbours are sought in them; densities are
-    taken over their two leading principal components.  DCR and NNDR are also given as means
-    over ``replicates`` samples.
+    taken over their two leading principal components.  DCR and NNDR are means over
+    ``replicates`` samples.  Names that end in _exact are those of key classes (G5) instead
+    of clusters, those in _full of whole tables instead of samples.
     """
     near = settled(dcr_nndr(real, fake, id_col, numeric), "near")
-    boot = settled(bootstrap_dcr_nndr(real, fake, id_col, numeric, replicates), "boot")
+    boot = bootstrap_dcr_nndr(real, fake, id_col, numeric, replicates).agg(F.avg("dcr_5").alias("d"), F.avg("nndr_5").alias("n"))
     cells = lambda df, names: df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("value")) for n, c in names.items()])).alias("x")).select("x.*")
     axes = Pca(numeric, 1.0).fit(real)
     axes.axes = axes.axes[:2]
     low = [axes.transform(df.select(id_col, *numeric)) for df in (real, fake, hold)]
     half = len(numeric) // 2
-    links = linkability(real, fake, hold, id_col, numeric[:half], numeric[half:]) if half else None
+    exact = {"k_anonymity": "dp_k_anonymization_synthetic_exact", "l_diversity": "dp_l_diversity_synthetic_exact", "k_map": "dp_k_map_exact", "delta_presence": "dp_delta_presence_exact"}
+    name = reduce(lambda w, kv: w.when(F.col("metric") == kv[0], kv[1]), exact.items(), F.when(F.lit(False), ""))
+    columns = [*keys, *numeric]
     parts = [
-        class_risk(real, fake, keys, sensitive).select("metric", F.col("fake").alias("value")),
-        cells(k_anonymity(real, fake, numeric), {"cluster_k_anonymity": "fake", "cluster_k_anonymity_safe": "safe"}),
-        cells(l_diversity(real, fake, numeric, keys), {"cluster_l_diversity": "fake", "cluster_l_diversity_safe": "safe"}),
-        cells(k_map(real, fake, numeric), {"cluster_k_map": "value"}),
-        cells(delta_presence(real, fake, numeric), {"cluster_delta_presence": "value"}),
-        cells(zero_cap(real, fake, keys, sensitive), {"zero_cap": "zero_cap"}),
-        cells(generalised_cap(real, fake, keys, sensitive), {"generalised_cap": "generalised_cap"}),
-        cells(re_identification(real, fake, id_col, numeric), {"re_identification": "re_identification"}),
-        cells(near, {"dcr_5": "dcr_5", "nndr_5": "nndr_5"}),
-        cells(boot.agg(F.avg("dcr_5").alias("d"), F.avg("nndr_5").alias("n")), {"dcr_5_bootstrap": "d", "nndr_5_bootstrap": "n"}),
-        cells(singling_out_univariate(real, fake, hold, keys, numeric), {"singling_out_risk": "risk"}),
-        *([links.select(F.concat(F.lit("linkability_risk_"), "n_neighbors").alias("metric"), F.col("risk").alias("value"))] if links else []),
-        *[cells(inference(real, fake, hold, id_col, numeric, s), {f"inference_risk_{s}": "risk"}) for s in sensitive],
-        cells(density_attack(*low, id_col, ["pc0", "pc1"][: len(axes.axes)]), {"density_accuracy": "accuracy", "density_auc": "auc"}),
+        class_risk(real, fake, keys, sensitive).select(name.alias("metric"), F.col("fake").alias("value")),
+        cells(k_anonymity(real, fake, numeric), {"dp_k_anonymization_synthetic": "fake", "dp_k_anonymization_safe": "safe"}),
+        cells(l_diversity(real, fake, numeric, keys), {"dp_l_diversity_synthetic": "fake", "dp_l_diversity_safe": "safe"}),
+        cells(k_map(real, fake, numeric), {"dp_k_map": "value"}),
+        cells(delta_presence(real, fake, numeric), {"dp_delta_presence": "value"}),
+        cells(re_identification(real, fake, id_col, numeric), {"dp_re_identification_score": "re_identification"}),
+        cells(density_attack(*low, id_col, ["pc0", "pc1"][: len(axes.axes)]), {"dp_domias_mia_accuracy": "accuracy", "dp_domias_mia_auc": "auc"}),
+        cells(zero_cap(real, fake, keys, sensitive), {"dp_categorical_zero_cap": "zero_cap"}),
+        cells(generalised_cap(real, fake, keys, sensitive), {"dp_categorical_generalized_cap": "generalised_cap"}),
+        cells(boot, {"dp_dcr_rf": "d", "dp_nndr_rf": "n"}),
+        cells(near, {"dp_dcr_rf_full": "dcr_5", "dp_nndr_rf_full": "nndr_5"}),
+        rates_card(singling_out_univariate(real, fake, hold, keys, numeric), "dp_single_out", "_1"),
+        *[rates_card(singling_out_multivariate(real, fake, hold, id_col, columns, n, attacks), "dp_single_out", f"_{n}") for n in (2, 4, 8) if n <= len(columns)],
+        *([linkability(real, fake, hold, id_col, numeric[:half], numeric[half:]).select(F.concat(F.lit("dp_linkability_"), "n_neighbors").alias("metric"), F.col("risk").alias("value"))] if half else []),
+        *[cells(inference(real, fake, hold, id_col, numeric, s), {f"dp_inference_{s}": "risk"}) for s in sensitive],
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)

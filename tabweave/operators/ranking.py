@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import normal
+from ..functions import normal, special
 from ..functions.order import uniform
 
 #: Stand-in for values that are not finite (fixed value).
@@ -226,19 +229,45 @@ def symbols(pairs: DataFrame) -> DataFrame:
 def win_rate(table: DataFrame, by: list[str] = (), replicates: int = 1000, seed: int = 42) -> DataFrame:
     """(by, win_rate, se, n): mean rank of variant b against a, less 1, and its bootstrap standard error.
 
-    ``table`` has id, oriented a and b.  A replicate draws as many rows as there are; how
-    often a row is drawn is a hashed Poisson count, so replicates need no joins.
+    ``table`` has oriented a and b.  A replicate draws as many rows as there are, with
+    replacement.  Rows of equal outcome (win, tie, loss) are interchangeable, so a replicate
+    is a multinomial draw of their counts: ties first, then wins among the rest, each a
+    binomial that is inverted at a hashed uniform.  Its cost depends on groups and
+    replicates, not on rows.
     """
-    win = F.when(F.col("b") > F.col("a"), 1.0).when(F.col("b") == F.col("a"), 0.5).otherwise(0.0)
-    rows = table.select(*by, "id", win.alias("w"))
-    out = rows.groupBy(*by).agg(F.avg("w").alias("win_rate"), F.count(F.lit(1)).alias("n"))
+    outcome = lambda cond, n: F.count_if(cond).alias(n)
+    counts = table.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), outcome(F.col("b") > F.col("a"), "wins"), outcome(F.col("b") == F.col("a"), "ties"))
+    rate = F.try_divide(F.col("wins") + F.col("ties") / 2.0, F.col("n"))
     if not replicates:
-        return out
-    # equal outcomes are interchangeable: replicates work on their counts
-    u = uniform(seed, "id", "rep")
-    # Poisson(1) by inversion, to 8 draws
-    steps = [sum(math.exp(-1) / math.factorial(i) for i in range(j + 1)) for j in range(8)]
-    times = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).groupBy(*by, "rep").agg(F.try_divide(F.sum(times * F.col("w")), F.sum(times).cast("double")).alias("m"))
-    se = reps.groupBy(*by).agg(F.stddev_pop("m").alias("se"))
-    return out.join(se, list(by)) if by else out.crossJoin(se)  # one row each
+        return counts.select(*by, rate.alias("win_rate"), "n")
+    reps = counts.where("n > 0").select(*by, "n", "wins", "ties", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+    u = lambda what: uniform(f"{seed}|{what}", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by], "rep").alias(f"u_{what}")
+    drawn = reps.select(*by, "n", "wins", "ties", u("tie"), u("win"))
+    means = drawn.mapInArrow(_multinomial_means(len(by)), T.StructType([*[counts.schema[c] for c in by], T.StructField("m", T.DoubleType())]))
+    se = means.groupBy(*by).agg(F.stddev_pop("m").alias("se"))
+    out = counts.select(*by, rate.alias("win_rate"), "n")
+    if not by:
+        return out.crossJoin(se)  # one row each
+    key = lambda c: F.col(f"_{c}").eqNullSafe(F.col(c))
+    return out.join(se.select(*[F.col(c).alias(f"_{c}") for c in by], "se"), reduce(lambda a, b: a & b, [key(c) for c in by])).drop(*[f"_{c}" for c in by])
+
+
+def _multinomial_means(keys: int):
+    """Arrow batches of (keys, n, wins, ties, u_tie, u_win) to (keys, mean rank less 1 of the draw)."""
+
+    def told(batches):
+        for batch in batches:
+            n, wins, ties, u_tie, u_win = (batch.column(keys + i).to_numpy() for i in range(5))
+            mean = np.empty(len(n))
+            sets, of = np.unique(np.stack([n, wins, ties], 1), axis=0, return_inverse=True)
+            for k, (total, won, tied) in enumerate(sets):
+                rows = np.flatnonzero(of.reshape(-1) == k)
+                t = special.binomial_quantile(u_tie[rows], int(total), tied / total)
+                w = np.zeros(len(rows), np.int64)
+                for drawn in np.unique(t):  # a few deviations' worth of counts
+                    same = t == drawn
+                    w[same] = special.binomial_quantile(u_win[rows[same]], int(total - drawn), won / (total - tied) if total > tied else 0.0)
+                mean[rows] = (w + t / 2) / total
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(keys)], pa.array(mean)], names=[*batch.schema.names[:keys], "m"])
+
+    return told

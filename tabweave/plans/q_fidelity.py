@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from ..operators import fidelity as E
+from ..operators import ranking as H
 from .fixtures import CONT, DISC, FAKE, REAL, cells, counts, mean_sql, rounded, table, thirds, union_all
 from .registry import register
 
@@ -211,14 +213,14 @@ def _avg(sql: str, value: str) -> str:
 
 
 _CARD = {
-    "kl_discrete": f"(WITH {counts(DISC)}, m AS (SELECT col, SUM({KL.format(p='p', q='q')}) AS x FROM s GROUP BY col) SELECT AVG(x) FROM m)",
-    "kl_continuous": f"(WITH r AS (SELECT {_moments(CONT)} FROM {REAL}), f AS (SELECT {_moments(CONT)} FROM {FAKE}), m AS ({_E2}) SELECT AVG(kl) FROM m)",
-    "chi2": f"(WITH {counts(DISC)}, m AS (SELECT col, SUM((p - q) * (p - q) / q) AS x FROM s GROUP BY col) SELECT AVG(x) FROM m)",
-    "ks": f"(WITH {_CUM}, m AS (SELECT col, MAX(ABS(fr - ff)) AS x FROM c GROUP BY col) SELECT AVG(x) FROM m)",
-    "cramers_v_diff": f"(SELECT AVG(ABS(v_real - v_fake)) FROM ({_E5}) x)",
-    "pearson_diff": f"(SELECT AVG(ABS(r_real - r_fake)) FROM ({_E6}) x)",
-    "dwp": f"(WITH {counts(DISC, nulls=True)} SELECT AVG(ABS(p - q) / SQRT(2)) FROM s WHERE n_real > 0)",
-    "dwm": f"(SELECT AVG(distance) FROM ({_E9}) x)",
+    "kl_divergence_discrete": f"(WITH {counts(DISC)}, m AS (SELECT col, SUM({KL.format(p='p', q='q')}) AS x FROM s GROUP BY col) SELECT AVG(x) FROM m)",
+    "kl_divergence_continuous": f"(WITH r AS (SELECT {_moments(CONT)} FROM {REAL}), f AS (SELECT {_moments(CONT)} FROM {FAKE}), m AS ({_E2}) SELECT AVG(kl) FROM m)",
+    "chisquare_discrete": f"(WITH {counts(DISC)}, m AS (SELECT col, SUM((p - q) * (p - q) / q) AS x FROM s GROUP BY col) SELECT AVG(x) FROM m)",
+    "kolmogorov_smirnov_continuous": f"(WITH {_CUM}, m AS (SELECT col, MAX(ABS(fr - ff)) AS x FROM c GROUP BY col) SELECT AVG(x) FROM m)",
+    "cramer_discrete": f"(SELECT AVG(ABS(v_real - v_fake)) FROM ({_E5}) x)",
+    "pearson_continuous": f"(SELECT AVG(ABS(r_real - r_fake)) FROM ({_E6}) x)",
+    "dwp_discrete": f"(WITH {counts(DISC, nulls=True)} SELECT AVG(ABS(p - q) / SQRT(2)) FROM s WHERE n_real > 0)",
+    "dwp_continuous": f"(SELECT AVG(distance) FROM ({_E9}) x)",
 }
 
 
@@ -228,6 +230,24 @@ def e17(spark, sf):
     return rounded(E.score_card(real, fake, DISC, CONT), "value", digits=4)
 
 
+RUNS = 3
+_RUN = "(SELECT * FROM lineitem WHERE l_orderkey % 10 BETWEEN 5 AND 7 AND l_suppkey % {n} = {k})"
+_LOWER = "('kl_divergence_discrete', 'kl_divergence_continuous', 'chisquare_discrete', 'dwp_discrete', 'dwp_continuous')"
+_CARDS = union_all([f"SELECT {k} AS tid, '{m}' AS metric, ROUND({v.replace(FAKE, _RUN.format(n=RUNS, k=k))}, 6) AS value" for k in range(RUNS) for m, v in _CARD.items()])
+
+
+@register(
+    "h03_card_losses",
+    f"WITH card AS ({_CARDS}), o AS (SELECT tid, metric, CASE WHEN metric IN {_LOWER} THEN -value ELSE value END AS score FROM card), "
+    "r AS (SELECT tid, RANK() OVER (PARTITION BY metric ORDER BY score) + (COUNT(*) OVER (PARTITION BY metric, score) - 1) / 2.0 AS rank FROM o) SELECT tid, ROUND(-AVG(rank), 6) AS loss FROM r GROUP BY tid",
+)
+def h03_cards(spark, sf):
+    """Score cards of several runs, ranked: the way from a card to the loss of its trial."""
+    real, fake, _ = thirds(spark, sf)
+    cards = [E.score_card(real, fake.where(F.col("l_suppkey") % RUNS == k), DISC, CONT).select(F.lit(k).alias("tid"), F.lit("success").alias("reason"), "metric", F.round("value", 6).alias("value")) for k in range(RUNS)]
+    return rounded(H.rank_losses(reduce(lambda a, b: a.unionByName(b), cards), evaluation="statistics"), "loss")
+
+
 _EPOCHS = "(SELECT *, l_suppkey % 5 AS epoch FROM lineitem WHERE l_orderkey % 10 BETWEEN 5 AND 7)"
 _E18_CORR = " + ".join(f"ABS(COALESCE(CORR({a}, {b}), 0) - COALESCE((SELECT CORR({a}, {b}) FROM {REAL} z), 0))" for a, b in combinations(CONT, 2))
 _E18 = (

@@ -217,7 +217,7 @@ def g13(spark, sf):
     v = vectors(spark, sf, DIMS)
     k = F.col("vec_id") % 4
     out = G.linkability(v.where(k < 2), v.where(k == 2), v.where(k == 3), "vec_id", ALL_COLS[: DIMS // 2], ALL_COLS[DIMS // 2 :])
-    return _rounded_risk(out) if out is not None else out
+    return _rounded_risk(out)
 
 
 @register("g14_inference", _G14)
@@ -225,7 +225,7 @@ def g14(spark, sf):
     v = vectors(spark, sf, DIMS)
     k = F.col("vec_id") % 4
     out = G.inference(v.where(k < 2), v.where(k == 2), v.where(k == 3), "vec_id", ALL_COLS, "label", tolerance=0.0)
-    return _rounded_risk(out) if out is not None else out
+    return _rounded_risk(out)
 
 
 _G15 = "(SELECT COUNT(*) AS n, COUNT(*) FILTER (l_quantity > 25) AS n_attack, COUNT(*) FILTER (l_discount > 0.05) AS n_control, COUNT(*) FILTER (l_tax > 0.05) AS n_baseline FROM lineitem)"

@@ -225,15 +225,30 @@ def h14_method(spark, sf):
     return rounded(H.win_rate(_wins(spark, sf), ["model"], replicates=0), "win_rate")
 
 
-def _boot(n: int) -> str:
-    import math
+_REPLICATES = 1000
 
-    steps = [sum(math.exp(-1) / math.factorial(i) for i in range(j + 1)) for j in range(8)]
-    u = "(CAST('0x' || SUBSTR(MD5('42|' || CAST(dataset AS VARCHAR) || '|' || CAST(model AS VARCHAR) || '|' || metric || '|' || CAST(rep AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0)"
-    times = " + ".join(f"CASE WHEN u >= {s!r} THEN 1 ELSE 0 END" for s in steps)
-    return f", w AS (SELECT CASE WHEN b > a THEN 1.0 WHEN b = a THEN 0.5 ELSE 0.0 END AS w, rep, {u} AS u FROM c, RANGE(1, {n + 1}) r(rep)), m AS (SELECT rep, SUM(({times}) * w) / CAST(SUM({times}) AS DOUBLE) AS m FROM w GROUP BY rep)"
 
+def _uniform_sql(what: str) -> str:
+    return f"(CAST('0x' || SUBSTR(MD5('42|{what}|' || CAST(rep AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0)"
 
-@register("h14_bootstrap_error", f"WITH {_BEST}{_boot(100)} SELECT ROUND((SELECT AVG(CASE WHEN b > a THEN 1.0 WHEN b = a THEN 0.5 ELSE 0.0 END) FROM c), 6) AS win_rate, (SELECT COUNT(*) FROM c) AS n, ROUND((SELECT STDDEV_POP(m) FROM m), 6) AS se")
+
+def _log_share(n: str, k: str, p: str) -> str:
+    """log of the binomial share of k out of n, for p within (0, 1)."""
+    return f"LGAMMA({n} + 1) - LGAMMA({k} + 1) - LGAMMA({n} - {k} + 1) + {k} * LN({p}) + ({n} - {k}) * LN(1 - {p})"
+
+
+#: ties are drawn first, then wins among the rest: the least count whose summed shares reach the replicate's uniform
+_BOOT = (
+    ", s AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (b > a) AS wins, COUNT(*) FILTER (b = a) AS ties FROM c), q AS (SELECT *, CAST(ties AS DOUBLE) / n AS pt, CASE WHEN n > ties THEN CAST(wins AS DOUBLE) / (n - ties) ELSE 0 END AS pw FROM s), "
+    f"u AS (SELECT rep, {_uniform_sql('tie')} AS ut, {_uniform_sql('win')} AS uw FROM RANGE(1, {_REPLICATES + 1}) r(rep)), "
+    f"tc AS (SELECT k, SUM(CASE WHEN pt <= 0 THEN CASE WHEN k = 0 THEN 1 ELSE 0 END WHEN pt >= 1 THEN CASE WHEN k = n THEN 1 ELSE 0 END ELSE EXP({_log_share('n', 'k', 'LEAST(GREATEST(pt, 1e-300), 1 - 1e-16)')}) END) OVER (ORDER BY k) AS cdf FROM q, RANGE(0, (SELECT n + 1 FROM q)) t(k)), "
+    "td AS (SELECT rep, uw, COALESCE(MIN(k) FILTER (cdf >= ut), (SELECT n FROM q)) AS t FROM u, tc GROUP BY rep, uw), "
+    "m1 AS (SELECT DISTINCT t, n - t AS rest FROM td, q), "
+    f"wc AS (SELECT t, k, SUM(CASE WHEN pw <= 0 OR rest = 0 THEN CASE WHEN k = 0 THEN 1 ELSE 0 END WHEN pw >= 1 THEN CASE WHEN k = rest THEN 1 ELSE 0 END ELSE EXP({_log_share('rest', 'k', 'LEAST(GREATEST(pw, 1e-300), 1 - 1e-16)')}) END) OVER (PARTITION BY t ORDER BY k) AS cdf FROM (SELECT t, rest, UNNEST(RANGE(0, rest + 1)) AS k FROM m1) x, q), "
+    "wd AS (SELECT rep, td.t, COALESCE(MIN(k) FILTER (cdf >= uw), MAX(k)) AS w FROM td JOIN wc ON wc.t = td.t GROUP BY rep, td.t), m AS (SELECT rep, (w + t / 2.0) / n AS m FROM wd, q)"
+)
+
+
+@register("h14_bootstrap_error", f"WITH {_BEST}{_BOOT} SELECT ROUND((SELECT AVG(CASE WHEN b > a THEN 1.0 WHEN b = a THEN 0.5 ELSE 0.0 END) FROM c), 6) AS win_rate, (SELECT COUNT(*) FROM c) AS n, ROUND((SELECT STDDEV_POP(m) FROM m), 6) AS se")
 def h14_error(spark, sf):
-    return rounded(H.win_rate(_wins(spark, sf), replicates=100), "win_rate", "se")
+    return rounded(H.win_rate(_wins(spark, sf), replicates=_REPLICATES), "win_rate", "se")
