@@ -45,6 +45,25 @@ def _numbered(keyed: DataFrame, columns: list[str], keys: list[str], out: str) -
     return both.select(*[F.col(f"l.{c}") for c in columns], (F.col("l._r") + F.col("r._base")).cast("long").alias(out))
 
 
+def running_sums(df: DataFrame, group: str, order: str, weight: str) -> DataFrame:
+    """``df`` with run (sum of ``weight`` up to and with the row, by ``order`` within ``group``), total (the group's last run) and place (from 1, by group and order).
+
+    Rows are cut into sampled ranges of (group, order); only ranges are sorted, whatever a
+    group's size.  What is kept a range is its sum and its count.
+    """
+    keyed = df.repartitionByRange(F.col(group), F.col(order)).withColumn("_b", F.spark_partition_id())
+    keyed = settled(keyed, "ranges")
+    inner = Window.partitionBy(group, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = keyed.withColumns({"_s": F.sum(F.col(weight).cast("double")).over(inner), "_p": F.row_number().over(Window.partitionBy(group, "_b").orderBy(order))})
+    sizes = keyed.groupBy(group, "_b").agg(F.sum(F.col(weight).cast("double")).alias("_w"), F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(
+        group, "_b", (F.sum("_w").over(Window.partitionBy(group).orderBy("_b")) - F.col("_w")).alias("_base"), (F.sum("_n").over(Window.orderBy(group, "_b")) - F.col("_n")).alias("_first"),
+    )  # fmt: skip  a row a range
+    placed = own.join(before, [group, "_b"]).withColumn("run", F.col("_base") + F.col("_s")).withColumn("place", F.col("_first") + F.col("_p"))
+    placed = settled(placed.select(*df.columns, "run", "place"), "running")
+    return placed.join(placed.groupBy(group).agg(F.max("run").alias("total")), group)
+
+
 def quantile(df: DataFrame, col: str, share: float, most: int = 10_000) -> float | None:
     """The exact quantile of a column (linear between neighbours), without sorting it whole.
 

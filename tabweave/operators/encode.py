@@ -13,11 +13,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal
 from ..functions.counts import long_form
+from ..functions.marginals import fitted_marginals
+from ..functions.gram import covariances
+from ..functions.mixtures import dirichlet_mixture
 from ..functions.order import numbered_by_value, uniform
 
 # --- C1, C2, C5, C9, C11, C15, C22, C25: projections -------------------------------------------------
@@ -389,40 +393,17 @@ class LogTransform(Step):
 # --- C17-C19: mixtures --------------------------------------------------------------------------------
 
 
-def weighted_mixture(x: np.ndarray, w: np.ndarray, components: int = 10, least: float = 0.005, steps: int = 200) -> list[list[float]]:
-    """Means, deviations and weights of a 1-D Gaussian mixture of weighted points; light components are pruned, then the rest refitted."""
-    w = w / w.sum()
-    order = np.argsort(x)
-    x, w = x[order], w[order]
-    scale = max(np.sqrt((w * (x - (w * x).sum()) ** 2).sum()), 1e-9)
-    k = max(1, min(components, len(x)))
-    mu = np.interp((np.arange(k) + 0.5) / k, np.cumsum(w) - w / 2, x)
-    sd, share = np.full(k, scale / k + 1e-6 * scale), np.full(k, 1 / k)
-    floor = 1e-3 * scale
-    for step in range(steps):
-        log = np.log(share) - np.log(sd) - 0.5 * ((x[:, None] - mu) / sd) ** 2
-        r = np.exp(log - log.max(axis=1, keepdims=True))
-        r *= (w / r.sum(axis=1))[:, None]
-        n = r.sum(axis=0)
-        keep = n > (least if step >= steps // 4 else 1e-12)
-        r, n = r[:, keep], n[keep]
-        new = (r * x[:, None]).sum(axis=0) / n
-        var = (r * (x[:, None] - new) ** 2).sum(axis=0) / n
-        done = len(new) == len(mu) and np.abs(new - mu).max() < 1e-6 * scale
-        mu, sd, share = new, np.maximum(np.sqrt(var), floor), n / n.sum()
-        if done and step > steps // 4:
-            break
-    return [mu.tolist(), sd.tolist(), share.tolist()]
-
-
 @dataclass
 class ModeNormaliser(Step):
     """A number becomes (component, scaled distance from its mean); special values are modes of their own.
 
-    Each column is first binned to at most ``bins`` weighted points by Spark; the mixture
-    is fitted to those.  ``pick`` is draw (by probability, from a hash of ``id_col`` and
-    the column) or argmax.  The result columns are c_mode and c_value; modes that stand for
-    special values come after the components.
+    Spark bins all columns in one aggregation to at most ``bins`` points each, with their
+    rows, means and variances; a task a column fits a Dirichlet-process mixture of at most
+    ``components`` normals to its points, and components of weight ``least`` or less are
+    dropped.  ``pick`` is draw (in proportion to the posterior plus 1e-6, by a hash of
+    ``id_col`` and the column) or argmax.  The result columns are c_mode and c_value; modes
+    that stand for special values come after the components.  ``bounds`` has the evidence's
+    lower bound of each column.
     """
 
     cols: list[str]
@@ -435,6 +416,7 @@ class ModeNormaliser(Step):
     seed: int = 42
     clip: float = 0.99
     modes: dict[str, list[list[float]]] = field(default_factory=dict)
+    bounds: dict[str, float] = field(default_factory=dict)
 
     def _plain(self, c: str) -> Column:
         x = F.col(c).cast("double")
@@ -448,9 +430,19 @@ class ModeNormaliser(Step):
             if lo is not None:
                 step = (hi - lo) / self.bins or 1.0
                 cells.append(F.struct(F.lit(c).alias("col"), F.floor((self._plain(c) - lo) / step).cast("int").alias("bin"), self._plain(c).alias("x")))
-        points = df.select(F.explode(F.array(*cells)).alias("v")).select("v.*").where("x is not null").groupBy("col", "bin").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n")).toPandas()  # bins a column
-        found = {c: weighted_mixture(g["x"].to_numpy(), g["n"].to_numpy(float), self.components, self.least) for c, g in points.sort_values(["col", "bin"]).groupby("col")}
-        return ModeNormaliser(**(asdict(self) | {"modes": found}))
+        if not cells:
+            return ModeNormaliser(**(asdict(self) | {"modes": {}, "bounds": {}}))
+        points = df.select(F.explode(F.array(*cells)).alias("v")).select("v.*").where("x is not null").groupBy("col", "bin").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"), F.coalesce(F.var_pop("x"), F.lit(0.0)).alias("v"))
+        most, least = self.components, self.least
+
+        def fitted(g: pa.Table) -> pa.Table:  # at most bins rows
+            g = g.sort_by("bin")
+            (mu, sd, w), bounds = dirichlet_mixture(g["x"].to_numpy(), g["n"].to_numpy(), g["v"].to_numpy(), most, least)
+            return pa.table({"col": [g["col"][0].as_py()], "mu": [mu], "sd": [sd], "w": [w], "bound": [bounds[-1]]})
+
+        rows = points.groupBy("col").applyInArrow(fitted, "col string, mu array<double>, sd array<double>, w array<double>, bound double").collect()  # a row a column
+        found = {r["col"]: [list(r["mu"]), list(r["sd"]), list(r["w"])] for r in rows}
+        return ModeNormaliser(**(asdict(self) | {"modes": {c: found[c] for c in self.cols if c in found}, "bounds": {r["col"]: r["bound"] for r in rows}}))
 
     def transform(self, df):
         """One Arrow pass a column settles mode and value together, over whole batches."""
@@ -467,7 +459,8 @@ class ModeNormaliser(Step):
                 plain = ~np.isnan(v) & ~np.isin(v, own)
                 log = np.log(w / sd) - ((v[:, None] - mu) / sd) ** 2 / 2
                 if draw:
-                    walk = np.cumsum(np.exp(log) + 1e-6, axis=1)
+                    share = np.exp(log - log.max(axis=1, keepdims=True))
+                    walk = np.cumsum(share / share.sum(axis=1, keepdims=True) + 1e-6, axis=1)
                     k = np.minimum((walk <= (u.to_numpy(dtype=float) * walk[:, -1])[:, None]).sum(axis=1), len(mu) - 1)
                 else:
                     k = np.where(plain, np.nan_to_num(log, nan=-np.inf).argmax(axis=1), 0)
@@ -537,8 +530,8 @@ def snap_to_seen(df: DataFrame, real: DataFrame, cols: list[str], most: int = 10
 class Pca(Step):
     """The fewest principal components that reach a share of the variance, and back.
 
-    One aggregation gives all covariances; only that matrix (columns squared) is worked on
-    here.  The result is pc0, pc1, ... beside the other columns.
+    Sums of products by partition give all covariances; only that matrix (columns squared)
+    is worked on here.  The result is pc0, pc1, ... beside the other columns.
     """
 
     cols: list[str]
@@ -548,15 +541,14 @@ class Pca(Step):
     explained: list[float] = field(default_factory=list)
 
     def fit(self, df):
-        d = [F.col(c).cast("double") for c in self.cols]
-        one = df.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(d)], *[F.covar_samp(d[i], d[j]).alias(f"c{i}_{j}") for i in range(len(d)) for j in range(i, len(d))]).first()
-        cov = np.array([[one[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(d))] for i in range(len(d))])
+        mean, cov, _ = covariances(df, self.cols)
+        d = self.cols
         value, vector = np.linalg.eigh(cov)
         value, vector = np.maximum(value[::-1], 0), vector[:, ::-1]
         vector = vector * np.where(vector[np.abs(vector).argmax(axis=0), np.arange(len(d))] < 0, -1, 1)
         ratio = value / max(value.sum(), 1e-300)
         k = len(d) if self.share >= 1 else int(np.searchsorted(np.cumsum(ratio), self.share - 1e-12) + 1)
-        return Pca(self.cols, self.share, [one[f"m{i}"] for i in range(len(d))], vector[:, : min(k, len(d))].T.tolist(), ratio.tolist())
+        return Pca(self.cols, self.share, mean.tolist(), vector[:, : min(k, len(d))].T.tolist(), ratio.tolist())
 
     def transform(self, df):
         dot = lambda a: sum((F.lit(w) * (F.col(c).cast("double") - F.lit(m)) for w, c, m in zip(a, self.cols, self.mean)), F.lit(0.0))
@@ -572,23 +564,20 @@ class Pca(Step):
 
 @dataclass
 class GaussianNormaliser(Step):
-    """Numbers to normal scores of a marginal fitted by moments (norm, uniform, truncnorm, gamma, beta or empirical), and back."""
+    """Numbers to normal scores of a fitted marginal, and back.
+
+    Marginals norm, uniform, truncnorm, gamma and beta are fitted by likelihood from sums
+    over the table; ``best`` takes the one of the best information criterion.  gaussian_kde is a kernel estimate
+    over binned rows, empirical the quantiles themselves.
+    """
 
     cols: list[str]
     marginal: str | dict[str, str] = "beta"
     fitted: dict[str, dict] = field(default_factory=dict)
 
     def fit(self, df):
-        x = {c: F.col(c).cast("double") for c in self.cols}
-        share = np.linspace(0, 1, 1001).tolist()
-        one = df.agg(*[a for c in self.cols for a in (F.avg(x[c]).alias(f"mean_{c}"), F.stddev_samp(x[c]).alias(f"std_{c}"), F.min(x[c]).alias(f"lo_{c}"), F.max(x[c]).alias(f"hi_{c}"), F.percentile_approx(x[c], share, 10_000).alias(f"q_{c}"))]).first()
-        found = {}
-        for c in self.cols:
-            kind = self.marginal if isinstance(self.marginal, str) else self.marginal.get(c, "beta")
-            p = {k: float(one[f"{k}_{c}"] or 0.0) for k in ("mean", "std", "lo", "hi")}
-            grid, cdf = (list(one[f"q_{c}"]), share) if kind == "empirical" else normal.tabulated(kind, p["mean"], p["std"], p["lo"], p["hi"])
-            found[c] = p | {"kind": kind, "grid": grid, "cdf": cdf}
-        return GaussianNormaliser(self.cols, self.marginal, found)
+        kinds = {c: self.marginal if isinstance(self.marginal, str) else self.marginal.get(c, "beta") for c in self.cols}
+        return GaussianNormaliser(self.cols, self.marginal, fitted_marginals(df, kinds))
 
     def transform(self, df):
         return _by_tables(df, {c: (f["grid"], f["cdf"]) for c, f in self.fitted.items()}, low=1e-6)
@@ -597,8 +586,8 @@ class GaussianNormaliser(Step):
         return _by_tables(df, {c: (f["grid"], f["cdf"]) for c, f in self.fitted.items()}, back=True)
 
     def learned(self) -> dict[str, dict]:
-        """The fitted parameters by column."""
-        return {c: {k: f[k] for k in ("kind", "mean", "std", "lo", "hi")} for c, f in self.fitted.items()}
+        """What was learned by column: the family with its parameters and log-likelihood a row, and mean, std, lo and hi."""
+        return {c: {k: f[k] for k in ("kind", "params", "log_likelihood", "mean", "std", "lo", "hi")} for c, f in self.fitted.items()}
 
 
 # --- C13, C14 -----------------------------------------------------------------------------------------

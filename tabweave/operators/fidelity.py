@@ -7,12 +7,12 @@ tables.  Nulls are left out unless a docstring says otherwise.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.counts import cumulative_counts, discrete_counts, inf, long_form, pair_counts, pairs_of, proportions, tagged, with_mean
+from ..functions.counts import cumulative_counts, discrete_counts, inf, long_form, pair_counts, proportions, tagged, with_mean
+from ..functions.gram import correlation, covariance, gram_rows
 
 
 def _kl_term(p: Column, q: Column) -> Column:
@@ -112,11 +112,10 @@ def mean_difference(pairs: DataFrame, name: str = "mean_diff") -> DataFrame:
 
 
 def _correlations(real: DataFrame, fake: DataFrame, cols: list[str]) -> DataFrame:
-    """(src, c1, c2, r) by one wide aggregation."""
-    both = tagged(real, fake, cols, "double")
-    one = both.groupBy("src").agg(*[F.corr(a, b).alias(f"r_{i}") for i, (a, b) in enumerate(pairs_of(cols))])
-    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("c1"), F.lit(b).alias("c2"), F.nanvl(F.col(f"r_{i}"), F.lit(None).cast("double")).alias("r")) for i, (a, b) in enumerate(pairs_of(cols))])).alias("x")
-    return one.select("src", cells).select("src", "x.*")
+    """(src, c1, c2, r) of every pair, from sums of products by partition."""
+    names = F.array(*[F.lit(c) for c in cols])
+    rows = gram_rows(tagged(real, fake, cols, "double"), cols, "src").where("i < j")
+    return rows.select("src", F.get(names, F.col("i")).alias("c1"), F.get(names, F.col("j")).alias("c2"), correlation().alias("r"))
 
 
 def pearson(real: DataFrame, fake: DataFrame, cols: list[str]) -> DataFrame:
@@ -155,13 +154,13 @@ EPSILON = 1e-5
 
 def correlation_discrepancy(real: DataFrame, fake: DataFrame, cols: list[str], eps: float = EPSILON) -> DataFrame:
     """Mean squared difference of off-diagonal correlations, with covariance over N and stabilised sample deviations."""
-    both = tagged(real, fake, cols, "double")
-    one = both.groupBy("src").agg(*[F.covar_pop(a, b).alias(f"c_{i}") for i, (a, b) in enumerate(pairs_of(cols))], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols])
-    rho = F.array(*[F.col(f"c_{i}") / ((F.col(f"s_{a}") + eps) * (F.col(f"s_{b}") + eps)) for i, (a, b) in enumerate(pairs_of(cols))])
-    sides = one.select("src", rho.alias("rho")).groupBy().agg(F.max(F.when(F.col("src") == "real", F.col("rho"))).alias("x"), F.max(F.when(F.col("src") == "fake", F.col("rho"))).alias("y"))
+    rows = gram_rows(tagged(real, fake, cols, "double"), cols, "src")
+    own = rows.where("i = j").select("src", "i", F.sqrt(covariance()).alias("s"))
+    off = rows.where("i < j").select("src", "i", "j", covariance("pop").alias("c"))
+    off = off.join(own.withColumnRenamed("s", "s1"), ["src", "i"]).join(own.select("src", F.col("i").alias("j"), F.col("s").alias("s2")), ["src", "j"])
+    rho = off.groupBy("i", "j").agg(*[F.max(F.when(F.col("src") == s, F.col("c") / ((F.col("s1") + eps) * (F.col("s2") + eps)))).alias(s) for s in ("real", "fake")])
     d = len(cols)
-    total = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    return sides.select((2 * total / (d * (d - 1))).alias("corr_loss"))
+    return rho.agg((2 * F.sum((F.col("real") - F.col("fake")) * (F.col("real") - F.col("fake"))) / (d * (d - 1))).alias("corr_loss"))
 
 
 def moment_discrepancy(real: DataFrame, fake: DataFrame, cols: list[str], orders: int = 4, alpha: float = 1.0, eps: float = EPSILON) -> DataFrame:
@@ -239,12 +238,11 @@ def best_epoch(scores: DataFrame, weight: float = 10.0) -> DataFrame:
 
 def epoch_scores(real: DataFrame, fakes: DataFrame, epoch: str, discrete: list[str], continuous: list[str]) -> DataFrame:
     """(epoch, corr_diff, dwp) of many synthetic outputs in one pass each over real and all of them."""
-    pairs, d = list(combinations(continuous, 2)), len(continuous)
-    rs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)]
-    own, theirs = real.agg(*rs), fakes.groupBy(epoch).agg(*[r for r in rs])
-    own = own.select([F.col(c).alias(f"real_{c}") for c in own.columns])
-    gap = sum((F.abs(F.coalesce(F.col(f"r_{i}"), F.lit(0.0)) - F.coalesce(F.col(f"real_r_{i}"), F.lit(0.0))) for i in range(len(pairs))), F.lit(0.0))
-    corr = theirs.crossJoin(F.broadcast(own)).select(F.col(epoch).alias("epoch"), (2 * gap / (d * d)).alias("corr_diff"))  # one row of real
+    d = len(continuous)
+    own = gram_rows(real, continuous).where("i < j").select("i", "j", correlation().alias("mine"))
+    theirs = gram_rows(fakes, continuous, epoch).where("i < j").select(F.col(epoch).cast(fakes.schema[epoch].dataType).alias("epoch"), "i", "j", correlation().alias("r"))
+    gap = F.abs(F.coalesce("r", F.lit(0.0)) - F.coalesce("mine", F.lit(0.0)))
+    corr = theirs.join(own, ["i", "j"]).groupBy("epoch").agg((2 * F.sum(gap) / (d * d)).alias("corr_diff"))
     p = long_form(real, discrete, []).groupBy("col", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("col")))
     q = long_form(fakes, discrete, [epoch]).groupBy(epoch, "col", "value").agg(F.count(F.lit(1)).alias("m")).withColumn("q", F.col("m") / F.sum("m").over(Window.partitionBy(epoch, "col")))
     # real's categories at every epoch: both are small

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.counts import long_form
-from ..functions.order import numbered, seeded, uniform
+from ..functions.gram import covariances
+from ..functions.order import numbered, running_sums, seeded, uniform
 
 # --- D1-D4: splits ------------------------------------------------------------------------------------
 
@@ -126,22 +127,30 @@ def frequencies(df: DataFrame, cols: list[str], log: bool = True) -> DataFrame:
     """(col, value, n, prob, cum, slot): share of each category, of ln(n + 1) if ``log``, cumulated in value order; slots are numbered over all columns."""
     counts = long_form(df, cols, []).where("value is not null").groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
     weight = F.ln(F.col("n") + 1) if log else F.col("n").cast("double")
-    every, order = Window.partitionBy("col"), Window.partitionBy("col").orderBy("value")
-    out = counts.withColumn("w", weight).withColumn("prob", F.col("w") / F.sum("w").over(every)).withColumn("cum", F.sum("w").over(order) / F.sum("w").over(every))
-    return out.withColumn("slot", (F.row_number().over(Window.orderBy("col", "value")) - 1).cast("int")).drop("w")  # a row a category
+    out = running_sums(counts.withColumn("w", weight), "col", "value", "w")
+    return out.select("col", "value", "n", (F.col("w") / F.col("total")).alias("prob"), (F.col("run") / F.col("total")).alias("cum"), (F.col("place") - 1).cast("int").alias("slot"))
 
 
 def draw_conditions(spark: SparkSession, freq: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """N draws of a column (uniformly) and one of its categories (by the table's probability): (draw, col, value).
 
-    Each column's cumulative probabilities are one short ascending array.
+    A category is a stretch of [0, 1).  Each column's line is cut into as many cells as it
+    has categories; a category stands in the cells that it touches, a draw falls into one,
+    and they meet by (column, cell): two categories a cell on average, of vocabularies of
+    any size.
     """
-    steps = freq.groupBy("col").agg(F.array_sort(F.collect_list(F.struct("cum", "value"))).alias("steps"))
-    cols = [r["col"] for r in freq.select("col").distinct().orderBy("col").collect()]
-    pick = F.element_at(F.array(*[F.lit(c) for c in cols]), (F.floor(uniform(f"{seed}|col", "draw") * len(cols)) + 1).cast("int"))
-    draws = spark.range(n).withColumnRenamed("id", "draw").withColumn("col", pick).withColumn("u", uniform(f"{seed}|value", "draw"))
-    hit = F.element_at(F.filter("steps", lambda s: s["cum"] > F.col("u")), 1)["value"]
-    return draws.join(F.broadcast(steps), "col").select("draw", "col", F.coalesce(hit, F.element_at("steps", -1)["value"]).alias("value"))  # a row a column
+    sizes = {r["col"]: r["size"] for r in freq.groupBy("col").agg(F.count(F.lit(1)).alias("size")).orderBy("col").collect()}  # a row a column
+    if not sizes:
+        return spark.createDataFrame([], "draw long, col string, value string")
+    pick = F.element_at(F.array(*[F.lit(c) for c in sizes]), (F.floor(uniform(f"{seed}|col", "draw") * len(sizes)) + 1).cast("int"))
+    cells = F.element_at(F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv]), F.col("col")).cast("long")
+    draws = spark.range(n).withColumnRenamed("id", "draw").withColumn("col", pick).withColumn("u", uniform(f"{seed}|value", "draw")).withColumn("cell", F.floor(F.col("u") * cells))
+    # a category begins where the one before it ends, but for rounding: the least end above u decides
+    low = F.greatest(F.lit(0.0), F.col("cum") - F.col("prob") - 1e-12)
+    last = F.least(cells - 1, F.floor(F.col("cum") * cells))
+    lines = freq.select("col", "value", "cum", low.alias("low"), F.explode(F.sequence(F.least(cells - 1, F.floor(low * cells)), last)).alias("cell"))
+    met = draws.join(lines, ["col", "cell"]).where((F.col("cum") > F.col("u")) & (F.col("low") <= F.col("u")))
+    return met.groupBy("draw", "col").agg(F.min_by("value", "cum").alias("value"))
 
 
 def draw_rows(df: DataFrame, id_col: str, conditions: DataFrame, cols: list[str], seed: int = 42) -> DataFrame:
@@ -166,8 +175,8 @@ def pair_cells(df: DataFrame, cols: list[str], ids: list[str]) -> DataFrame:
 def pair_frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
     """(col, value, n, prob, cum) for every pair of discrete columns, by raw frequency."""
     counts = pair_cells(df, cols, []).groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
-    every, order = Window.partitionBy("col"), Window.partitionBy("col").orderBy("value")
-    return counts.withColumn("prob", F.col("n") / F.sum("n").over(every)).withColumn("cum", F.sum("n").over(order) / F.sum("n").over(every))
+    out = running_sums(counts, "col", "value", "n")
+    return out.select("col", "value", "n", (F.col("n") / F.col("total")).alias("prob"), (F.col("run") / F.col("total")).alias("cum"))
 
 
 def draw_pair_rows(df: DataFrame, id_col: str, conditions: DataFrame, cols: list[str], seed: int = 42) -> DataFrame:
@@ -241,21 +250,17 @@ def oversample(df: DataFrame, id_col: str, label: str, seed: int = 42) -> DataFr
 def copula_sample(df: DataFrame, cols: list[str], n: int | None = None, factor: float = 1.05, marginal: str | dict[str, str] = "beta", seed: int = 42) -> DataFrame:
     """N rows (factor times the table's, by default) of a Gaussian copula fitted to numeric columns.
 
-    Marginals are fitted by ``GaussianNormaliser``, the correlation of the normal scores by
-    one aggregation; rows are drawn in blocks, each with a generator of its own seed.
+    Marginals are fitted by ``GaussianNormaliser``, the correlation of the normal scores from
+    sums of products by partition; rows are drawn in blocks, each with a generator of its own seed.
     """
     from .encode import GaussianNormaliser
 
     norm = GaussianNormaliser(cols, marginal).fit(df)
     scores = norm.transform(df.select(*cols))
-    pairs = list(combinations(range(len(cols)), 2))
-    one = scores.agg(F.count(F.lit(1)).alias("n"), *[F.corr(cols[i], cols[j]).alias(f"r{i}_{j}") for i, j in pairs]).first()
-    sigma = np.eye(len(cols))
-    for i, j in pairs:
-        sigma[i, j] = sigma[j, i] = one[f"r{i}_{j}"] or 0.0
+    _, _, sigma = covariances(scores, cols)
     value, vector = np.linalg.eigh(sigma)
     root = np.linalg.cholesky(vector @ np.diag(np.maximum(value, 1e-9)) @ vector.T)
-    rows = n if n is not None else int(round(factor * one["n"]))
+    rows = n if n is not None else int(round(factor * df.count()))
     block = 10_000
 
     def draw(batches):

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline as MlPipeline
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.gram import covariances
 from ..functions.order import uniform
+from ..functions.scratch import settled
 from .encode import label_encode, vocabulary
 from .privacy import rank_auc
 
@@ -86,23 +91,33 @@ def regression_metrics(preds: DataFrame, label: str = "label", prediction: str =
 # --- models -------------------------------------------------------------------------------------------
 
 METHODS = ("linear", "svm", "bagging", "forest", "boosting")
+#: F11's models by task (fixed values, as compared results name them).
+SCALED_METHODS = {"classification": ("lr", "dt", "rf", "mlp", "svm"), "regression": ("l_reg", "ridge", "lasso", "B_ridge")}
 
 
 def _assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
 
 
-def _estimator(method: str, task: str, classes: int, weight: str | None):
+def _estimator(method: str, task: str, classes: int, weight: str | None, rows: int = 0, width: int = 0):
     common = {"featuresCol": "features", "labelCol": "label"} | ({"weightCol": weight} if weight else {})
     if task == "regression":
         return {
             "linear": lambda: LinearRegression(elasticNetParam=0.5, regParam=0.1, **common),  # F3
-            "svm": lambda: LinearRegression(loss="huber", **common),  # a robust line stands in for support vector regression
+            "svm": lambda: SupportVectorLine(),  # F4
+            "l_reg": lambda: LinearRegression(**common), "ridge": lambda: LinearRegression(regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False, **common),
+            "lasso": lambda: LinearRegression(regParam=1.0, elasticNetParam=1.0, standardization=False, **common), "B_ridge": lambda: BayesianRidge(),
             "forest": lambda: RandomForestRegressor(numTrees=100, seed=42, **common),  # F6
             "boosting": lambda: GBTRegressor(maxIter=20, seed=42, **common),  # F7
         }[method]()
     many = classes > 2
-    if method == "linear":
+    if method == "dt":
+        return DecisionTreeClassifier(maxDepth=28, maxMemoryInMB=512, seed=42, **common)
+    if method == "rf":
+        return RandomForestClassifier(numTrees=100, seed=42, **common)
+    if method == "mlp":
+        return MultilayerPerceptronClassifier(layers=[width, 100, max(classes, 2)], maxIter=50, seed=42, featuresCol="features", labelCol="label")
+    if method in ("linear", "lr"):
         return LogisticRegression(maxIter=50, **common)
     if method == "svm":
         svc = LinearSVC(maxIter=50, **common)
@@ -113,6 +128,121 @@ def _estimator(method: str, task: str, classes: int, weight: str | None):
     return OneVsRest(classifier=gbt, **common) if many else gbt
 
 
+class LinearFit:
+    """A line over the assembled features: ``transform`` adds the prediction."""
+
+    def __init__(self, weights: list[float], intercept: float):
+        self.weights, self.intercept = weights, intercept
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        x = vector_to_array("features")
+        dot = F.aggregate(F.zip_with(x, F.lit(self.weights), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        return df.withColumn("prediction", dot + F.lit(float(self.intercept)))
+
+
+@dataclass
+class SupportVectorLine:
+    """linear support vector regression: least |w|^2 / 2 + cost * sum of max(0, |y - wx - b| - epsilon).
+
+    Reweighted least squares: what lies outside the tube pulls with a weight of cost over
+    its distance from it, the tube's edge being its target, so that the weighted problem
+    has the loss's subgradient.  Spark sums the loss of a line and the weighted products,
+    one aggregation a step, over features scaled to deviation one; distances count as no
+    smaller than a bound that falls from step to step.  The best line seen is the result.
+    """
+
+    epsilon: float = 0.1
+    cost: float = 1.0
+    steps: int = 40
+
+    def fit(self, df: DataFrame) -> LinearFit:
+        rows = settled(df.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y")), "rows")
+        n, spread, middle, width = rows.agg(F.count(F.lit(1)), F.stddev_pop("y"), F.percentile_approx("y", 0.5, 10_000), F.max(F.size("x"))).first()
+        if not n:
+            return LinearFit([], 0.0)
+        one = rows.agg(*[f(F.get("x", k)) for k in range(width) for f in (F.avg, F.stddev_pop)]).first()
+        mean, dev = np.array(one[0::2]), np.where(np.array(one[1::2]) > 0, np.array(one[1::2]), 1.0)
+        epsilon, cost, d = self.epsilon, self.cost, width + 1
+
+        def summed(line: np.ndarray, least: float) -> tuple[float, np.ndarray, np.ndarray]:
+            """The loss at a line in scaled features, and the weighted products of features and targets."""
+            def part(batches):
+                total = np.zeros(1 + d * d + d)
+                for batch in batches:
+                    if not batch.num_rows:
+                        continue
+                    x = (batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1) - mean) / dev
+                    x, y = np.concatenate([x, np.ones((len(x), 1))], 1), batch.column(1).to_numpy()
+                    gap = y - x @ line
+                    out = np.abs(gap) - epsilon
+                    weight = np.where(out > 0, cost / np.maximum(out, least), 0.0)
+                    xw = x * weight[:, None]
+                    total += np.concatenate([[np.maximum(out, 0).sum()], (xw.T @ x).ravel(), xw.T @ (y - np.sign(gap) * epsilon)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "v"])
+
+            v = np.zeros(1 + d * d + d)
+            for r in rows.mapInArrow(part, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # columns squared
+                v[r["k"]] = r["v"]
+            raw = line[:-1] / dev  # the penalty is on the line in the features' own units
+            return 0.5 * raw @ raw + cost * v[0], v[1 : 1 + d * d].reshape(d, d), v[1 + d * d :]
+
+        line, best = np.append(np.zeros(width), float(middle)), (np.inf, None)
+        penalty = np.diag(np.append(dev**-2.0, 0.0))
+        for t in range(self.steps):
+            loss, products, targets = summed(line, max(spread or 0.0, 1e-9) * 0.7**t)
+            if loss < best[0]:
+                best = (loss, line)
+            line = np.linalg.lstsq(penalty + products, targets, rcond=None)[0] if products.any() else line
+        raw = best[1][:-1] / dev
+        return LinearFit(raw.tolist(), float(best[1][-1] - raw @ mean))
+
+
+@dataclass
+class BayesianRidge:
+    """ridge regression whose two precisions are found by evidence: sums of products by Spark, the rest on columns squared numbers."""
+
+    steps: int = 300
+    prior: float = 1e-6
+
+    def fit(self, df: DataFrame) -> LinearFit:
+        rows = df.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"))
+        width = rows.agg(F.max(F.size("x"))).first()[0]
+        if not width:
+            return LinearFit([], 0.0)
+        names = [f"x{k}" for k in range(width)]
+        flat = settled(rows.select(*[F.get("x", k).alias(names[k]) for k in range(width)], "y"), "rows")
+        n = flat.count()
+        mean, cov, _ = covariances(flat, [*names, "y"])
+        gram, xy, yy = cov[:-1, :-1] * (n - 1), cov[:-1, -1] * (n - 1), cov[-1, -1] * (n - 1)
+        value, vector = np.linalg.eigh(gram)
+        value = np.maximum(value, 0)
+        noise, weight, w = n / max(yy, 1e-300), 1.0, np.zeros(width)
+        for _ in range(self.steps):
+            before = w
+            w = vector @ ((vector.T @ xy) / (value + weight / noise))
+            left = max(yy - 2 * w @ xy + w @ gram @ w, 0.0)
+            known = float((noise * value / (weight + noise * value)).sum())
+            weight = (known + 2 * self.prior) / (w @ w + 2 * self.prior)
+            noise = (n - known + 2 * self.prior) / (left + 2 * self.prior)
+            if np.abs(w - before).sum() < 1e-9 * (1 + np.abs(w).sum()):
+                break
+        return LinearFit(w.tolist(), float(mean[-1] - w @ mean[:-1]))
+
+
+def _fitted(stages: list, train: DataFrame):
+    """A pipeline whose last stage may be one of ours: fitted, with ``transform``."""
+    if not isinstance(stages[-1], SupportVectorLine | BayesianRidge):
+        return MlPipeline(stages=stages).fit(train)
+    before = MlPipeline(stages=stages[:-1]).fit(train)
+    line = stages[-1].fit(before.transform(train))
+
+    class Both:
+        def transform(self, df: DataFrame) -> DataFrame:
+            return line.transform(before.transform(df))
+
+    return Both()
+
+
 def _scored(model, df: DataFrame) -> DataFrame:
     out = model.transform(df)
     if "probability" in out.columns:
@@ -134,7 +264,7 @@ def predictions(train: DataFrame, test: DataFrame, features: list[str], label: s
     weight = "weight" if task == "classification" and balanced else None
     tr = class_weights(tr, "label") if weight else tr
     if method != "bagging":
-        return _scored(MlPipeline(stages=[_assembler(features), _estimator(method, task, classes, weight)]).fit(tr), te)
+        return _scored(_fitted([_assembler(features), _estimator(method, task, classes, weight)], tr), te)
     te = te.withColumn("_k", F.monotonically_increasing_id()) if id_col is None else te.withColumn("_k", F.col(id_col))
     out = te
     for i in range(3):
@@ -171,22 +301,46 @@ def utility_gap(real: DataFrame, fake: DataFrame, test: DataFrame, features: lis
     return out.withColumn("gap", F.col("fake") - F.col("real") if augment else F.abs(F.col("real") - F.col("fake")))
 
 
-def scaled_utility(real: DataFrame, fakes: list[DataFrame], test: DataFrame, features: list[str], label: str, methods: tuple[str, ...] = ("linear", "forest"), task: str = "classification", scaler: str = "minmax") -> DataFrame:
-    """(method, metric, diff): real less synthetic, averaged over several synthetic tables, features scaled by the training table."""
+def scaled_utility(real: DataFrame, fakes: list[DataFrame], test: DataFrame, features: list[str], label: str, methods: tuple[str, ...] | None = None, task: str = "classification", scaler: str = "minmax") -> DataFrame:
+    """(method, metric, diff): real less synthetic, averaged over several synthetic tables, features scaled by the training table.
+
+    Classification (labels 0, 1, ...) compares accuracy in per cent, AUC and F1: with two
+    classes AUC of the score and F1 as the mean over classes, with more AUC and F1 weighted
+    by the classes' rows.  Regression compares MAPE, explained variance and R2.
+    """
+    methods = methods or SCALED_METHODS[task]
+
     def one(train: DataFrame, method: str) -> DataFrame:
         s = MinMaxScaler(inputCol="raw", outputCol="features") if scaler == "minmax" else StandardScaler(withMean=True, inputCol="raw", outputCol="features")
         ready = lambda df: df.withColumn("label", F.col(label).cast("double")).withColumns({c: F.col(c).cast("double") for c in features})
         tr, te = ready(train), ready(test)
-        classes = tr.select("label").distinct().count() if task == "classification" else 0
-        stages = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), s, _estimator(method, task, classes, None)]
-        preds = _scored(MlPipeline(stages=stages).fit(tr), te)
-        out = classification_metrics(preds, swap=False) if task == "classification" else regression_metrics(preds, swap=False)
-        keep = {"recall": 100.0, "f1": 1.0} if task == "classification" else {"mape": 1.0, "explained_variance": 1.0, "r2": 1.0}
-        return out.where(F.col("metric").isin(*keep)).withColumn("value", F.col("value") * F.when(F.col("metric") == "recall", 100.0).otherwise(1.0)).withColumn("metric", F.when(F.col("metric") == "recall", "accuracy").otherwise(F.col("metric")))
+        classes = int(tr.agg(F.coalesce(F.max("label"), F.lit(0.0))).first()[0]) + 1 if task == "classification" else 0
+        stages = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), s, _estimator(method, task, classes, None, tr.count() if method == "ridge" else 0, len(features))]
+        preds = settled(_scored(_fitted(stages, tr), te).select("label", "prediction", *(["scores"] if task == "classification" else [])), "predictions")
+        if task == "regression":
+            return regression_metrics(preds, swap=False).where(F.col("metric").isin("mape", "explained_variance", "r2"))
+        hit = preds.agg((100 * F.avg((F.col("label") == F.col("prediction")).cast("double"))).alias("value")).select(F.lit("accuracy").alias("metric"), "value")
+        seen = [int(r[0]) for r in preds.select("label").distinct().orderBy("label").collect()]  # classes
+        if classes <= 2:
+            auc = roc_auc(preds.withColumn("score", F.get("scores", 1)), "label", "score")
+        else:
+            share = {r["label"]: r["n"] for r in preds.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+            parts = [rank_auc(preds.select(F.get("scores", k).alias("_s"), (F.col("label") == k).cast("int").alias("_y")), "_s", "_y").withColumn("w", F.lit(share[k])) for k in seen]
+            auc = reduce(lambda a, b: a.unionByName(b), parts).agg(F.try_divide(F.sum(F.col("auc") * F.col("w")), F.sum(F.when(F.col("auc").isNotNull(), F.col("w")))).alias("auc"))
+        return hit.unionByName(auc.select(F.lit("auc").alias("metric"), F.col("auc").alias("value"))).unionByName(f1_of(preds, weighted=classes > 2))
 
     parts = []
     for m in methods:
-        r = one(real, m).withColumnRenamed("value", "real")
+        r = settled(one(real, m), "scores").withColumnRenamed("value", "real")
         for f in fakes:
-            parts.append(r.join(one(f, m), "metric").select(F.lit(m).alias("method"), "metric", (F.col("real") - F.col("value")).alias("diff")))
+            parts.append(settled(r.join(one(f, m), "metric").select(F.lit(m).alias("method"), "metric", (F.col("real") - F.col("value")).alias("diff")), "scores"))
     return reduce(lambda a, b: a.unionByName(b), parts).groupBy("method", "metric").agg(F.avg("diff").alias("diff"))
+
+
+def f1_of(preds: DataFrame, weighted: bool) -> DataFrame:
+    """(metric, value): F1 over the classes that stand in label or prediction: by rows of the label, or their mean."""
+    cells = confusion(preds)
+    t, g = cells.groupBy(F.col("y").alias("c")).agg(F.sum("n").alias("s")), cells.groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("q"))
+    per = t.join(g, "c", "full").join(cells.where("y = p").select(F.col("y").alias("c"), F.col("n").alias("tp")), "c", "left").fillna(0, ["s", "q", "tp"])
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("s") + F.col("q")), F.lit(0.0))
+    return per.agg((F.sum(f1 * F.col("s")) / F.sum("s") if weighted else F.avg(f1)).alias("value")).select(F.lit("f1").alias("metric"), "value")

@@ -42,6 +42,7 @@ def _model(method: str, multi: bool = False, task: str = "classification"):
 register("f03_linear")(_model("linear", multi=True))
 register("f03_linear_regression")(_model("linear", task="regression"))
 register("f04_svm")(_model("svm"))
+register("f04_svm_regression")(_model("svm", task="regression"))
 register("f05_bagging")(_model("bagging"))
 register("f06_forest")(_model("forest"))
 register("f07_boosting")(_model("boosting"))
@@ -114,3 +115,9 @@ def f10_augment(spark, sf):
 def f11(spark, sf):
     real, fake, hold = thirds(spark, sf)
     return U.scaled_utility(real, [fake.where("l_partkey % 2 = 0"), fake.where("l_partkey % 2 = 1")], hold, [c for c in _X if c != "l_extendedprice"], "l_extendedprice", task="regression")
+
+
+@register("f11_scaled_utility_classification")
+def f11_classes(spark, sf):
+    real, fake, hold = (df.withColumn("y", F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)) for df in thirds(spark, sf))
+    return U.scaled_utility(real, [fake.where("l_partkey % 2 = 0"), fake.where("l_partkey % 2 = 1")], hold, _X, "y", ("lr", "dt", "rf", "mlp"))
