@@ -6,7 +6,9 @@ q-grams that a document shares with each passage in overlapping diagonal bands,
 the bands that reach the bound, and verifies them by banded alignment.
 
 The passages are the query set: they go out in blocks of a bounded number of q-grams, and
-all documents are scanned against each block, without a shuffle.
+one scan, in one worker a task, holds the documents against several blocks, without a
+shuffle.  A benchmark of over ``HELD`` blocks takes a scan for each ``HELD`` of them.
+A passage of fewer than 2 q bytes gets no edit: with one, it need not share a q-gram.
 
 Both sides are compared case-folded (ASCII and Latin-1) with runs of other ASCII signs as
 one blank.  Nulls: a null or empty text or passage matches nothing; ids pass through, null
@@ -25,8 +27,10 @@ from .repeats import _powers, byte_symbols, prefix_sums
 Q = 12
 #: Edits allowed, as a share of the passage's bytes.
 EDIT_SHARE = 0.05
-#: q-grams of the passages that one pass over the documents carries (about 24 bytes each in a task).
+#: q-grams of the passages that a block holds (about 32 bytes each in a task).
 BLOCK_GRAMS = 1 << 20
+#: Blocks that one scan of the documents holds: at most HELD * (32 BLOCK_GRAMS + 16 MB) bytes a worker.
+HELD = 4
 SLAB = 1 << 18
 _FILTER_BITS = 24
 
@@ -181,17 +185,30 @@ def passages(benchmark: DataFrame, id_col: str, text_col: str):
         yield block
 
 
-def _found(ix: Index, column: pa.Array):
-    """(row, passage, edits, start, stop) of the passages that texts of an Arrow column hold; places in code points."""
+def _scans(spark, benchmark: DataFrame, item_col: str, item_text: str, q: int, share: float):
+    """Lists of up to ``HELD`` indexes that workers hold, each a broadcast of a bounded block."""
+    held = []
+    for block in passages(benchmark, item_col, item_text):
+        held.append(spark.sparkContext.broadcast(Index(block, q, share)))  # at most BLOCK_GRAMS bytes of passages, and their index
+        if len(held) == HELD:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _found(indexes: list, column: pa.Array):
+    """(row, id, edits, start, stop) of the passages of all ``indexes`` that texts of an Arrow column hold; places in code points."""
     data, offsets = text_bytes(column)
     for lo, hi in slabs(offsets, SLAB):
         raw = data[offsets[lo] : offsets[hi]]
         folded, offs, source = normal(raw, offsets[lo : hi + 1] - offsets[lo])
-        found = ix.scan(folded, offs)
-        points = np.append(0, np.cumsum((raw & 0xC0) != 0x80)) if found else None
-        for t, k, d, a, b in found:
-            head = points[offsets[lo + t] - offsets[lo]]
-            yield lo + t, k, d, int(points[source[offs[t] + a]] - head), int(points[source[offs[t] + b - 1] + 1] - head)
+        points = None
+        for index in indexes:
+            for t, k, d, a, b in index.value.scan(folded, offs):
+                points = np.append(0, np.cumsum((raw & 0xC0) != 0x80)) if points is None else points
+                head = points[offsets[lo + t] - offsets[lo]]
+                yield lo + t, index.value.ids[k], d, int(points[source[offs[t] + a]] - head), int(points[source[offs[t] + b - 1] + 1] - head)
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = Q, share: float = EDIT_SHARE) -> DataFrame:
@@ -199,16 +216,14 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     docs = keyed_docs(df, id_col, text_col)
     spark, out = df.sparkSession, None
     schema = "doc_id long, item_id long, edits int, start long, stop long"
-    for block in passages(benchmark, item_col, item_text):
-        index = spark.sparkContext.broadcast(Index(block, q, share))  # at most BLOCK_GRAMS bytes of passages, and their index
+    for held in _scans(spark, benchmark, item_col, item_text, q, share):
 
-        def scan(batches, index=index):
-            ix = index.value
+        def scan(batches, held=held):
             for batch in batches:
-                found = list(_found(ix, batch.column(1)))
+                found = list(_found(held, batch.column(1)))
                 rows, items, edits, starts, stops = zip(*found) if found else ((), (), (), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([ix.ids[k] for k in items], pa.int64()), pa.array(edits, pa.int32()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())],
+                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(edits, pa.int32()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())],
                     names=["doc_id", "item_id", "edits", "start", "stop"],
                 )
 
@@ -224,13 +239,12 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     null or repeated ids or clashing column names change nothing.
     """
     at, spark = df.columns.index(text_col), df.sparkSession
-    for block in passages(benchmark, item_col, item_text):
-        index = spark.sparkContext.broadcast(Index(block, q, share))  # at most BLOCK_GRAMS bytes of passages, and their index
+    for held in _scans(spark, benchmark, item_col, item_text, q, share):
 
-        def keep(batches, index=index):
+        def keep(batches, held=held):
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                clean[[row for row, *_ in _found(index.value, batch.column(at))]] = False
+                clean[[row for row, *_ in _found(held, batch.column(at))]] = False
                 yield batch.filter(pa.array(clean))
 
         df = df.mapInArrow(keep, df.schema)

@@ -193,10 +193,14 @@ def fewest_edits(p, t):
     return min(cost)
 
 
-def test_edited_passages_match_brute_force(spark):
+@pytest.mark.parametrize("grams, held", [(1 << 20, 4), (150, 2)])
+def test_edited_passages_match_brute_force(spark, monkeypatch, grams, held):
+    """Edits up to five per cent, none for passages of under 24 bytes; in one block, and in several scans of two blocks."""
+    monkeypatch.setattr(decontamination, "BLOCK_GRAMS", grams)
+    monkeypatch.setattr(decontamination, "HELD", held)
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
-    items = [" ".join(word() for _ in range(rng.choice((12, 20, 35)))) for _ in range(6)]
+    items = [" ".join(word() for _ in range(rng.choice((12, 20, 35)))) for _ in range(5)] + ["abcdefgh hgfedcba abcd"]
 
     def edited(t, k):
         for _ in range(k):
@@ -205,8 +209,8 @@ def test_edited_passages_match_brute_force(spark):
         return t
 
     rows = [(i, f"{word()} {word()} {edited(items[i % 6], rng.randint(0, 8))} {word()}") for i in range(90)]
-    ix = decontamination.Index([(k, np.frombuffer(t.encode(), np.uint8)) for k, t in enumerate(items)], decontamination.Q, decontamination.EDIT_SHARE)
-    want = {(i, k) for i, t in rows for k in range(6) if abs(k - i % 6) < 2 and fewest_edits(items[k], t) <= ix.edits[k]}
+    budget = [len(t) // 20 if len(t) >= 24 else 0 for t in items]
+    want = {(i, k) for i, t in rows for k in range(6) if abs(k - i % 6) < 2 and fewest_edits(items[k], t) <= budget[k]}
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == want and 0.3 * len(rows) < len(want) < len(rows)
