@@ -197,18 +197,14 @@ def match_rounds(lengths: DataFrame, capacity: int) -> DataFrame:
     for _ in range(ROUNDS):
         if not left:
             break
-        now = settled(_sweep(gaps, state, max(1, left // (8 * max(1, room))), capacity), "matches")
-        used = now.groupBy(F.col("range").alias("first")).agg(F.sum(F.col("pieces") / F.col("each")).cast("long").alias("used"))
-        took = now.groupBy("length").agg(F.sum("pieces").alias("took"))
-        shrunk = now.select((F.col("gap") - F.col("length") * F.col("each")).alias("gap"), F.col("sequence").alias("first"), (F.col("pieces") / F.col("each")).cast("long").alias("n"))
-        kept = gaps.join(used, "first", "left").select("gap", "first", (F.col("n") - F.coalesce("used", F.lit(0))).alias("n"))
-        after = state.join(took, "length", "left").select(F.col("length"), (F.col("done") + F.coalesce("took", F.lit(0))).alias("done"), (F.col("left") - F.coalesce("took", F.lit(0))).alias("left"))
-        both = shrunk.unionByName(kept).where("gap > 0 and n > 0").select(F.lit(True).alias("room"), "gap", "first", "n").unionByName(after.select(F.lit(False).alias("room"), F.col("length").alias("gap"), F.col("done").alias("first"), F.col("left").alias("n")))
-        both = settled(both, "gaps")
+        # one table a round: its matches, the gaps after them and what is left of the lengths
+        now = settled(_after(_sweep(gaps, state, max(1, left // (8 * max(1, room))), capacity), gaps, state), "round")
         was = left
-        left, tokens, room = (v or 0 for v in both.agg(F.sum(F.when(~F.col("room"), F.col("n"))), F.sum(F.when(~F.col("room"), F.col("n") * F.col("gap"))), F.sum(F.when(F.col("room"), F.col("n")))).first())
-        gaps, state = both.where("room").drop("room"), both.where("not room").select(F.col("gap").alias("length"), F.col("first").alias("done"), F.col("n").alias("left"))
-        found.append(now.select(*cells))
+        sums = now.agg(F.sum(F.when(F.col("kind") == LENGTH, F.col("v2"))), F.sum(F.when(F.col("kind") == LENGTH, F.col("v2") * F.col("x"))), F.sum(F.when(F.col("kind") == GAP, F.col("v1"))))
+        left, tokens, room = (v or 0 for v in sums.first())
+        gaps = now.where(F.col("kind") == GAP).select(F.col("x").alias("gap"), F.col("y").alias("first"), F.col("v1").alias("n"))
+        state = now.where(F.col("kind") == LENGTH).select(F.col("x").alias("length"), F.col("v1").alias("done"), F.col("v2").alias("left"))
+        found.append(now.where(F.col("kind") == MATCH).select(*[F.col(c).alias(n) for c, n in zip(("x", "y", "v1", "v2", "v3", "v4"), cells)]))
         if left and left == was:
             new = -(-tokens // capacity)
             gaps = gaps.unionByName(spark.createDataFrame([(capacity, opened, new)], "gap long, first long, n long"))
@@ -221,6 +217,30 @@ def match_rounds(lengths: DataFrame, capacity: int) -> DataFrame:
     return out
 
 
+#: Kinds of rows of a round's table.
+MATCH, GAP, LENGTH = 0, 1, 2
+
+
+def _after(matches: DataFrame, gaps: DataFrame, lengths: DataFrame) -> DataFrame:
+    """A round's table (kind, x, y, v1, v2, v3, v4), added up by kind, x and y.
+
+    MATCH: length, first rank; pieces, each, sequence, offset.  GAP: gap, first sequence;
+    sequences.  LENGTH: length, 0; pieces placed, pieces left.  A match adds a gap for the
+    sequences that it fills up, and takes them from the gap and its pieces from the length.
+    """
+    row = lambda kind, x, y, *v: F.struct(*[(c if not isinstance(c, int) else F.lit(c)).cast("long").alias(n) for c, n in zip((kind, x, y, *v), ("kind", "x", "y", "v1", "v2", "v3", "v4"))])
+    groups = F.col("pieces") / F.col("each")
+    told = matches.select(F.inline(F.array(
+        row(MATCH, F.col("length"), F.col("first"), F.col("pieces"), F.col("each"), F.col("sequence"), F.col("offset")),
+        row(GAP, F.col("gap") - F.col("length") * F.col("each"), F.col("sequence"), groups, 0, 0, 0),
+        row(GAP, F.col("gap"), F.col("range"), -groups, 0, 0, 0),
+        row(LENGTH, F.col("length"), 0, F.col("pieces"), -F.col("pieces"), 0, 0),
+    )))
+    old = gaps.select(row(GAP, F.col("gap"), F.col("first"), F.col("n"), 0, 0, 0).alias("r")).unionByName(lengths.select(row(LENGTH, F.col("length"), 0, F.col("done"), F.col("left"), 0, 0).alias("r"))).select("r.*")
+    summed = told.unionByName(old).groupBy("kind", "x", "y").agg(*[F.sum(v).alias(v) for v in ("v1", "v2", "v3", "v4")])
+    return summed.where((F.col("kind") != GAP) | ((F.col("x") > 0) & (F.col("v1") > 0)))
+
+
 def pack(found: DataFrame, capacity: int) -> DataFrame:
     """Add sequence_id and offset to rows that have a length: ``found`` is settled, one row a piece."""
     counts = settled(found.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")
