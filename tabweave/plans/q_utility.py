@@ -105,6 +105,12 @@ def f10(spark, sf):
     return U.utility_gap(real, fake, hold, _X, "y")
 
 
+@register("f10_utility_gap_regression")
+def f10_regression(spark, sf):
+    real, fake, hold = thirds(spark, sf)
+    return U.utility_gap(real, fake, hold, [c for c in _X if c != "l_extendedprice"], "l_extendedprice", task="regression")
+
+
 @register("f10_augmentation_gain")
 def f10_augment(spark, sf):
     real, fake, hold = (df.withColumn("y", (F.col("l_quantity") * F.col("l_discount") > 1.2).cast("int")) for df in thirds(spark, sf))

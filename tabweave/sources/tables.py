@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.counts import long_form
+from ..functions.scratch import settled
 from ..spec import TableSpec
 
 
@@ -85,17 +86,29 @@ def append_trials(master: DataFrame, new: DataFrame) -> DataFrame:
     return master.unionByName(moved)
 
 
+#: Categories of a column that ``table_info`` lists; a column declared discrete with more of them is an error of its declaration.
+MOST_CATEGORIES = 100_000
+
+
 def table_info(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """A10: one row a column: index, kind, role, rows, nulls, distinct values, least and greatest, and the categories as JSON."""
+    """A10: one row a column: index, kind, role, rows, nulls, distinct values, least and greatest, and the categories as JSON.
+
+    A discrete column with over ``MOST_CATEGORIES`` values raises an error: its list would
+    not fit a row.
+    """
     cols = [*spec.columns, *([spec.target] if spec.target and spec.target not in spec.columns else [])]
     number = lambda c: spec.kind(c) == "continuous"
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in cols:
         aggs += [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}")]
         aggs += [(F.min(F.col(c).cast("double")) if number(c) else F.lit(None).cast("double")).alias(f"lo_{c}"), (F.max(F.col(c).cast("double")) if number(c) else F.lit(None).cast("double")).alias(f"hi_{c}")]
-    # counted by value once: distinct values a column, and the declared categories, whose number does not grow with the table
-    cells = long_form(df, cols, []).where("value is not null").distinct()
-    kept = F.when(F.col("col").isin([c for c in cols if not number(c)]), F.col("value"))
+    # counted by value once; categories are gathered only of columns that were seen to have few
+    cells = settled(long_form(df, cols, []).where("value is not null").distinct(), "cells")
+    sizes = {r["col"]: r["d"] for r in cells.groupBy("col").agg(F.count(F.lit(1)).alias("d")).collect()}  # a row a column
+    named = [c for c in cols if not number(c)]
+    if many := [c for c in named if sizes.get(c, 0) > MOST_CATEGORIES]:
+        raise ValueError(f"declared discrete, but with over {MOST_CATEGORIES} values: {many}")
+    kept = F.when(F.col("col").isin(named), F.col("value"))
     per = cells.groupBy("col").agg(F.count(F.lit(1)).alias("d"), F.to_json(F.array_sort(F.collect_list(kept))).alias("cats"))
     of = lambda c, what: F.max(F.when(F.col("col") == c, F.col(what)))
     wide = per.agg(*[x for c in cols for x in (F.coalesce(of(c, "d"), F.lit(0)).alias(f"distinct_{c}"), (F.lit(None).cast("string") if number(c) else F.coalesce(of(c, "cats"), F.lit("[]"))).alias(f"cats_{c}"))])

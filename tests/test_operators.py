@@ -371,6 +371,28 @@ def test_models_learn(spark, method):
     assert got["balanced_accuracy"] > 0.85 and got["auc"] > 0.9
 
 
+@pytest.mark.parametrize("method", utility.METHODS)
+def test_models_learn_numbers(spark, method):
+    """F3-F7 as regressions."""
+    df = spark.range(240).select("id", (F.col("id") % 20).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("z")).withColumn("y", 3 * F.col("x") - F.col("z") + 1)
+    got = values(utility.evaluate(df, df, ["x", "z"], "y", method, "regression", swap=False, id_col="id").drop("method"), "metric")
+    assert got["r2"] > 0.9 and got["mae"] < 4
+
+
+def test_utility_gap_of_a_copy(spark):
+    """a copy of the real table loses and gains nothing, shuffled labels lose."""
+    df = spark.range(200).select("id", (F.col("id") % 20).cast("double").alias("x"), ((F.col("id") % 20) > 9).cast("int").alias("y"))
+    noise = df.withColumn("y", (F.col("id") % 2).cast("int"))
+    for task, label in (("classification", "y"), ("regression", "x2")):
+        a, b = (t.withColumn("x2", 2 * F.col("x") + F.col("y")) for t in (df, noise))
+        same = utility.utility_gap(a, a, a, ["x"], label, ("linear",), task, id_col="id").collect()
+        assert same and all(r["gap"] == pytest.approx(0, abs=1e-9) for r in same)
+    worse = {r["metric"]: r for r in utility.utility_gap(df, noise, df, ["x"], "y", ("linear",), id_col="id").collect()}
+    assert worse["balanced_accuracy"]["gap"] > 0.2 and worse["balanced_accuracy"]["real"] > 0.95
+    gain = utility.utility_gap(df, df, df, ["x"], "y", ("linear",), augment=True, id_col="id").collect()
+    assert all(abs(r["gap"]) < 0.05 for r in gain)
+
+
 def test_support_vector_line_against_a_long_descent(spark):
     """the loss is within one per cent of what a plain descent of 60,000 steps finds, outliers included."""
     rng = np.random.default_rng(3)
