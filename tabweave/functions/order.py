@@ -76,6 +76,9 @@ def quantile(df: DataFrame, col: str, share: float, most: int = 10_000) -> float
         return None
     rank = (n - 1) * share
     first, below = int(rank), 0
+    if n <= most:
+        two = [r["x"] for r in x.orderBy("x").offset(first).limit(2).collect()]
+        return two[0] + (two[-1] - two[0]) * (rank - first)
 
     def at(k: int) -> float:
         nonlocal lo, hi, below

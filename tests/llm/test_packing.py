@@ -50,6 +50,15 @@ def test_odd_spellings(spark):
     check(packing.best_fit_packing(df, queries.tokenizer_path(), 64, keep_ids=False).collect(), list(enumerate(texts)), 64)
 
 
+def test_ties_beyond_a_block_of_ranks(spark, monkeypatch):
+    """Many pieces of one length: matches reach over several blocks of ranks, each rank has one place."""
+    monkeypatch.setattr(packing, "BLOCK", 16)
+    texts = [(k % 300 or None, "one two three") for k in range(700)] + [(k, "one") for k in range(50)]
+    rows = packing.best_fit_packing(spark.createDataFrame(texts, "doc_id long, text string"), queries.tokenizer_path(), 10, keep_ids=False).collect()
+    n, total = check(rows, texts, 10)
+    assert len(rows) == 750 and n <= 350 + 10
+
+
 def test_empty(empty):
     assert packing.best_fit_packing(empty, queries.tokenizer_path(), 64, keep_ids=False).count() == 0
 
