@@ -25,7 +25,7 @@ PLANTED = [[(0, 1, 0.5), (10, 2, 0.3), (-20, 0.5, 0.2)], [(3, 1, 1.0)], [(0, 1,
 def test_planted_mixtures_are_found(planted, scale):
     """As many components as were planted, near them; the bound never falls and beats that of one normal."""
     rng = np.random.default_rng(1)
-    x = scale * np.concatenate([rng.normal(m, s, int(20_000 * w)) for m, s, w in planted])
+    x = scale * np.concatenate([rng.normal(m, s, int(6_000 * w)) for m, s, w in planted])
     (mu, sd, w), bounds = dirichlet_mixture(x, np.ones(len(x)))
     assert len(mu) == len(planted) and np.diff(bounds).min() > -1e-9
     for (m, s, share), a, b, c in zip(sorted(planted), mu, sd, w):
