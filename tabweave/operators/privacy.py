@@ -30,9 +30,27 @@ def _assembled(df: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="skip").transform(df.withColumns({c: F.col(c).cast("double") for c in cols}))
 
 
-def cluster_sizes(fit_on: DataFrame, score: DataFrame, cols: list[str], k: int, keys: list[str] = (), seed: int = 42) -> DataFrame:
-    """(cluster, n, n_keys): rows, and distinct key combinations, of each cluster that has rows."""
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(_assembled(fit_on, cols))
+class Clusterings:
+    """Clusterings of one table's columns, each fitted once however many metrics ask for it."""
+
+    def __init__(self, df: DataFrame, cols: list[str], seed: int = 42):
+        self.df, self.cols, self.seed, self.models, self._rows = df, cols, seed, {}, None
+
+    @property
+    def rows(self) -> int:
+        if self._rows is None:
+            self._rows = self.df.count()
+        return self._rows
+
+    def model(self, k: int):
+        if k not in self.models:
+            self.models[k] = KMeans(k=k, seed=self.seed, featuresCol="_v", predictionCol="cluster").fit(_assembled(self.df, self.cols))
+        return self.models[k]
+
+
+def cluster_sizes(fit_on: DataFrame, score: DataFrame, cols: list[str], k: int, keys: list[str] = (), fitted: Clusterings | None = None) -> DataFrame:
+    """(cluster, n, n_keys): rows, and distinct key combinations, of each cluster that has rows; ``fitted`` holds clusterings of ``fit_on``."""
+    model = (fitted or Clusterings(fit_on, cols)).model(k)
     aggs = [F.count(F.lit(1)).alias("n"), (F.count_distinct(F.struct(*keys)) if keys else F.lit(None).cast("long")).alias("n_keys")]
     return model.transform(_assembled(score, cols)).groupBy("cluster").agg(*aggs)
 
@@ -45,30 +63,33 @@ def _row(spark: SparkSession, metric: str, real: float, fake: float) -> DataFram
     return spark.createDataFrame([(metric, float(real), float(fake), bool(fake >= real))], "metric string, real double, fake double, safe boolean")
 
 
-def k_anonymity(real: DataFrame, fake: DataFrame, cols: list[str], ks: tuple[int, ...] = CLUSTERS) -> DataFrame:
+def _least(df: DataFrame, cols: list[str], keys: list[str], value: str, ks: tuple[int, ...], fitted: Clusterings | None) -> float:
+    own = fitted or Clusterings(df, cols)
+    return min([START, *(cluster_sizes(df, df, cols, k, keys, fitted=own).agg(F.min(value)).first()[0] for k in _over_k(own.rows, ks))])
+
+
+def k_anonymity(real: DataFrame, fake: DataFrame, cols: list[str], ks: tuple[int, ...] = CLUSTERS, fitted: tuple[Clusterings | None, Clusterings | None] = (None, None)) -> DataFrame:
     """G1: the smallest cluster over several k, of clusterings of each table on its own; safe if fake's is not smaller."""
-    least = lambda df: min([START, *(cluster_sizes(df, df, cols, k).agg(F.min("n")).first()[0] for k in _over_k(df.count(), ks))])
-    return _row(real.sparkSession, "k_anonymity", least(real), least(fake))
+    return _row(real.sparkSession, "k_anonymity", *(_least(df, cols, [], "n", ks, own) for df, own in zip((real, fake), fitted)))
 
 
-def l_diversity(real: DataFrame, fake: DataFrame, cols: list[str], keys: list[str], ks: tuple[int, ...] = CLUSTERS) -> DataFrame:
+def l_diversity(real: DataFrame, fake: DataFrame, cols: list[str], keys: list[str], ks: tuple[int, ...] = CLUSTERS, fitted: tuple[Clusterings | None, Clusterings | None] = (None, None)) -> DataFrame:
     """The fewest distinct key combinations in a cluster."""
-    least = lambda df: min([START, *(cluster_sizes(df, df, cols, k, keys).agg(F.min("n_keys")).first()[0] for k in _over_k(df.count(), ks))])
-    return _row(real.sparkSession, "l_diversity", least(real), least(fake))
+    return _row(real.sparkSession, "l_diversity", *(_least(df, cols, keys, "n_keys", ks, own) for df, own in zip((real, fake), fitted)))
 
 
-def k_map(real: DataFrame, fake: DataFrame, cols: list[str], ks: tuple[int, ...] = CLUSTERS) -> DataFrame:
+def k_map(real: DataFrame, fake: DataFrame, cols: list[str], ks: tuple[int, ...] = CLUSTERS, fitted: Clusterings | None = None) -> DataFrame:
     """Clusters fitted to real; the smallest number of synthetic rows in one (empty ones do not count)."""
-    ks = tuple(_over_k(real.count(), ks))
-    got = min([START, *(cluster_sizes(real, fake, cols, k).agg(F.min("n")).first()[0] or START for k in ks)])
+    own = fitted or Clusterings(real, cols)
+    got = min([START, *(cluster_sizes(real, fake, cols, k, fitted=own).agg(F.min("n")).first()[0] or START for k in _over_k(own.rows, ks))])
     return real.sparkSession.createDataFrame([("k_map", float(got))], "metric string, value double")
 
 
-def delta_presence(real: DataFrame, fake: DataFrame, cols: list[str], ks: tuple[int, ...] = CLUSTERS) -> DataFrame:
-    """The largest ratio of real to synthetic rows in a cluster fitted to real."""
-    best = 0.0
-    for k in _over_k(real.count(), ks):
-        r, s = cluster_sizes(real, real, cols, k).select("cluster", F.col("n").alias("r")), cluster_sizes(real, fake, cols, k).select("cluster", F.col("n").alias("s"))
+def delta_presence(real: DataFrame, fake: DataFrame, cols: list[str], ks: tuple[int, ...] = CLUSTERS, fitted: Clusterings | None = None) -> DataFrame:
+    """The largest ratio of real to synthetic rows in a cluster fitted to real; both sides are dealt by the same clusters."""
+    own, best = fitted or Clusterings(real, cols), 0.0
+    for k in _over_k(own.rows, ks):
+        r, s = (cluster_sizes(real, df, cols, k, fitted=own).select("cluster", F.col("n").alias(n)) for df, n in ((real, "r"), (fake, "s")))
         best = max(best, r.join(s, "cluster", "left").agg(F.max(F.col("r") / (F.coalesce("s", F.lit(0)) + 1e-8))).first()[0])
     return real.sparkSession.createDataFrame([("delta_presence", float(best))], "metric string, value double")
 
@@ -462,12 +483,13 @@ def score_card(real: DataFrame, fake: DataFrame, hold: DataFrame, id_col: str, k
     exact = {"k_anonymity": "dp_k_anonymization_synthetic_exact", "l_diversity": "dp_l_diversity_synthetic_exact", "k_map": "dp_k_map_exact", "delta_presence": "dp_delta_presence_exact"}
     name = reduce(lambda w, kv: w.when(F.col("metric") == kv[0], kv[1]), exact.items(), F.when(F.lit(False), ""))
     columns = [*keys, *numeric]
+    own, other = Clusterings(real, numeric), Clusterings(fake, numeric)
     parts = [
         class_risk(real, fake, keys, sensitive).select(name.alias("metric"), F.col("fake").alias("value")),
-        cells(k_anonymity(real, fake, numeric), {"dp_k_anonymization_synthetic": "fake", "dp_k_anonymization_safe": "safe"}),
-        cells(l_diversity(real, fake, numeric, keys), {"dp_l_diversity_synthetic": "fake", "dp_l_diversity_safe": "safe"}),
-        cells(k_map(real, fake, numeric), {"dp_k_map": "value"}),
-        cells(delta_presence(real, fake, numeric), {"dp_delta_presence": "value"}),
+        cells(k_anonymity(real, fake, numeric, fitted=(own, other)), {"dp_k_anonymization_synthetic": "fake", "dp_k_anonymization_safe": "safe"}),
+        cells(l_diversity(real, fake, numeric, keys, fitted=(own, other)), {"dp_l_diversity_synthetic": "fake", "dp_l_diversity_safe": "safe"}),
+        cells(k_map(real, fake, numeric, fitted=own), {"dp_k_map": "value"}),
+        cells(delta_presence(real, fake, numeric, fitted=own), {"dp_delta_presence": "value"}),
         cells(re_identification(real, fake, id_col, numeric), {"dp_re_identification_score": "re_identification"}),
         cells(density_attack(*low, id_col, ["pc0", "pc1"][: len(axes.axes)]), {"dp_domias_mia_accuracy": "accuracy", "dp_domias_mia_auc": "auc"}),
         cells(zero_cap(real, fake, keys, sensitive), {"dp_categorical_zero_cap": "zero_cap"}),
