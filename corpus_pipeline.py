@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import core, decontamination, language_id, near_copies, packing, queries, secret_scan
+from tabweave.llm import core, decontamination, language_id, packing, queries, secret_scan, simhash_copies
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,11 +23,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group linked by 5-word shingles of Jaccard similarity 0.8 or more.
 
-    The stage bears the name of the near-duplicate operator; what links here are MinHash
-    bands and real shingles, since fingerprints of 3-word shingles within 2 bits miss
-    pairs of this similarity.
+    SimHash fingerprints propose, by cells of nearest pivots and tables of pivot distances; the
+    real shingles of what they propose are compared.
     """
-    return near_copies.drop_near_copies(docs, shingle=5, similarity=0.8)
+    return simhash_copies.drop_near_copies(docs, shingle=5, similarity=0.8)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ their own.  Texts without words have equal, empty sets: they are copies of each
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -102,7 +104,7 @@ def linked(sets: list[np.ndarray], similarity: float = SIMILARITY) -> tuple[np.n
 
 
 def prints(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, mark, content (a hash of the set of shingles), size of the set and the signature's bands, of every row."""
+    """doc_id, mark, content (a hash of the set of shingles), size of the set and the signature's bands (keys), of every row."""
 
     def scan(batches):
         odd, flip = _functions()
@@ -118,38 +120,42 @@ def prints(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * BANDS), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.array(content, np.uint64).view(np.int64)), pa.array(size, pa.int64()), lists],
-                names=["doc_id", "mark", "content", "size", "bands"],
+                names=["doc_id", "mark", "content", "size", "keys"],
             )
 
-    return marked(df, id_col, text_col).mapInArrow(scan, "doc_id long, mark long, content long, size long, bands array<long>")
+    return marked(df, id_col, text_col).mapInArrow(scan, "doc_id long, mark long, content long, size long, keys array<long>")
 
 
 def proposals(points: DataFrame) -> DataFrame:
     """(a, b): every point of a band's value with the smallest one there; g points give g - 1 links."""
-    held = settled(points.select("content", F.posexplode("bands").alias("band", "value")), "bands")
+    held = settled(points.select("content", F.posexplode("keys").alias("band", "value")), "bands")
     heads = settled(held.groupBy("band", "value").agg(F.min("content").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "heads")
     met = spread_join(held, heads, ["band", "value"], "n", F.xxhash64("content"))
     return met.where("a != content").select("a", F.col("content").alias("b")).distinct()
 
 
-def links(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) of contents, that connect what pairs of at least ``similarity`` among the proposals' families connect."""
-    points = settled(rows.where("size > 0").groupBy("content").agg(F.first("bands").alias("bands"), F.first("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("row")), "points")
-    family = components(proposals(points)).withColumnRenamed("node", "content")
+def links(df: DataFrame, rows: DataFrame, propose: Callable[[DataFrame], DataFrame], ways: int, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) of contents, that connect what pairs of at least ``similarity`` among the proposals' families connect.
+
+    ``rows`` have up to ``ways`` keys each; ``propose`` takes the distinct points and links some that share a key in one place.
+    """
+    own = [c for c in rows.columns if c not in ("doc_id", "mark", "content")]
+    points = settled(rows.where("size > 0").groupBy("content").agg(*(F.first(c).alias(c) for c in own), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("row")), "points")
+    family = components(propose(points)).withColumnRenamed("node", "content")
     # the smallest point of a family has no link to itself
     family = settled(family.unionByName(family.select(F.col("root").alias("content"), "root")).distinct(), "family")
     held = settled(family.hint("merge").join(points.select("content", "size", "row"), "content"), "held")
     parts = F.greatest(F.lit(1), F.ceil(F.col("weight") / F.lit(SLAB))).cast("int")
     weights = settled(held.groupBy("root").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n")).withColumn("parts", parts), "weights")
     held = settled(spread_join(held, weights, ["root"], "n", F.xxhash64("content")).select("content", "size", "row", "root", "parts"), "dealt")
-    # in families that are too large for a triangle, the values of bands are the groups
-    large = held.where(F.col("parts") > BANDS)
-    at = points.select("content", F.posexplode("bands").alias("band", "value")).join(large.hint("merge"), "content")
+    # in families that are too large for a triangle, the values of keys are the groups
+    large = held.where(F.col("parts") > ways)
+    at = points.select("content", F.posexplode("keys").alias("band", "value")).join(large.hint("merge"), "content")
     at = settled(at.select("content", "size", "row", F.xxhash64("band", "value").alias("root")), "cut")
     values = settled(at.groupBy("root").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", parts), "values")
     at = spread_join(at, values, ["root"], "n", F.xxhash64("content")).select("content", "row", "root", "parts")
-    places = held.where(F.col("parts") <= BANDS).select("content", "row", "root", "parts").unionByName(at)
-    # at most one group, or one a band, for each point
+    places = held.where(F.col("parts") <= ways).select("content", "row", "root", "parts").unionByName(at)
+    # at most one group, or one a key, for each point
     places = settled(places.groupBy("content").agg(F.first("row").alias("row"), F.collect_list(F.struct("root", "parts")).alias("places")), "places")
     places = places.select(F.col("row.doc_id").alias("_id"), F.col("row.mark").alias("_mark"), "content", "places")
     docs = marked(df, id_col, text_col).join(places.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
@@ -189,9 +195,14 @@ def links(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, width: int
     return dealt.repartition("r", "p", "q").sortWithinPartitions("r", "p", "q", "content").mapInArrow(compare, "a long, b long")
 
 
+def drop_linked(df: DataFrame, rows: DataFrame, propose: Callable[[DataFrame], DataFrame], ways: int, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` that come first in their group; ``rows`` (settled) and ``propose`` as in ``links``."""
+    found = components(links(df, rows, propose, ways, id_col, text_col, shingle, similarity))
+    named = rows.select("doc_id", "mark", "content").join(found.hint("merge"), F.col("content") == F.col("node"), "left").select("doc_id", "mark", F.coalesce("root", "content").alias("root"))
+    return first_of_groups(df, settled(named, "named"), id_col, text_col)
+
+
 def drop_near_copies(df: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` (all columns) that come first, by id (null last), in their group of near copies: one row a group."""
     rows = settled(prints(df, id_col, text_col, shingle), "prints")
-    found = components(links(df, rows, id_col, text_col, shingle, similarity))
-    named = rows.select("doc_id", "mark", "content").join(found.hint("merge"), F.col("content") == F.col("node"), "left").select("doc_id", "mark", F.coalesce("root", "content").alias("root"))
-    return first_of_groups(df, settled(named, "named"), id_col, text_col)
+    return drop_linked(df, rows, proposals, BANDS, shingle, similarity, id_col, text_col)
