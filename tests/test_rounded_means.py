@@ -27,7 +27,7 @@ def events(tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name", ["h02_oriented", "h03_rank_losses", "h04_tie_rules", "h05_mean_losses"])
+@pytest.mark.parametrize("name", ["h02_oriented", "h03_rank_losses", "h04_tie_rules", "h05_mean_losses", "h05_median_losses"])
 def test_equals_sql(spark, events, name):
     con = duckdb.connect(config={"threads": 1})  # more threads add a group's values in parts
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{events}/events.parquet/*.parquet')")
